@@ -83,8 +83,13 @@ def _table_keys(name: str, df: DataFrame) -> DataFrame:
         F.coalesce(c("c.position") == c("first"), F.lit(False)).alias("is_key"))
 
 
-def fk_candidates(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> list[Reference]:
-    """Columns named like the key of another table, up to a table prefix, with its type."""
+def fk_candidates(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
+                  key_names: str = r"(key|id|uuid|code)$") -> list[Reference]:
+    """Columns named like the key of another table, up to a table prefix, with its type.
+
+    ``key_names`` says what a key is called, so that free text which happens to
+    be unique is not compared between tables.
+    """
     def stem(column: str) -> str:
         return re.sub(r"^[a-z]{1,2}_", "", column)
 
@@ -92,7 +97,8 @@ def fk_candidates(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> l
     for child, df in tables.items():
         for f in df.schema.fields:
             for parent, key in keys.items():
-                if parent != child and stem(f.name) == stem(key) and f.dataType == tables[parent].schema[key].dataType:
+                if parent != child and re.search(key_names, key, re.I) and stem(f.name) == stem(key) \
+                        and f.dataType == tables[parent].schema[key].dataType:
                     found.append((child, f.name, parent, key))
     return found
 

@@ -114,7 +114,7 @@ def resolve_attempts(
         offers = ws.save(_next_offers(active, waiting, ident, key, with_value, tries, holders, won, ws, number),
                          f"offers{number}")
         rounds.append(f"round{number}")
-        outcome = ws.save(_settle(offers, rows, pk, carry, key, won), rounds[-1])
+        outcome = ws.save(_settle(offers, waiting, rows, pk, carry, key, won, ws, number), rounds[-1])
         won = ws.read(outcome, *rounds).where(~F.col("lost")).select(*ident, "attempt", "value")
         active = outcome.where("lost").select(*ident, "attempt")
         waiting = active.count()
@@ -158,12 +158,14 @@ def _next_offers(active: DataFrame, waiting: int, ident: list[str], key: Column,
             .select(*ident, "offer.*"))
 
 
-def _settle(offers: DataFrame, rows: DataFrame, pk: list[str], carry: Sequence[str], key: Column,
-            won: DataFrame | None) -> DataFrame:
+def _settle(offers: DataFrame, waiting: int, rows: DataFrame, pk: list[str], carry: Sequence[str], key: Column,
+            won: DataFrame | None, ws: Workspace, number: int) -> DataFrame:
     """Who gets each value, and who has to move on: later offers and displaced holders."""
     best = offers.where(F.col("value").isNotNull()).groupBy("value").agg(
-        F.min(key).alias("best"), F.max("holder").alias("displaced"))
-    judged = offers.drop("holder").join(best.select("value", "best"), "value", "left").withColumn(
+        F.min(key).alias("best"), F.max("holder").alias("displaced"), F.count(F.lit(1)).alias("n"))
+    if waiting > HOT_ROWS:
+        best = ws.save(best, f"best{number}")
+    judged = join_by_value(offers.drop("holder"), best.select("value", "best", "n"), waiting, "left").withColumn(
         "lost", F.coalesce(key != F.col("best"), F.lit(False)))
 
     leaving = best.where(F.col("displaced").isNotNull()).select("value", F.col("displaced").alias("key"))
