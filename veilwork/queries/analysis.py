@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import discover as disc
 from ..plans.preflight import key_counts, preflight
 from ..plans.spec import MaskSpec
+from ..storage import Workspace
 from ._common import SALT, TABLES, faker, lookup, rule, tables
 
 # Columns that can be keys (no floating point, no arrays), in schema order.
@@ -33,7 +34,7 @@ _KEY_COLUMNS = {
 def _found(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, dict[str, str]]:
     """Tables, their column facts, and the key of each table (schema-sized, so read by the driver)."""
     found = tables(spark, sf_dir)
-    facts = disc.discover_keys(found)
+    facts = Workspace(spark, "facts").save(disc.discover_keys(found), "columns")  # read more than once
     keys = {r["table_name"]: r["column_name"] for r in facts.where("is_key").collect()}
     return found, facts, keys
 
