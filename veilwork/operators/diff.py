@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.spec import MaskSpec
 from ..sources.backends import TableLookup
-from .mask import FAILED, SELECTED, MaskedTable, attempt_name
+from .mask import FAILED, MaskedTable, attempt_name
 
 PREVIEW_ROWS = 5
 
@@ -31,7 +31,7 @@ def diff(masked: MaskedTable) -> DataFrame:
                         masked._value(r).cast("string").alias("new_value"))
                for i, r in enumerate(table.columns)]
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in table.pk])
-    return masked.wide.where(SELECTED).select(
+    return masked.changes.select(
         F.lit(table.name).alias("table_name"), key.alias("pk_value"), F.explode(F.array(*changes)).alias("c")
     ).select("table_name", "pk_value", "c.column_position", "c.column_name", "c.old_value", "c.new_value")
 
@@ -58,7 +58,7 @@ def report(masked: MaskedTable) -> DataFrame:
     had to leave equal, ``unmatched`` the keys the source names in vain.
     """
     table = masked.table
-    df = masked.wide.where(SELECTED)
+    df = masked.changes
     retried, kept = F.lit(0).cast("long"), F.lit(0).cast("long")
     for rule in table.columns:
         if rule.unique:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.generators import GenContext, build_generator, domain_size
 from ..functions.seed import SeedScope, materialise_seeds, pk_identifier, render_or_nil, seed_column
-from ..plans.spec import ColumnSpec, MaskSpec, TableSpec
+from ..plans.spec import GENERATOR_TYPES, ColumnSpec, MaskSpec, TableSpec
 from ..sources.backends import TableLookup, source_rows
 from .unique import FORCE_UNIQUE_TRIES, UNIQUE_COLUMN_TRIES, Attempts, resolve_attempts
 
@@ -99,7 +99,7 @@ class MaskedTable:
         self._lookup = lookup or self.spark.table
         self._source = source_rows(self.spark, table, self._lookup)
         filter_ = table.source.filter if self._source is None else ""
-        self._filter = F.coalesce(F.expr(filter_), F.lit(False)) if filter_ else None
+        self._filter = F.expr(filter_) if filter_ else None
         self.attempts: dict[str, Attempts] = {}
 
     # -- which rows ------------------------------------------------------------
@@ -120,7 +120,8 @@ class MaskedTable:
         if self.limit is not None:
             return self._preview_frame
         if self._source is None:
-            return self.base.withColumn(SELECTED, F.lit(True) if self._filter is None else self._filter)
+            chosen = F.lit(True) if self._filter is None else F.coalesce(self._filter, F.lit(False))
+            return self.base.withColumn(SELECTED, chosen)
         # The guard sits in the plan: a key named twice stops the job instead of
         # duplicating or arbitrarily choosing rows.  Unused originals are pruned.
         old = {c: name for c, name in self._originals.items() if name != c}
@@ -131,19 +132,29 @@ class MaskedTable:
         joined = self.base.join(once, list(self.table.pk), "left")
         return joined.withColumn(SELECTED, guard.otherwise(F.col("__n").isNotNull())).drop("__n")
 
+    def _first_rows(self, rows: DataFrame) -> DataFrame:
+        # Without the coalesce the projections that follow move below the limit
+        # and turn the top-n into a full sort.
+        return rows.orderBy(*self.table.pk).limit(self.limit).coalesce(1)
+
     @cached_property
     def _preview_frame(self) -> DataFrame:
         pk = list(self.table.pk)
         if self._source is None:
-            rows = self.base if self._filter is None else self.base.where(self._filter)
-            return rows.orderBy(*pk).limit(self.limit).withColumn(SELECTED, F.lit(True))
-        rows = self._source.orderBy(*pk).limit(self.limit)
+            return self._first_rows(self._filtered).withColumn(SELECTED, F.lit(True))
+        rows = self._first_rows(self._source)
         renamed = rows.select(*pk, *[F.col(c).alias(n) for c, n in self._originals.items() if n != c])
         return self.base.join(renamed, pk).withColumn(SELECTED, F.lit(True))
 
     @property
+    def _filtered(self) -> DataFrame:
+        return self.base if self._filter is None else self.base.where(self._filter)
+
+    @cached_property
     def selected(self) -> DataFrame:
         """The base rows the source selects, with their original values."""
+        if self._source is None and self.limit is None:
+            return self._filtered.withColumn(SELECTED, F.lit(True))  # a plain filter, so the scan can use it
         return self._frame.where(SELECTED)
 
     def unmatched(self) -> DataFrame:
@@ -157,8 +168,9 @@ class MaskedTable:
 
     def _resolve(self, rule: ColumnSpec) -> Attempts:
         original = self._originals[rule.name]
-        needs_original = rule.by_value or "OriginalValue" in rule.gen.template or rule.gen.type not in (
-            "faker", "template", "constant", "null", "hash", "counter")
+        known = rule.gen.type in GENERATOR_TYPES
+        needs_original = rule.by_value or "OriginalValue" in rule.gen.template or not known
+        alike = rule.by_value and known and "PrimaryKeyValue" not in rule.gen.template
 
         def with_value(df: DataFrame) -> DataFrame:
             out = add_new_values(df, self.table, [rule], self.spec, self.types, {rule.name: original},
@@ -174,18 +186,26 @@ class MaskedTable:
         return resolve_attempts(
             self.selected, self.table.pk, [original] if needs_original else [], with_value,
             UNIQUE_COLUMN_TRIES if rule.unique else FORCE_UNIQUE_TRIES,
-            taken=taken, domain=domain_size(rule.gen, locale_of(rule, self.spec)))
+            taken=taken, domain=domain_size(rule.gen, locale_of(rule, self.spec)), alike=alike)
 
     def _untouched(self) -> DataFrame:
         """Base rows the whole source, not just a preview of it, leaves alone."""
         if self._source is not None:
             return self.base.join(self._source.select(*self.table.pk), list(self.table.pk), "left_anti")
-        return self.base.where(~self._filter)
+        return self.base.where(~F.coalesce(self._filter, F.lit(False)))
 
     @cached_property
     def wide(self) -> DataFrame:
-        """Base columns, original values, new values, tries and flags."""
-        df, table = self._frame, self.table
+        """Base columns, original values, new values, tries and flags of all rows."""
+        return self._widen(self._frame, self.rewrites_everything or self.limit is not None)
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """The same for the selected rows only."""
+        return self._widen(self.selected, True)
+
+    def _widen(self, df: DataFrame, all_selected: bool) -> DataFrame:
+        table = self.table
         unique = [r for r in table.columns if r.unique]
         owner_of = {r.name: r.name for r in table.columns if r.resolves}
         if len(unique) == 1:
@@ -194,7 +214,9 @@ class MaskedTable:
                         for r in table.columns}
         failed = F.lit(False)
         for rule in [r for r in table.columns if r.resolves]:
-            found = self.attempts[rule.name] = self._resolve(rule)
+            if rule.name not in self.attempts:
+                self.attempts[rule.name] = self._resolve(rule)
+            found = self.attempts[rule.name]
             if rule.unique and rule.on_exhausted == "fail" and found.exhausted:
                 raise ExhaustedError(f"{found.exhausted} rows of {table.name}.{rule.name} have no free value")
             df = self._add_attempt(df, rule, found)
@@ -202,7 +224,7 @@ class MaskedTable:
                 failed = failed | F.col(f"__exhausted_{rule.name}")
         attempts = {c: attempt_name(o) for c, o in owner_of.items()}
         df = add_new_values(df, table, table.columns, self.spec, self.types, self._originals, attempts,
-                            None if self.rewrites_everything or self.limit is not None else F.col(SELECTED))
+                            None if all_selected else F.col(SELECTED))
         for rule in unique:
             exhausted = F.col(f"__exhausted_{rule.name}")
             df = df.withColumn(new_name(rule.name),
@@ -246,7 +268,7 @@ class MaskedTable:
         """Rows left without a unique value: key and reason, never the value."""
         parts = None
         for rule in [r for r in self.table.columns if r.unique]:
-            rows = self.wide.where(F.col(f"__exhausted_{rule.name}")).select(
+            rows = self.changes.where(F.col(f"__exhausted_{rule.name}")).select(
                 F.lit(self.table.name).alias("table_name"), F.lit(rule.name).alias("column_name"), *self.table.pk,
                 F.lit(f"no unique value after {UNIQUE_COLUMN_TRIES - 1} retries").alias("reason"))
             parts = rows if parts is None else parts.unionByName(rows)

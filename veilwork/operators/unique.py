@@ -16,14 +16,11 @@ smaller.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..storage import Workspace
 
@@ -35,6 +32,8 @@ UNIQUE_COLUMN_TRIES = 11  # the first value and ten retries
 HOT_VALUES = 1_000
 HOT_ROWS = 100_000
 
+TRIES_PER_TASK = 500_000
+
 
 @dataclass(frozen=True)
 class Attempts:
@@ -76,13 +75,15 @@ def resolve_attempts(
     tries: int,
     taken: DataFrame | None = None,
     domain: int | None = None,
+    alike: bool = False,
 ) -> Attempts:
     """Find the try of each row.
 
     ``rows`` has the unique key ``pk`` and the columns ``carry`` that values
     depend on.  ``with_value`` adds ``value`` for the column ``attempt``.
     ``taken`` (column ``value``) lists values nobody may use.  ``domain`` bounds
-    the number of different values.
+    the number of different values.  ``alike`` says that values depend on
+    ``carry`` only, not on the key.
     """
     pk, ident = list(pk), [*pk, *carry]
     ws = Workspace(rows.sparkSession, "attempts")
@@ -107,6 +108,12 @@ def resolve_attempts(
     if domain is not None and stats["values"] >= domain:
         # Every value there is has a holder, so rows behind the last one are done.
         active = active.where(key < _literal(holders.where(held).agg(F.max("holder")).first()[0], pk))
+    if alike:
+        # Rows with the same tries get at most one value per try, smallest keys
+        # first, so all others are done.  The rank filter is applied within each
+        # map task before the shuffle, which keeps large groups small.
+        rank = F.row_number().over(Window.partitionBy(*carry).orderBy(*pk))
+        active = active.withColumn("rank", rank).where(F.col("rank") <= tries).drop("rank")
     active = ws.save(active, "lost0")
 
     rounds: list[str] = []
@@ -114,8 +121,8 @@ def resolve_attempts(
     waiting = active.count()
     while waiting:
         number = len(rounds) + 1
-        offers = ws.save(_next_offers(active, waiting, ident, key, with_value, tries, holders, won, bool(carry),
-                                      ws, number), f"offers{number}")
+        offers = ws.save(_next_offers(active, waiting, ident, key, with_value, tries, holders, won, ws, number),
+                         f"offers{number}")
         rounds.append(f"round{number}")
         outcome = ws.save(_settle(offers, waiting, rows, pk, carry, key, won, ws, number), rounds[-1])
         won = ws.read(outcome, *rounds).where(~F.col("lost")).select(*ident, "attempt", "value")
@@ -142,12 +149,12 @@ def _first_round(first: DataFrame, key: Column, taken: DataFrame | None) -> Data
 
 def _next_offers(active: DataFrame, waiting: int, ident: list[str], key: Column,
                  with_value: Callable[[DataFrame], DataFrame], tries: int, holders: DataFrame,
-                 won: DataFrame | None, alike: bool, ws: Workspace, number: int) -> DataFrame:
-    """For every waiting row its next try that no smaller key holds.
-
-    With ``alike``, rows may have the same tries, and those that share an Arrow
-    batch give way to each other before their offers meet the others.
-    """
+                 won: DataFrame | None, ws: Workspace, number: int) -> DataFrame:
+    """For every waiting row its next try that no smaller key holds."""
+    total = waiting * (tries - 1)
+    if total > TRIES_PER_TASK:
+        # Tables sorted by key leave the waiting rows in a few files.
+        active = active.repartition(total // TRIES_PER_TASK + 1, *ident)
     later = F.sequence(F.col("attempt") + F.lit(1), F.lit(tries - 1))
     retries = with_value(active.where(F.col("attempt") < tries - 1).withColumn("attempt", F.explode(later)))
     wanted = retries.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
@@ -156,44 +163,12 @@ def _next_offers(active: DataFrame, waiting: int, ident: list[str], key: Column,
         known = known.unionByName(won.select("value", key.alias("holder"), F.lit(False).alias("taken")))
     ruling = known.join(wanted, "value").groupBy("value").agg(
         F.min("holder").alias("holder"), F.bool_or("taken").alias("taken"), F.max("n").alias("n"))
-    total = waiting * (tries - 1)
     if total > HOT_ROWS:
         ruling = ws.save(ruling, f"ruling{number}")
     free = F.coalesce(~F.col("taken") & (key < F.col("holder")), F.lit(True))
     open_tries = join_by_value(retries, ruling, total, "left").where(free)
-    offer = F.struct("attempt", "value", "holder")
-    if not alike:
-        return open_tries.groupBy(*ident).agg(F.min(offer).alias("offer")).select(*ident, "offer.*")
-    open_tries = open_tries.groupBy(*ident).agg(F.array_sort(F.collect_list(offer)).alias("tries"))
-    in_order = open_tries.sortWithinPartitions(*ident)
-    schema = T.StructType([*in_order.schema.fields, T.StructField("pick", T.IntegerType())])
-    picked = in_order.mapInArrow(_pick_within_batch, schema)
-    return picked.select(*ident, F.get("tries", F.col("pick")).alias("offer")).select(*ident, "offer.*")
-
-
-def _pick_within_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Let rows that happen to share a batch give way to each other at once.
-
-    Rows come in key order and get their first try that no earlier row of the
-    batch has; rows without one are done.  Giving way to a smaller key is final
-    however rows are batched, so this only saves work: of a large group with
-    equal tries, each batch passes on no more rows than there are tries.
-    """
-    for batch in batches:
-        tries = batch.column("tries")
-        ends = tries.value_lengths().to_pylist()
-        values = iter(tries.flatten().field("value").to_pylist())
-        held: set[object] = set()
-        picks: list[int | None] = []
-        for n in ends:
-            options = [next(values) for _ in range(n)]
-            pick = next((i for i, v in enumerate(options) if v is None or v not in held), None)
-            if pick is not None and options[pick] is not None:
-                held.add(options[pick])
-            picks.append(pick)
-        column = pa.array(picks, pa.int32())
-        named = pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "pick"])
-        yield named.filter(pc.is_valid(column))
+    return (open_tries.groupBy(*ident).agg(F.min(F.struct("attempt", "value", "holder")).alias("offer"))
+            .select(*ident, "offer.*"))
 
 
 def _settle(offers: DataFrame, waiting: int, rows: DataFrame, pk: list[str], carry: Sequence[str], key: Column,
