@@ -99,9 +99,7 @@ def _ipv4(s: SeedScope) -> Column:
 
 
 def _short_text(s: SeedScope) -> Column:
-    letters = [F.substring(F.lit(TEXT_ALPHABET), s.pick(k, len(TEXT_ALPHABET)) + F.lit(1), F.lit(1))
-               for k in range(TEXT_LENGTH)]
-    return F.concat(*letters)
+    return F.concat(*[s.choose(k, list(TEXT_ALPHABET)) for k in range(TEXT_LENGTH)])
 
 
 def _username(s: SeedScope) -> Column:

@@ -12,7 +12,7 @@ from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -184,34 +184,41 @@ def key_counts(df: DataFrame, pk: tuple[str, ...]) -> DataFrame:
         F.coalesce(F.sum(F.when(~null_key, F.col("n") - 1)), F.lit(0)).alias("n_duplicate_keys"))
 
 
+def _when_counted(counts: DataFrame, table: str, checks: list[tuple[Column, str, str, str, Column]]) -> DataFrame:
+    """Issues whose condition holds on a row of counts, which is computed once."""
+    found = F.array(*[
+        F.when(condition, F.struct(
+            F.lit(severity).alias("severity"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+            F.lit(code).alias("code"), message.alias("message")))
+        for condition, severity, column, code, message in checks])
+    return counts.select(F.explode(F.array_compact(found)).alias("i")).select("i.*")
+
+
 def _data_issues(t: TableSpec, spec: MaskSpec, base: DataFrame, lookup: TableLookup) -> list[DataFrame]:
-    def issue(counts: DataFrame, condition: object, severity: str, code: str, text: object, column: str = "") -> DataFrame:
-        return counts.where(condition).select(
-            F.lit(severity).alias("severity"), F.lit(t.name).alias("table_name"), F.lit(column).alias("column_name"),
-            F.lit(code).alias("code"), text.alias("message"))
-
-    name = ",".join(t.pk)
-    keys = key_counts(base, t.pk)
-    out = [
-        issue(keys, F.col("n_null_keys") > 0, "error", "pk_null",
-              F.concat(F.col("n_null_keys").cast("string"), F.lit(" rows have a NULL key")), name),
-        issue(keys, F.col("n_duplicate_keys") > 0, "error", "pk_duplicate",
-              F.concat(F.col("n_duplicate_keys").cast("string"), F.lit(" rows repeat an earlier key")), name),
-    ]
+    def counted(column: str, text: str) -> Column:
+        return F.concat(F.col(column).cast("string"), F.lit(text))
+
+    name, count = ",".join(t.pk), F.col
+    checks = [
+        (count("n_null_keys") > 0, "error", name, "pk_null", counted("n_null_keys", " rows have a NULL key")),
+        (count("n_duplicate_keys") > 0, "error", name, "pk_duplicate",
+         counted("n_duplicate_keys", " rows repeat an earlier key"))]
     for c in t.columns:
         size = domain_size(c.gen, spec.locale if c.locale is None else c.locale) if c.resolves else None
         if size is not None:
-            out.append(issue(keys, F.col("n_rows") > size, "warning", "domain_small", F.concat(
-                F.col("n_rows").cast("string"), F.lit(f" rows share {size} possible values")), c.name))
+            checks.append((count("n_rows") > size, "warning", c.name, "domain_small",
+                           counted("n_rows", f" rows share {size} possible values")))
+    out = [_when_counted(key_counts(base, t.pk), t.name, checks)]
     source = source_rows(base.sparkSession, t, lookup)
     if source is not None:
-        repeated = key_counts(source, t.pk)
-        out.append(issue(repeated, F.col("n_duplicate_keys") > 0, "error", "source_duplicate", F.concat(
-            F.col("n_duplicate_keys").cast("string"), F.lit(" source rows repeat an earlier key")), name))
+        out.append(_when_counted(key_counts(source, t.pk), t.name, [
+            (count("n_duplicate_keys") > 0, "error", name, "source_duplicate",
+             counted("n_duplicate_keys", " source rows repeat an earlier key"))]))
         absent = source.select(*t.pk).join(base.select(*t.pk), list(t.pk), "left_anti").agg(
             F.count(F.lit(1)).alias("n"))
-        out.append(issue(absent, F.col("n") > 0, "warning", "source_unmatched", F.concat(
-            F.col("n").cast("string"), F.lit(" source rows have no row in the table")), name))
+        out.append(_when_counted(absent, t.name, [
+            (count("n") > 0, "warning", name, "source_unmatched",
+             counted("n", " source rows have no row in the table"))]))
     return out
 
 
