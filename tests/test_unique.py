@@ -59,6 +59,7 @@ def test_value_seeded_groups_and_hot_values(spark, monkeypatch):
     """A third of all rows share one original; hot values take the broadcast path."""
     monkeypatch.setattr(unique, "HOT_ROWS", 3)
     monkeypatch.setattr(unique, "HOT_VALUES", 20)
+    monkeypatch.setattr(unique, "TRIES_PER_TASK", 50)
     rows = [(k, "hot" if k % 3 == 0 else f"v{k % 40}") for k in range(240)]
     df = spark.createDataFrame(rows, "id long, v string")
     domain = 60
@@ -71,6 +72,19 @@ def test_value_seeded_groups_and_hot_values(spark, monkeypatch):
     assert got == {k: value(k, 9 if a is None else a) for k, a in want.items()}
 
 
+def test_hot_values_of_keys(spark, monkeypatch):
+    """Few values and no declared domain: every value is hot in every round."""
+    monkeypatch.setattr(unique, "HOT_ROWS", 3)
+    monkeypatch.setattr(unique, "HOT_VALUES", 20)
+    register_provider("pick_hot", lambda s: s.pick(0, 25).cast("string"))
+    df = spark.range(150).select("id", F.lit("x").alias("v"))
+    spec = rule_spec("t", {"name": "v", "generator": "pick_hot", "force_unique": True}, salt="h")
+    value = picked(25, "h", "t")
+    want = serial.greedy(range(150), value, 10)
+    got = {r.id: r.v for r in run(df, spec).output().collect()}
+    assert got == {k: value(k, 9 if a is None else a) for k, a in want.items()}
+
+
 def test_composite_key_order(spark):
     rows = [(a, b, "x") for a in range(12) for b in range(12)]
     df = spark.createDataFrame(rows, "a int, b long, v string")

@@ -157,13 +157,15 @@ def _next_offers(active: DataFrame, waiting: int, ident: list[str], key: Column,
         active = active.repartition(total // TRIES_PER_TASK + 1, *ident)
     later = F.sequence(F.col("attempt") + F.lit(1), F.lit(tries - 1))
     retries = with_value(active.where(F.col("attempt") < tries - 1).withColumn("attempt", F.explode(later)))
-    wanted = retries.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     known = holders.select("value", "holder", "taken")
     if won is not None:
         known = known.unionByName(won.select("value", key.alias("holder"), F.lit(False).alias("taken")))
-    ruling = known.join(wanted, "value").groupBy("value").agg(
-        F.min("holder").alias("holder"), F.bool_or("taken").alias("taken"), F.max("n").alias("n"))
-    if total > HOT_ROWS:
+    holder = [F.min("holder").alias("holder"), F.bool_or("taken").alias("taken")]
+    if total <= HOT_ROWS:
+        ruling = known.join(retries.select("value"), "value", "left_semi").groupBy("value").agg(*holder)
+    else:
+        wanted = retries.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        ruling = known.join(wanted, "value").groupBy("value").agg(*holder, F.max("n").alias("n"))
         ruling = ws.save(ruling, f"ruling{number}")
     free = F.coalesce(~F.col("taken") & (key < F.col("holder")), F.lit(True))
     open_tries = join_by_value(retries, ruling, total, "left").where(free)
