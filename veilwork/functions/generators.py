@@ -65,7 +65,7 @@ def register_generator(name: str, build: Callable[[GenContext], Column], produce
                        domain: Callable[[GenSpec, str], int | None] | None = None) -> None:
     """Add a generator type; a name can be taken only once."""
     if name in _registry:
-        raise ValueError(f"generator {name!r} already registered")
+        raise ValueError(f"another generator is called {name!r}")
     _registry[name] = Generator(build, produces, check, domain or (lambda gen, locale: None))
 
 
@@ -73,7 +73,7 @@ def find_generator(name: str) -> Generator:
     try:
         return _registry[name]
     except KeyError:
-        raise UnknownGenerator(f"unknown generator type {name!r}") from None
+        raise UnknownGenerator(f"no generator is called {name!r}") from None
 
 
 def build_generator(ctx: GenContext) -> Column:
@@ -93,7 +93,7 @@ def _counter(ctx: GenContext) -> Column:
 
 def _faker(ctx: GenContext) -> Column:
     if not ctx.gen.provider:
-        raise UnknownProvider("faker generator requires a provider")
+        raise UnknownProvider("a faker rule has to name its provider")
     return find_provider(ctx.gen.provider, ctx.locale).build(ctx.scope)
 
 
@@ -103,7 +103,7 @@ def _faker_domain(gen: GenSpec, locale: str) -> int | None:
 
 def _template(ctx: GenContext) -> Column:
     if not ctx.gen.template:
-        raise TemplateError("template generator requires a template")
+        raise TemplateError("a template rule has to give its text")
     return compile_template(ctx.gen.template, ctx)
 
 

@@ -68,10 +68,10 @@ def report(masked: MaskedTable) -> DataFrame:
     counts = df.agg(
         F.count(F.lit(1)).alias("selected"), F.count_if(~F.col(FAILED)).alias("updated"),
         retried.alias("retried"), F.count_if(FAILED).alias("failed"), kept.alias("duplicates_kept"))
-    unmatched = masked.unmatched().agg(F.count(F.lit(1)).alias("unmatched"))
-    one_row_each = counts.crossJoin(unmatched)  # both are global aggregates
-    return one_row_each.select(F.lit(table.name).alias("table_name"),
-                               F.lit(",".join(table.masked)).alias("columns"), *counts.columns, "unmatched")
+    absent = masked.unmatched().agg(F.count(F.lit(1)).alias("unmatched"))
+    both = counts.unionByName(absent, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns]).select(
+        F.lit(table.name).alias("table_name"), F.lit(",".join(table.masked)).alias("columns"), *both.columns)
 
 
 def run_report(spec: MaskSpec, lookup: TableLookup) -> DataFrame:

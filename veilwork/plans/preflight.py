@@ -83,7 +83,7 @@ def type_problem(column: ColumnSpec, dtype: T.DataType) -> str | None:
         fits = produces == "bool" and isinstance(dtype, T.BooleanType)
     if fits:
         return None
-    return f"type mismatch: generator produces {produces!r} but column is {dtype.simpleString()!r}"
+    return f"{produces} values do not fit a column of type {dtype.simpleString()}"
 
 
 def _rule_issues(table: TableSpec, column: ColumnSpec, spec: MaskSpec,
@@ -91,15 +91,15 @@ def _rule_issues(table: TableSpec, column: ColumnSpec, spec: MaskSpec,
     gen = column.gen
     dtype = (types or {}).get(column.name)
     if column.name in table.pk:
-        yield "error", "pk_masked", f"cannot mask the primary key column {column.name!r}"
+        yield "error", "pk_masked", f"{column.name!r} belongs to the key, which stays as it is"
     if column.seed_by not in SEED_BY:
         yield "error", "unknown_seed_by", f"unknown seed_by {column.seed_by!r}"
     if types is not None and dtype is None:
-        yield "error", "column_missing", f"column {column.name!r} not found in table {table.name!r}"
+        yield "error", "column_missing", f"table {table.name!r} has no column {column.name!r}"
     if dtype is not None and column.by_value and not is_seedable(dtype):
         yield "error", "key_type", f"values of type {dtype.simpleString()} cannot seed masks"
     if column.name in dict(table.foreign_keys):
-        yield "warning", "fk_masked", f"column {column.name!r} is a foreign key; masking it may break references"
+        yield "warning", "fk_masked", f"{column.name!r} refers to another table; its masks may refer to nothing"
     if gen.type == "null" and (column.name in table.not_null):
         yield "error", "not_null", f"column {column.name!r} is declared NOT NULL"
     if gen.type == "null" and column.force_unique:
@@ -146,10 +146,10 @@ def static_issues(spec: MaskSpec, target: str = "") -> list[Issue]:
     found: list[Issue] = []
     if is_production_like(target) and not spec.salt:
         found.append(("error", "", "", "missing_salt",
-                      f"production-like target {target!r} detected but no salt is configured"))
+                      f"target {target!r} looks like production, which needs a salt"))
     for t in spec.tables:
         if not has_source(t.source.type):
-            found.append(("error", t.name, "", "unknown_source", f"source type {t.source.type!r} not found"))
+            found.append(("error", t.name, "", "unknown_source", f"no row source is called {t.source.type!r}"))
         for c in t.columns:
             found += [(s, t.name, c.name, code, text) for s, code, text in _rule_issues(t, c, spec, None)]
     return found
@@ -160,7 +160,7 @@ def _schema_issues(t: TableSpec, spec: MaskSpec, base: DataFrame, lookup: TableL
     found: list[Issue] = []
     for key in t.pk:
         if key not in types:
-            found.append(("error", t.name, key, "pk_missing", f"key column {key!r} not found in table {t.name!r}"))
+            found.append(("error", t.name, key, "pk_missing", f"table {t.name!r} has no key column {key!r}"))
         elif not is_seedable(types[key]):
             found.append(("error", t.name, key, "key_type",
                           f"values of type {types[key].simpleString()} cannot seed masks"))
@@ -236,7 +236,7 @@ def preflight(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, target:
             base = lookup(t.name)
             base.schema
         except (AnalysisException, KeyError):
-            found.append(("error", t.name, "", "table_missing", f"table {t.name!r} not found"))
+            found.append(("error", t.name, "", "table_missing", f"there is no table {t.name!r}"))
             continue
         if not has_source(t.source.type):
             continue

@@ -140,25 +140,25 @@ _analyze_sql = f"""SELECT table_name, column_name, 'faker' AS generator, CASE ru
 
 def _preflight_sql() -> str:
     fixed = [
-        ("error", "", "", "missing_salt", "production-like target 'live_shop' detected but no salt is configured"),
-        ("error", "customer", "c_custkey", "pk_masked", "cannot mask the primary key column 'c_custkey'"),
+        ("error", "", "", "missing_salt", "target 'live_shop' looks like production, which needs a salt"),
+        ("error", "customer", "c_custkey", "pk_masked", "'c_custkey' belongs to the key, which stays as it is"),
         ("error", "customer", "c_custkey", "type_mismatch",
-         "type mismatch: generator produces 'string' but column is 'bigint'"),
+         "string values do not fit a column of type bigint"),
         ("error", "customer", "c_name", "unknown_provider", "unknown faker provider 'no_such_provider'"),
         ("error", "customer", "c_mktsegment", "not_null", "column 'c_mktsegment' is declared NOT NULL"),
         ("warning", "customer", "c_nationkey", "fk_masked",
-         "column 'c_nationkey' is a foreign key; masking it may break references"),
+         "'c_nationkey' refers to another table; its masks may refer to nothing"),
         ("error", "customer", "c_nationkey", "type_mismatch",
-         "type mismatch: generator produces 'string' but column is 'int'"),
-        ("error", "customer", "c_phone", "column_missing", "column 'c_phone' not found in table 'customer'"),
+         "string values do not fit a column of type int"),
+        ("error", "customer", "c_phone", "column_missing", "table 'customer' has no column 'c_phone'"),
         ("error", "customer", "c_acctbal", "type_mismatch",
-         "type mismatch: generator produces 'int64' but column is 'double'"),
+         "int64 values do not fit a column of type double"),
         ("error", "lineitem", "l_returnflag", "bad_template", "invalid template: missing value for command"),
         ("error", "lineitem", "l_quantity", "key_type", "values of type double cannot seed masks"),
         ("error", "lineitem", "l_linestatus", "unknown_seed_by", "unknown seed_by 'global_id'"),
         ("error", "supplier", "s_nationkey", "type_mismatch",
-         "type mismatch: generator produces 'int64' but column is 'int'"),
-        ("error", "missing", "", "table_missing", "table 'missing' not found"),
+         "int64 values do not fit a column of type int"),
+        ("error", "missing", "", "table_missing", "there is no table 'missing'"),
     ]
     rows = " UNION ALL ".join(
         "SELECT " + ", ".join("'" + v.replace("'", "''") + f"' AS {n}" for v, n in zip(

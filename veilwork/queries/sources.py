@@ -9,7 +9,7 @@ from ..operators import diff as d
 from ..operators.mask import MaskedTable, mask_table, update_join
 from ..operators.verify import duplicates
 from ..plans.preflight import static_issues
-from ..plans.publish import apply_spec, published, run_log
+from ..plans.publish import apply_spec, latest_state, published, run_log
 from ..plans.spec import MaskSpec
 from ..sources.backends import register_source
 from ..storage import scratch_path
@@ -173,11 +173,12 @@ def _run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = _two_tables()
     assert not static_issues(spec)
     apply_spec(spark, spec, lookup(spark, sf_dir), out, target="testdata")
-    states = run_log(spark, out).groupBy("status", "seq").agg(F.countDistinct("run_id").alias("n_runs"))
-    rows = [published(spark, out, t.name).agg(F.count(F.lit(1)).alias(f"n_{t.name}")) for t in spec.tables]
-    for one in rows:  # global aggregates, one row each
-        states = states.crossJoin(one)
-    return states
+    found = run_log(spark, out).groupBy(F.col("status").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    for t in spec.tables:
+        rows = published(spark, out, t.name).agg(F.count(F.lit(1)).alias("n"))
+        found = found.unionByName(rows.select(F.lit(t.name).alias("item"), "n"))
+    latest = latest_state(run_log(spark, out)).select(F.lit("latest ").alias("a"), "status")
+    return found.unionByName(latest.select(F.concat("a", "status").alias("item"), F.lit(1).cast("long").alias("n")))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,9 +297,8 @@ ORACLES = {
                     "UNION ALL SELECT 'lineitem', 'l_returnflag,l_linestatus', count(*) FROM lineitem "
                     "UNION ALL SELECT 'orders', 'o_orderpriority', 0 "
                     "UNION ALL SELECT 'part', 'p_name', count(*) FROM part WHERE p_retailprice < 1000",
-    "run_state": "SELECT s.status, s.seq::INTEGER AS seq, 1::BIGINT AS n_runs, "
-                 "(SELECT count(*) FROM customer) AS n_customer, (SELECT count(*) FROM orders) AS n_orders "
-                 "FROM (VALUES ('STARTED', 0), ('COMPLETED', 1)) s(status, seq)",
+    "run_state": "SELECT item, 1::BIGINT AS n FROM (VALUES ('STARTED'), ('COMPLETED'), ('latest COMPLETED')) t(item) "
+                 "UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders",
     "stream_mask_events": sql.masked("events", "event_id", {
         "event_type": sql.provider("username"), "props": sql.provider("short_text", "h_v")},
         seeds={"v": sql.value_seed("props")}),

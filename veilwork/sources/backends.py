@@ -23,7 +23,7 @@ _backends: dict[str, Callable[[SparkSession, str], TableLookup]] = {}
 
 def register_backend(scheme: str, connect: Callable[[SparkSession, str], TableLookup]) -> None:
     if scheme in _backends:
-        raise ValueError(f"backend {scheme!r} already registered")
+        raise ValueError(f"another backend handles {scheme!r}")
     _backends[scheme] = connect
 
 
@@ -87,7 +87,7 @@ def register_source(kind: str, rows: Callable[[SparkSession, TableSpec, TableLoo
     differ from the table's own, the original values of masked columns.
     """
     if kind in _sources or kind == "table":
-        raise ValueError(f"source {kind!r} already registered")
+        raise ValueError(f"another row source is called {kind!r}")
     _sources[kind] = rows
 
 
@@ -101,7 +101,7 @@ def source_rows(spark: SparkSession, table: TableSpec, lookup: TableLookup) -> D
     if kind == "table":
         return None
     if kind not in _sources:
-        raise SourceError(f"source type {kind!r} not found")
+        raise SourceError(f"no row source is called {kind!r}")
     rows = _sources[kind](spark, table, lookup)
     missing = [c for c in table.pk if c not in rows.columns]
     if missing:
@@ -111,7 +111,7 @@ def source_rows(spark: SparkSession, table: TableSpec, lookup: TableLookup) -> D
 
 def _view(spark: SparkSession, table: TableSpec, lookup: TableLookup) -> DataFrame:
     if not table.source.name:
-        raise SourceError("view source requires a 'name'")
+        raise SourceError("a view source needs the 'name' of its view")
     rows = lookup(table.source.name)
     return rows.where(table.source.filter) if table.source.filter else rows
 
@@ -119,11 +119,11 @@ def _view(spark: SparkSession, table: TableSpec, lookup: TableLookup) -> DataFra
 def _query(spark: SparkSession, table: TableSpec, lookup: TableLookup) -> DataFrame:
     sql = table.source.sql.strip()
     if not sql:
-        raise SourceError("query source requires 'sql'")
+        raise SourceError("a query source needs 'sql'")
     if not sql.upper().startswith("SELECT"):
-        raise SourceError("query must be a SELECT statement")
+        raise SourceError("only a SELECT can name the rows")
     if "ORDER BY" not in sql.upper():
-        raise SourceError("query must include ORDER BY")
+        raise SourceError("the query has to state its ORDER BY")
     return spark.sql(sql)
 
 
