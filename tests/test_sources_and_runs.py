@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from veilwork import (MaskedTable, MaskSpec, apply_spec, check_target, diff, dry_run, latest_state, mask_stream,
-                      mask_table, open_tables, preflight, preview, published, register_backend, register_source,
+                      mask_table, open_tables, preflight, preview, published, register_backend, register_generator, register_source,
                       report, require_clean, run_log, run_report, update_join, write_stream)
 from veilwork.operators import discover
 from veilwork.operators.diff import estimate_rows
@@ -220,6 +220,15 @@ def test_preflight_finds(spark, users, column, code):
     assert code in {r.code for r in preflight(spark, users_spec(column), {"users": users}.__getitem__).collect()}
 
 
+def test_generators_bring_their_own_checks(spark, users):
+    register_generator("test_checked", lambda ctx: ctx.seed,
+                       check=lambda gen, dtype: None if gen.value == "ok" else "value must be ok")
+    def codes(value):
+        spec = users_spec({"name": "name", "gen": {"type": "test_checked", "value": value}})
+        return [(r.code, r.message) for r in preflight(spark, spec, {"users": users}.__getitem__).collect()]
+    assert codes("ok") == [] and codes("x") == [("generator_check", "value must be ok")]
+
+
 def test_null_and_repeated_keys(spark):
     df = spark.createDataFrame([(None, "a"), (1, "b"), (1, "c"), (1, "d")], "id long, name string")
     found = {r.code: r.message for r in preflight(spark, users_spec(), {"users": df}.__getitem__).collect()}
