@@ -1,14 +1,12 @@
 """Sources, write-back, previews, reports, preflight, publishing and streams."""
 
-import datetime as dt
-
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from veilwork import (MaskedTable, MaskSpec, apply_spec, check_target, diff, dry_run, latest_state, mask_stream,
-                      mask_table, open_tables, preflight, preview, published, register_backend, register_generator, register_source,
-                      report, require_clean, run_log, run_report, update_join, write_stream)
+                      mask_table, open_tables, preflight, preview, published, register_backend, register_generator,
+                      register_source, report, require_clean, run_log, run_report, update_join, write_stream)
 from veilwork.operators import discover
 from veilwork.operators.diff import estimate_rows
 from veilwork.operators.verify import checksum, determinism, duplicates, leaks, untouched
