@@ -3,7 +3,7 @@
 Every text is a sequence of words.  Suffixes are sorted by prefix doubling, many
 texts at a time; common-prefix lengths of neighbours in that order give the
 longest repeat that starts at each word, hence the union of all maximal repeated
-word sequences (eight words or more) and the longest of them.  Texts of any
+word sequences (four words or more) and the longest of them.  Texts of any
 length are taken whole; the work per text is local to its row, so a hot source
 or a group of copies costs what its bytes cost.
 
@@ -27,12 +27,15 @@ from pyspark.sql.types import StructType
 from .tables import arrow_map, read
 from .words import Piece, pieces
 
+#: The base rule: eight-word windows.
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: The method's own limits: share of a text's words inside repeats, and the longest repeat as a share of the words.
+#: The method's own limits: repeats of this many words or more count, the share of a text's words that they may
+#: cover, and the share of the words that the longest may have.
+MIN_REPEAT = 4
 MAX_COVERED = 0.30
-MAX_LONGEST = 0.25
+MAX_LONGEST = 0.15
 
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -63,11 +66,13 @@ def _cover(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def repeats(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def repeats(words: np.ndarray, first: np.ndarray, window: int = WINDOW,
+            least: int = MIN_REPEAT) -> tuple[np.ndarray, np.ndarray]:
     """Words in repeated windows, and at each word the longest repeat starting there.
 
     ``words`` are word ids, text ``d`` has those at ``first[d]:first[d + 1]``.
-    ``window`` is a power of two.
+    Repeats under ``least`` words count as none; it and ``window`` are powers of
+    two, ``least`` the smaller.
     """
     n, counts = len(words), np.diff(first)
     longest = np.zeros(n, np.int64)
@@ -81,17 +86,18 @@ def repeats(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple
         rank = _dense(rank, _ahead(rank, every, step, stop))
         step *= 2
         levels.append((step, rank))
+
+    def repeated(length: int) -> np.ndarray:
+        of = next(r for s, r in levels if s == length)
+        return np.flatnonzero((np.bincount(of)[of] > 1) & (every + length <= stop))
+
+    full, active = repeated(window), repeated(least)
+    twice = _cover(n, full, np.full(len(full), window))
+
+    # Suffix order of the words where a repeat starts.  A group's rank is the place of its first member.
     size = np.bincount(rank)
-    active = np.flatnonzero((size[rank] > 1) & (every + window <= stop))
-    twice = np.zeros(n, bool)
-    if not len(active):
-        return twice, longest
-    twice = _cover(n, active, np.full(len(active), window))
-
-    # Suffix order of the words whose window repeats.  A group's rank is the place of its first member.
-    place = np.concatenate([[0], np.cumsum(size)])[:-1]
-    rank = place[rank]
-    members = active
+    members = active[size[rank[active]] > 1]
+    rank = (np.cumsum(size) - size)[rank]
     while len(members):
         after = _ahead(rank, members, step, stop)
         order = np.lexsort((after, rank[members]))
@@ -112,8 +118,8 @@ def repeats(words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple
 
     order = active[np.argsort(rank[active], kind="stable")]
     left, right = order[:-1], order[1:]
-    window_rank = next(r for s, r in levels if s == window)
-    near = window_rank[left] == window_rank[right]
+    shared = next(r for s, r in levels if s == least)
+    near = shared[left] == shared[right]
     left, right = left[near], right[near]
     common, i, j = np.zeros(len(left), np.int64), left.copy(), right.copy()
     end = np.minimum(stop[left] - left, stop[right] - right)
@@ -140,7 +146,7 @@ def _duplicate_lines(piece: Piece) -> np.ndarray:
     return np.bincount(text[key.duplicated().to_numpy()], minlength=len(piece))
 
 
-def measure(piece: Piece, window: int = WINDOW) -> dict[str, np.ndarray]:
+def measure(piece: Piece, least: int = MIN_REPEAT) -> dict[str, np.ndarray]:
     """The measures of each text of a piece."""
     edge = np.zeros(len(piece.buf) + 1, np.int8)
     edge[piece.starts] += 1
@@ -148,7 +154,7 @@ def measure(piece: Piece, window: int = WINDOW) -> dict[str, np.ndarray]:
     spaces = np.cumsum(edge[:-1], dtype=np.int8) == 0
     n = len(piece)
     ids = pd.factorize(piece.hashes())[0]
-    twice, longest = repeats(ids, piece.first, window)
+    twice, longest = repeats(ids, piece.first, least=least)
     covered = _cover(len(ids), np.flatnonzero(longest), longest[longest > 0])
     owner = piece.owner
     top = np.zeros(n, np.int64)
@@ -165,13 +171,15 @@ def measure(piece: Piece, window: int = WINDOW) -> dict[str, np.ndarray]:
 
 
 def repetition(docs: DataFrame, text: str = "text", max_covered: float = MAX_COVERED,
-               max_longest: float = MAX_LONGEST, min_words: int = MIN_WORDS) -> DataFrame:
+               max_longest: float = MAX_LONGEST, min_repeat: int = MIN_REPEAT,
+               min_words: int = MIN_WORDS) -> DataFrame:
     """Add the measures, ``base_failed`` and ``kept`` to documents.
 
     A text passes the base rule with at least ``min_words`` words of which at
     most 30 % lie in eight-word windows found twice or more.  It is kept if it
     also has at most the share ``max_covered`` of its words inside maximal
-    repeats, and no repeat longer than the share ``max_longest`` of its words.
+    repeats of ``min_repeat`` words or more (a power of two up to eight), and no
+    repeat longer than the share ``max_longest`` of its words.
     """
     docs = docs.drop("base_failed", "kept", *StructType.fromDDL(MEASURES).names)
     at, names = docs.columns.index(text), docs.columns
@@ -180,7 +188,7 @@ def repetition(docs: DataFrame, text: str = "text", max_covered: float = MAX_COV
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for piece in pieces(batch.column(at)):
             part = batch.slice(piece.rows.start, piece.rows.stop - piece.rows.start)
-            yield dict(zip(names, part.columns)) | measure(piece)
+            yield dict(zip(names, part.columns)) | measure(piece, min_repeat)
 
     measured = arrow_map(docs, schema, work)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
