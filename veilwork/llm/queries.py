@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, repetition
+from . import language, mixing, repetition
 
-_MODULES = (repetition, mixing)
+_MODULES = (repetition, language, mixing)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
