@@ -159,7 +159,7 @@ class Encoder:
 
     def _encode(self, units: list[str]) -> list[list[int]]:
         """Ids of each unit.  Words are joined by line feeds, which are tokens of their own, to save calls."""
-        single = [i for i, u in enumerate(units) if "\n" in u or not u.strip()]
+        single = [i for i, u in enumerate(units) if u.removeprefix(" ").split() != [u.removeprefix(" ")]]
         alone = set(single)
         words = [i for i in range(len(units)) if i not in alone]
         found: list[list[int]] = [[]] * len(units)
