@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, repetition
+from . import html, language, mixing, packing, repetition
 
-_MODULES = (repetition, packing, language, mixing)
+_MODULES = (html, repetition, packing, language, mixing)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
