@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html, language, mixing, packing, repetition, toxicity
+from . import html, language, mixing, neighbours, packing, repetition, toxicity
 
-_MODULES = (html, toxicity, repetition, packing, language, mixing)
+_MODULES = (html, toxicity, repetition, neighbours, packing, language, mixing)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
