@@ -76,12 +76,16 @@ def _offset(source: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """``row`` (the document as a struct), ``size``, ``source_size``, ``target`` and ``copies``, a row per document."""
+        weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED,
+        carry: list[str] | None = None) -> DataFrame:
+    """``row`` (the document as a struct), ``size``, ``source_size``, ``target`` and ``copies``, a row per document.
+
+    ``carry`` names the columns of the struct, all by default.
+    """
     work = Workspace(docs.sparkSession, "mix")
     order = [F.col("source").asc_nulls_last(), "size", F.col("key").asc_nulls_last(), "digest"]
     ordered = (
-        docs.select(F.struct(*docs.columns).alias("row"), F.col(source).alias("source"), F.col(key).alias("key"),
+        docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col(source).alias("source"), F.col(key).alias("key"),
                     n_words(F.col(text)).alias("size"),
                     F.coalesce(F.md5(F.col(text)), F.lit("")).alias("digest"))
         .repartitionByRange(*order).sortWithinPartitions(*order)
@@ -113,7 +117,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("row.doc_id", "size", "source_size", "target",
+    return mix(docs, carry=["doc_id"]).select("row.doc_id", "size", "source_size", "target",
                             (F.col("copies") * F.col("size")).alias("taken"))
 
 
