@@ -41,7 +41,7 @@ from .words import Piece, pieces
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 1_000_000
 
 _MAGIC = b"VWB1"
 _JOINED = 256

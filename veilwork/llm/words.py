@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 21
 
 _WINDOW = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -117,7 +117,7 @@ class Piece:
 
 
 def pieces(column: pa.Array, lower: bool = False) -> Iterator[Piece]:
-    """Cut a column of texts into pieces of about four megabytes, at text ends only.
+    """Cut a column of texts into pieces of about two megabytes, at text ends only.
 
     NULL counts as the empty text.  ``lower`` lower-cases A to Z.
     """
