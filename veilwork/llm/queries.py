@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html, language, mixing, neighbours, packing, repetition, similar, toxicity
+from . import html, language, mixing, neighbours, packing, repetition, scoring, similar, toxicity
 
-_MODULES = (html, toxicity, similar, repetition, neighbours, packing, language, mixing)
+_MODULES = (html, toxicity, similar, repetition, neighbours, packing, language, scoring, mixing)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
