@@ -197,6 +197,12 @@ def repetition(docs: DataFrame, text: str = "text", max_covered: float = MAX_COV
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
 
 
+def good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
+    """The documents that are kept, columns unchanged; ``limits`` as for ``repetition``."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return repetition(packed, **limits).where("kept").select("row.*")
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return repetition(docs).drop("text")
