@@ -55,11 +55,8 @@ def test_unknown_domain_gives_the_same(spark):
     assert got == {k: value(k, 9 if a is None else a) for k, a in want.items()}
 
 
-def test_value_seeded_groups_and_hot_values(spark, monkeypatch):
-    """A third of all rows share one original; hot values take the broadcast path."""
-    monkeypatch.setattr(unique, "HOT_ROWS", 3)
-    monkeypatch.setattr(unique, "HOT_VALUES", 20)
-    monkeypatch.setattr(unique, "TRIES_PER_TASK", 50)
+def test_value_seeded_groups_and_hot_values(spark):
+    """A third of all rows share one original."""
     rows = [(k, "hot" if k % 3 == 0 else f"v{k % 40}") for k in range(240)]
     df = spark.createDataFrame(rows, "id long, v string")
     domain = 60
@@ -72,10 +69,8 @@ def test_value_seeded_groups_and_hot_values(spark, monkeypatch):
     assert got == {k: value(k, 9 if a is None else a) for k, a in want.items()}
 
 
-def test_hot_values_of_keys(spark, monkeypatch):
-    """Few values and no declared domain: every value is hot in every round."""
-    monkeypatch.setattr(unique, "HOT_ROWS", 3)
-    monkeypatch.setattr(unique, "HOT_VALUES", 20)
+def test_hot_values_of_keys(spark):
+    """Few values and no declared domain: every value is asked for by many rows in every round."""
     register_provider("pick_hot", lambda s: s.pick(0, 25).cast("string"))
     df = spark.range(150).select("id", F.lit("x").alias("v"))
     spec = rule_spec("t", {"name": "v", "generator": "pick_hot", "force_unique": True}, salt="h")
@@ -174,3 +169,60 @@ def test_string_keys(spark):
     want = serial.greedy(sorted(keys), value, 10)
     got = {r.id: r.v for r in run(df, spec).output().collect()}
     assert got == {k: value(k, 9 if a is None else a) for k, a in want.items()}
+
+
+def test_understated_domain_changes_nothing(spark):
+    """A registered domain is advice for the preflight; the result does not rest on it."""
+    register_provider("pick_understated", lambda s: s.pick(0, 500).cast("string"), domain=50)
+    df = spark.range(69).select("id", F.lit("x").alias("v"))
+    spec = rule_spec("t", {"name": "v", "generator": "pick_understated", "force_unique": True})
+    value = picked(500, "", "t")
+    want = serial.greedy(range(69), value, 10)
+    got = {r.id: r.v for r in run(df, spec).output().collect()}
+    assert got == {k: value(k, 9 if a is None else a) for k, a in want.items()}
+
+
+@pytest.mark.parametrize("keys", [[1, 2, 2, 3], [None, 1, None]])
+def test_keys_must_name_one_row(spark, keys):
+    df = spark.createDataFrame([(k, f"v{i}") for i, k in enumerate(keys)], "id long, v string")
+    for rule in ({"generator": "phone_number", "force_unique": True},
+                 {"gen": {"type": "constant", "value": "c"}, "unique": True}):
+        with pytest.raises(unique.KeyProblem):
+            run(df, rule_spec("t", {"name": "v", **rule})).output()
+
+
+def test_written_tables_hold_no_originals(spark, monkeypatch):
+    """Whatever rounds write has keys, tries and masks only, and all but the outcome is deleted."""
+    seen, dropped = {}, []
+    save, drop = unique.Workspace.save, unique.Workspace.drop
+    monkeypatch.setattr(unique.Workspace, "save", lambda ws, df, name: seen.setdefault(
+        (ws.root, name), save(ws, df, name)))
+    monkeypatch.setattr(unique.Workspace, "drop", lambda ws: (dropped.append(ws.root), drop(ws)))
+    rows = [(k, f"secret{k % 40}") for k in range(200)]
+    before = {name for _, name in seen}
+    df = spark.createDataFrame(rows, "id long, v string")
+    spec = rule_spec("t", {"name": "v", "generator": pick_provider(150), "force_unique": True, "seed_by": "value"})
+    run(df, spec).output().collect()
+    allowed = {"id", "attempt", "value", "holder", "n", "taken", "idle", "changed", "displaced"}
+    assert len(seen) > 4 and not before
+    for (root, _), frame in seen.items():
+        assert set(frame.columns) <= allowed
+        if root not in dropped:
+            assert not frame.where(F.array_contains(F.array(*[F.col(c).cast("string") for c in frame.columns]), "secret1")).count()
+    assert {root for root, _ in seen} - set(dropped) == {root for root, name in seen if name == "attempts"}
+
+
+def test_two_force_unique_columns_join_once(spark):
+    """Tries of several columns meet the base in one join."""
+    df = spark.range(60).select("id", F.lit("x").alias("v"), F.lit("y").alias("w"))
+    spec = MaskSpec.from_dict({"tables": [{"name": "t", "pk": "id", "columns": [
+        {"name": "v", "generator": pick_provider(80), "force_unique": True},
+        {"name": "w", "generator": pick_provider(70), "force_unique": True}]}]})
+    masked = run(df, spec)
+    got = masked.output().collect()
+    for column, domain in (("v", 80), ("w", 70)):
+        value = picked(domain, "", "t")
+        want = serial.greedy(range(60), value, 10)
+        assert {r.id: r[column] for r in got} == {k: value(k, 9 if a is None else a) for k, a in want.items()}
+    plan = masked.wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1

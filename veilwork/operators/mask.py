@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.generators import GenContext, build_generator, domain_size
+from ..functions.generators import GenContext, build_generator
 from ..functions.seed import SeedScope, materialise_seeds, pk_identifier, render_or_nil, seed_column
 from ..plans.spec import GENERATOR_TYPES, ColumnSpec, MaskSpec, TableSpec
 from ..sources.backends import TableLookup, source_rows
@@ -186,7 +186,7 @@ class MaskedTable:
         return resolve_attempts(
             self.selected, self.table.pk, [original] if needs_original else [], with_value,
             UNIQUE_COLUMN_TRIES if rule.unique else FORCE_UNIQUE_TRIES,
-            taken=taken, domain=domain_size(rule.gen, locale_of(rule, self.spec)), alike=alike)
+            taken=taken, alike=alike)
 
     def _untouched(self) -> DataFrame:
         """Base rows the whole source, not just a preview of it, leaves alone."""
@@ -212,16 +212,17 @@ class MaskedTable:
             # A refused row is generated afresh as a whole, so its columns agree.
             owner_of = {r.name: r.name if r.force_unique and not r.unique else unique[0].name
                         for r in table.columns}
-        failed = F.lit(False)
-        for rule in [r for r in table.columns if r.resolves]:
+        resolved = [r for r in table.columns if r.resolves]
+        for rule in resolved:
             if rule.name not in self.attempts:
                 self.attempts[rule.name] = self._resolve(rule)
             found = self.attempts[rule.name]
             if rule.unique and rule.on_exhausted == "fail" and found.exhausted:
                 raise ExhaustedError(f"{found.exhausted} rows of {table.name}.{rule.name} have no free value")
-            df = self._add_attempt(df, rule, found)
-            if rule.unique:
-                failed = failed | F.col(f"__exhausted_{rule.name}")
+        df = self._add_attempts(df, resolved)
+        failed = F.lit(False)
+        for rule in unique:
+            failed = failed | F.col(f"__exhausted_{rule.name}")
         attempts = {c: attempt_name(o) for c, o in owner_of.items()}
         df = add_new_values(df, table, table.columns, self.spec, self.types, self._originals, attempts,
                             None if all_selected else F.col(SELECTED))
@@ -231,19 +232,30 @@ class MaskedTable:
                                F.when(~exhausted, F.col(new_name(rule.name))))
         return df.withColumn(FAILED, F.col(SELECTED) & failed)
 
-    def _add_attempt(self, df: DataFrame, rule: ColumnSpec, found: Attempts) -> DataFrame:
-        last = (UNIQUE_COLUMN_TRIES if rule.unique else FORCE_UNIQUE_TRIES) - 1
-        name, flag = attempt_name(rule.name), f"__exhausted_{rule.name}"
-        attempt = F.lit(found.default).cast("int")
-        if found.table is not None:
-            pk = list(self.table.pk)
-            listed = found.table.select(*pk, F.col("attempt").alias("__try"), F.lit(True).alias("__listed"))
+    def _add_attempts(self, df: DataFrame, rules: list[ColumnSpec]) -> DataFrame:
+        """Tries and exhausted flags of all rules, by one join: their tables are merged by key before."""
+        pk = list(self.table.pk)
+        parts = None
+        for rule in rules:
+            table = self.attempts[rule.name].table
+            if table is None:
+                continue
+            part = table.select(*pk, *[
+                F.struct("attempt").alias(r.name) if r.name == rule.name else
+                F.lit(None).cast("struct<attempt:int>").alias(r.name) for r in rules])
+            parts = part if parts is None else parts.unionByName(part)
+        if parts is not None:
+            listed = parts.groupBy(*pk).agg(*[F.first(r.name, ignorenulls=True).alias(f"__listed_{r.name}") for r in rules])
             df = df.join(listed, pk, "left")
-            attempt = F.when(F.col("__listed"), F.col("__try")).otherwise(attempt)
-        df = df.withColumn(name, attempt)
-        df = df.withColumns({flag: F.col(SELECTED) & F.col(name).isNull(),
-                             name: F.coalesce(F.col(name), F.lit(last))})
-        return df.drop("__try", "__listed")
+        for rule in rules:
+            last = (UNIQUE_COLUMN_TRIES if rule.unique else FORCE_UNIQUE_TRIES) - 1
+            name, flag, listed = attempt_name(rule.name), f"__exhausted_{rule.name}", f"__listed_{rule.name}"
+            attempt = F.lit(0) if parts is None else F.when(
+                F.col(listed).isNotNull(), F.col(listed)["attempt"]).otherwise(F.lit(0))
+            df = df.withColumn(name, attempt)
+            df = df.withColumns({flag: F.col(SELECTED) & F.col(name).isNull(),
+                                 name: F.coalesce(F.col(name), F.lit(last))}).drop(listed)
+        return df
 
     # -- outputs -----------------------------------------------------------------
 

@@ -1,17 +1,17 @@
 """Distinct masks: give every row the first try whose value nobody ahead holds.
 
 The result equals a serial pass in key order in which each row takes its first
-value not taken yet.  It is computed in parallel by offers and refusals: rows
-offer for a value, the smallest key holds it, everybody else moves on, and a
-holder is displaced when a smaller key arrives later.  A value's holder only
-ever gets smaller, which allows two shortcuts: a row skips, in one step, every
-try held by a smaller key, and superseded records need no deletion because the
-smallest key wins when records are merged.
-
-The first round is one aggregation with map-side combining over all rows.
-Later rounds touch only rows that lost something.  The outcome is a table of
-the rows that differ from the common case, whichever common case makes it
-smaller.
+value not taken yet.  It is computed in parallel by claims: a value is held by
+the smallest key that ever claimed it, and a row claims its first try that no
+smaller key holds.  Holders only get smaller, so a try held by a smaller key is
+lost for good, and the holders alone are the state: they are the one table that
+a round writes, and a round without a change is the last.
+
+The first round is one aggregation with map-side combining over all rows.  Later
+rounds read the values of all tries of the rows that lost something or may be
+displaced, computed once, and the holders of those values only.  Written tables
+hold keys, tries and masks, never original values, and go when the outcome, a
+table of the rows that differ from the common case, is written.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
@@ -27,12 +27,9 @@ from ..storage import Workspace
 FORCE_UNIQUE_TRIES = 10
 UNIQUE_COLUMN_TRIES = 11  # the first value and ten retries
 
-# A value is hot when more rows offer for it than this; since the rows add up to
-# the total, fewer than HOT_VALUES values can be hot and they may be broadcast.
-HOT_VALUES = 1_000
-HOT_ROWS = 100_000
 
-TRIES_PER_TASK = 500_000
+class KeyProblem(ValueError):
+    """Rows without a key, or several rows with one."""
 
 
 @dataclass(frozen=True)
@@ -40,31 +37,25 @@ class Attempts:
     """Which try each row ends with.
 
     ``table`` has the key columns and ``attempt`` (NULL: no free value was
-    found) for the rows listed; all other rows have ``default``, where None
-    again means no free value.  ``table`` is None when every row has ``default``.
+    found) for the rows listed; all other rows end with the first try.
+    ``table`` is None when every row does.
     """
 
     table: DataFrame | None
-    default: int | None
     exhausted: int
     rounds: int
 
 
-def join_by_value(rows: DataFrame, facts: DataFrame, total: int, how: str) -> DataFrame:
-    """Join rows to one fact per ``value``; ``facts.n`` counts the rows per value.
-
-    Hot values are joined by broadcast so that none of them fills a shuffle
-    partition.  Their number is bounded by the sum of ``n`` being ``total``.
-    """
-    limit = max(total // HOT_VALUES, HOT_ROWS)
-    if total <= limit:
-        return rows.join(facts, "value", how)
-    hot = facts.where(F.col("n") > limit)
-    if hot.isEmpty():
-        return rows.join(facts, "value", how)
-    cold_rows = rows.join(F.broadcast(hot.select("value")), "value", "left_anti")
-    cold = cold_rows.join(facts.where(F.col("n") <= limit), "value", how)
-    return rows.join(F.broadcast(hot), "value", "inner").unionByName(cold)
+def check_keys(rows: DataFrame, pk: Sequence[str]) -> None:
+    """Raise unless every row has a key of its own, on which the order of rows rests."""
+    missing = F.lit(False)
+    for c in pk:
+        missing = missing | F.col(c).isNull()
+    found = rows.groupBy(*pk).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum(F.when(missing, F.col("n"))), F.lit(0)).alias("nulls"),
+        F.coalesce(F.sum(F.when(~missing, F.col("n") - 1)), F.lit(0)).alias("repeats")).first()
+    if found["nulls"] or found["repeats"]:
+        raise KeyProblem(f"{found['nulls']} rows have no key, {found['repeats']} repeat another row's key")
 
 
 def resolve_attempts(
@@ -74,67 +65,77 @@ def resolve_attempts(
     with_value: Callable[[DataFrame], DataFrame],
     tries: int,
     taken: DataFrame | None = None,
-    domain: int | None = None,
     alike: bool = False,
 ) -> Attempts:
     """Find the try of each row.
 
-    ``rows`` has the unique key ``pk`` and the columns ``carry`` that values
+    ``rows`` has the key ``pk`` (checked) and the columns ``carry`` that values
     depend on.  ``with_value`` adds ``value`` for the column ``attempt``.
-    ``taken`` (column ``value``) lists values nobody may use.  ``domain`` bounds
-    the number of different values.  ``alike`` says that values depend on
-    ``carry`` only, not on the key.
+    ``taken`` (column ``value``) lists values nobody may use.  ``alike`` says
+    that values depend on ``carry`` only, not on the key.
     """
     pk, ident = list(pk), [*pk, *carry]
+    check_keys(rows, pk)
     ws = Workspace(rows.sparkSession, "attempts")
     key = F.col(pk[0]) if len(pk) == 1 else F.struct(*pk)
 
     first = with_value(rows.select(*ident).withColumn("attempt", F.lit(0)))
     holders = ws.save(_first_round(first, key, taken), "holders")
-    held = (F.col("n") > 0) & ~F.col("taken") & F.col("value").isNotNull()
-    stats = holders.agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("rows"),
-        F.count_if(held).alias("winners"),
-        F.count_if((F.col("n") > 0) & F.col("value").isNotNull()).alias("values"),
-        F.coalesce(F.max(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"),
-    ).first()
-    if stats["rows"] == stats["winners"]:
-        return Attempts(None, 0, 0, 1)
-
-    contested = holders.where((F.col("n") > 1) | (F.col("taken") & (F.col("n") > 0)))
-    lost = join_by_value(first, contested, stats["rows"], "inner").where(
-        F.col("taken") | (key > F.col("holder"))).select(*ident, "attempt")
-    active = lost
-    if domain is not None and stats["values"] >= domain:
-        # Every value there is has a holder, so rows behind the last one are done.
-        active = active.where(key < _literal(holders.where(held).agg(F.max("holder")).first()[0], pk))
+    contested = holders.where((F.col("n") > 1) | (F.col("taken") & (F.col("n") > 0))).where(F.col("value").isNotNull())
+    if contested.isEmpty():
+        ws.drop()
+        return Attempts(None, 0, 1)
+
+    lost = first.join(contested, "value").where(F.col("taken") | (key > F.col("holder"))).select(*ident)
+    listed = ws.save(lost.select(*pk), "listed-0")
     if alike:
-        # Rows with the same tries get at most one value per try, smallest keys
-        # first, so all others are done.  The rank filter is applied within each
-        # map task before the shuffle, which keeps large groups small.
+        # Rows with the same tries get at most one value per try, smallest keys first, so all others are done.  The
+        # filter works within each map task before the shuffle, which keeps large groups small.
         rank = F.row_number().over(Window.partitionBy(*carry).orderBy(*pk))
-        active = active.withColumn("rank", rank).where(F.col("rank") <= tries).drop("rank")
-    active = ws.save(active, "lost0")
-
-    rounds: list[str] = []
-    won: DataFrame | None = None
-    waiting = active.count()
-    while waiting:
-        number = len(rounds) + 1
-        offers = ws.save(_next_offers(active, waiting, ident, key, with_value, tries, holders, won, ws, number),
-                         f"offers{number}")
-        rounds.append(f"round{number}")
-        outcome = ws.save(_settle(offers, waiting, rows, pk, carry, key, won, ws, number), rounds[-1])
-        won = ws.read(outcome, *rounds).where(~F.col("lost")).select(*ident, "attempt", "value")
-        active = outcome.where("lost").select(*ident, "attempt")
-        waiting = active.count()
-    return _outcome(ws, first, lost, holders.where(held), won, key, pk, stats, len(rounds) + 1)
-
-
-def _literal(value: object, pk: Sequence[str]) -> Column:
-    if len(pk) == 1 or value is None:
-        return F.lit(value)
-    return F.struct(*[F.lit(part).alias(name) for part, name in zip(value, pk)])
+        lost = lost.withColumn("rank", rank).where(F.col("rank") <= tries).drop("rank")
+
+    def tries_of(some: DataFrame) -> DataFrame:
+        every = some.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+        return with_value(every).select(*pk, "attempt", "value")
+
+    def rows_of(keys: DataFrame) -> DataFrame:
+        return rows.select(*ident).join(keys.select(*_unpack(pk)), pk)
+
+    asked = ws.save(tries_of(lost), "tries-0")
+    # Holders of values that smaller keys ask for may be displaced, so their tries count from the start.
+    wanted = asked.groupBy("value").agg(F.min(key).alias("by"))
+    threatened = holders.join(wanted, "value").where(~F.col("taken") & (F.col("by") < F.col("holder")))
+    names, rounds = ["tries-0", "tries-1"], 0
+    ws.save(tries_of(rows_of(threatened.select(F.col("holder").alias("key")))), "tries-1")
+    asked = ws.read(asked, *names)
+    present = asked.select(key.alias("holder")).distinct().withColumn("present", F.lit(True))
+    state = _held(holders, asked.select("value")).join(present, "holder", "left")
+    state = ws.save(state.withColumn("idle", F.when(F.col("present").isNull(), F.col("idle"))).drop("present"), "held-0")
+    while True:
+        rounds += 1
+        seen = Observation(f"round-{rounds}")
+        state = ws.save(_round(asked, state, pk, key).observe(
+            seen, F.count_if("changed").alias("changed"), F.count_if("displaced").alias("displaced")), f"held-{rounds}")
+        if not seen.get["changed"]:
+            break
+        if seen.get["displaced"]:
+            # Holders nobody was seen to threaten: their tries, and who holds the values of those.
+            gone = state.where("displaced").select(F.col("idle").alias("key"))
+            gone = gone.select(*_unpack(pk)).join(asked.select(*pk).distinct(), pk, "left_anti").select(
+                (F.col(pk[0]) if len(pk) == 1 else F.struct(*pk)).alias("key"))
+            names.append(f"tries-{rounds + 1}")
+            added = ws.save(tries_of(rows_of(gone)), names[-1])
+            more = _held(holders, added.select("value").join(state.select("value"), "value", "left_anti"))
+            ws.save(more.select(*state.columns), f"more-{rounds}")
+            asked = ws.read(asked, *names)
+            state = ws.read(state, f"held-{rounds}", f"more-{rounds}")
+    final = _open(asked, state, key).groupBy(*pk).agg(F.min("attempt").alias("attempt"))
+    ends = listed.unionByName(asked.select(*pk)).distinct().join(final, pk, "left").where(
+        F.col("attempt").isNull() | (F.col("attempt") > 0)).select(*pk, "attempt")
+    outcome = Workspace(rows.sparkSession, "outcome")
+    table = outcome.save(ends, "attempts")
+    ws.drop()
+    return Attempts(table, table.where(F.col("attempt").isNull()).count(), rounds + 1)
 
 
 def _first_round(first: DataFrame, key: Column, taken: DataFrame | None) -> DataFrame:
@@ -147,86 +148,38 @@ def _first_round(first: DataFrame, key: Column, taken: DataFrame | None) -> Data
         F.min("key").alias("holder"), F.count("key").alias("n"), F.bool_or("taken").alias("taken"))
 
 
-def _next_offers(active: DataFrame, waiting: int, ident: list[str], key: Column,
-                 with_value: Callable[[DataFrame], DataFrame], tries: int, holders: DataFrame,
-                 won: DataFrame | None, ws: Workspace, number: int) -> DataFrame:
-    """For every waiting row its next try that no smaller key holds."""
-    total = waiting * (tries - 1)
-    if total > TRIES_PER_TASK:
-        # Tables sorted by key leave the waiting rows in a few files.
-        active = active.repartition(total // TRIES_PER_TASK + 1, *ident)
-    later = F.sequence(F.col("attempt") + F.lit(1), F.lit(tries - 1))
-    retries = with_value(active.where(F.col("attempt") < tries - 1).withColumn("attempt", F.explode(later)))
-    known = holders.select("value", "holder", "taken")
-    if won is not None:
-        known = known.unionByName(won.select("value", key.alias("holder"), F.lit(False).alias("taken")))
-    holder = [F.min("holder").alias("holder"), F.bool_or("taken").alias("taken")]
-    if total <= HOT_ROWS:
-        ruling = known.join(retries.select("value"), "value", "left_semi").groupBy("value").agg(*holder)
-    else:
-        wanted = retries.where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-        ruling = known.join(wanted, "value").groupBy("value").agg(*holder, F.max("n").alias("n"))
-        ruling = ws.save(ruling, f"ruling{number}")
-    free = F.coalesce(~F.col("taken") & (key < F.col("holder")), F.lit(True))
-    open_tries = join_by_value(retries, ruling, total, "left").where(free)
-    return (open_tries.groupBy(*ident).agg(F.min(F.struct("attempt", "value", "holder")).alias("offer"))
-            .select(*ident, "offer.*"))
-
-
-def _settle(offers: DataFrame, waiting: int, rows: DataFrame, pk: list[str], carry: Sequence[str], key: Column,
-            won: DataFrame | None, ws: Workspace, number: int) -> DataFrame:
-    """Who gets each value, and who has to move on: later offers and displaced holders."""
-    best = offers.where(F.col("value").isNotNull()).groupBy("value").agg(
-        F.min(key).alias("best"), F.max("holder").alias("displaced"), F.count(F.lit(1)).alias("n"))
-    if waiting > HOT_ROWS:
-        best = ws.save(best, f"best{number}")
-    judged = join_by_value(offers.drop("holder"), best.select("value", "best", "n"), waiting, "left").withColumn(
-        "lost", F.coalesce(key != F.col("best"), F.lit(False)))
-
-    leaving = best.where(F.col("displaced").isNotNull()).select("value", F.col("displaced").alias("key"))
-    if won is None:
-        leaving = leaving.withColumn("attempt", F.lit(0))
-    else:
-        earlier = won.select("value", key.alias("key"), "attempt")
-        leaving = leaving.join(earlier, ["value", "key"], "left").withColumn(
-            "attempt", F.coalesce("attempt", F.lit(0)))
-    leaving = leaving.select("value", *_unpack(pk), "attempt", F.lit(True).alias("lost"))
-    if carry:
-        leaving = rows.select(*pk, *carry).join(leaving, pk)
-    columns = [*pk, *carry, "attempt", "value", "lost"]
-    return judged.select(*columns).unionByName(leaving.select(*columns))
+def _held(holders: DataFrame, values: DataFrame) -> DataFrame:
+    """Who holds these values after the first round.  ``idle`` is a holder from then."""
+    return holders.join(values.distinct(), "value", "left_semi").select(
+        "value", "holder", "taken", F.col("holder").alias("idle"),
+        F.lit(False).alias("changed"), F.lit(False).alias("displaced"))
+
+
+def _open(asked: DataFrame, state: DataFrame, key: Column) -> DataFrame:
+    """Tries that no smaller key holds.  NULL is nobody's value."""
+    known = state.select("value", "holder", "taken")
+    return asked.join(known, "value", "left").where(
+        F.coalesce(~F.col("taken") & (F.col("holder").isNull() | (key <= F.col("holder"))), F.lit(True)))
+
+
+def _round(asked: DataFrame, state: DataFrame, pk: list[str], key: Column) -> DataFrame:
+    """Every row claims its first open try; a value goes to the smallest key."""
+    first = _open(asked, state, key).groupBy(*pk).agg(F.min(F.struct("attempt", "value")).alias("claim"))
+    nobody = F.lit(None).cast(state.schema["holder"].dataType)
+    claims = first.where(F.col("claim.value").isNotNull()).select(
+        F.col("claim.value").alias("value"), key.alias("holder"), F.lit(False).alias("taken"), nobody.alias("idle"),
+        nobody.alias("before"))
+    idle = F.when(~F.col("displaced"), F.col("idle")).alias("idle")
+    kept = state.select("value", "holder", "taken", idle, F.col("holder").alias("before"))
+    merged = claims.unionByName(kept).groupBy("value").agg(
+        F.min("holder").alias("holder"), F.bool_or("taken").alias("taken"), F.max("idle").alias("idle"),
+        F.max("before").alias("before"))
+    return merged.select(
+        "value", "holder", "taken", "idle", (~F.col("holder").eqNullSafe(F.col("before"))).alias("changed"),
+        F.coalesce(F.col("holder") < F.col("idle"), F.lit(False)).alias("displaced"))
 
 
 def _unpack(pk: list[str]) -> list[Column]:
     if len(pk) == 1:
         return [F.col("key").alias(pk[0])]
     return [F.col("key").getField(name).alias(name) for name in pk]
-
-
-def _outcome(ws: Workspace, first: DataFrame, lost: DataFrame, held: DataFrame, won: DataFrame | None,
-             key: Column, pk: list[str], stats: object, rounds: int) -> Attempts:
-    if won is None:
-        exhausted, kept = stats["rows"] - stats["winners"], held
-        moved = None
-    else:
-        front = won.where(F.col("value").isNotNull()).groupBy("value").agg(F.min(key).alias("best"))
-        moved = ws.save(won.join(front, "value", "left").where(F.coalesce(key == F.col("best"), F.lit(True)))
-                        .select(*pk, "attempt"), "moved")
-        kept = held.join(front, "value", "left_anti")
-        gone = held.join(front, "value", "left_semi")
-        exhausted = stats["rows"] - (stats["winners"] - gone.count()) - moved.count()
-    if exhausted == 0:
-        return Attempts(moved, 0, 0, rounds)
-    if exhausted <= stats["rows"] - exhausted:
-        losers = lost.select(*pk)
-        if moved is not None:
-            losers = losers.unionByName(gone.select(F.col("holder").alias("key")).select(*_unpack(pk)))
-            losers = losers.join(moved, pk, "left_anti")
-        losers = losers.withColumn("attempt", F.lit(None).cast("int"))
-        table, default = losers if moved is None else losers.unionByName(moved), 0
-    else:
-        table = kept.select(F.col("holder").alias("key")).select(*_unpack(pk), F.lit(0).alias("attempt"))
-        if stats["nulls"]:
-            table = table.unionByName(first.where(F.col("value").isNull()).select(*pk, "attempt"))
-        table, default = table if moved is None else table.unionByName(moved), None
-    return Attempts(ws.save(table, "attempts"), default, exhausted, rounds)

@@ -19,14 +19,16 @@ _local_folder: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset a local session gets a temporary folder; a cluster has no
-    machine-local folder every executor can see, so there it is an error.
+    Where it is unset a session whose executors are threads of this process gets
+    a temporary folder; others have no machine-local folder that every executor
+    can see, so there it is an error.
     """
     global _local_folder
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_SETTING} to a folder all executors can reach")
     _local_folder = _local_folder or tempfile.mkdtemp(prefix="veilwork-")
     return _local_folder
@@ -49,5 +51,11 @@ class Workspace:
         df.write.parquet(path)
         return self.read(df, name)
 
+    def drop(self) -> None:
+        """Delete the folder; frames read from it are of no use any more."""
+        spark = self.spark
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     def read(self, like: DataFrame, *names: str) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(*[f"{self.root}/{n}" for n in names])
