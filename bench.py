@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -33,6 +34,9 @@ HEADLINE = {
     "stream_mask_events": "events",
     "discover_keys": "lineitem",
     "verify_untouched": "customer",
+    "preview_diff": "customer",
+    "preflight_issues": "customer",
+    "fk_cycles": "lineitem",
 }
 
 
@@ -45,6 +49,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -54,7 +55,8 @@ def main(sf_dir: str, names: list[str]) -> int:
 
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
-             .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-")).getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
     queries, oracles = e.queries(), e.oracle_sql()

@@ -83,22 +83,47 @@ def _table_keys(name: str, df: DataFrame) -> DataFrame:
         F.coalesce(c("c.position") == c("first"), F.lit(False)).alias("is_key"))
 
 
-def fk_candidates(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
-                  key_names: str = r"(key|id|uuid|code)$") -> list[Reference]:
-    """Columns named like the key of another table, up to a table prefix, with its type.
+def _family(dtype: T.DataType) -> object:
+    """Types whose values can be compared as references: integers of any width are one family."""
+    return T.IntegralType if isinstance(dtype, T.IntegralType) else dtype
+
+
+def _singular(table: str) -> set[str]:
+    name = table.lower()
+    names = {name}
+    for ending, instead in (("ies", "y"), ("ses", "s"), ("xes", "x"), ("s", "")):
+        if name.endswith(ending):
+            names.add(name[:len(name) - len(ending)] + instead)
+    return names
 
-    ``key_names`` says what a key is called, so that free text which happens to
-    be unique is not compared between tables.
+
+def fk_candidates(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
+                  key_names: str = r"(key|id|uuid|code)$",
+                  declared: Iterable[Reference] = ()) -> list[Reference]:
+    """Declared references, then columns named like the key of another table.
+
+    A column ``<table>_<key>`` (singular or plural) refers to that table; else a
+    column named like the key itself does, up to a prefix of one or two letters.
+    A name that several keys share, like ``id``, says nothing when the column is
+    its own table's key.  Integers of any width match.  ``key_names`` says what a
+    key is called, so that free text which happens to be unique is not compared.
     """
     def stem(column: str) -> str:
         return re.sub(r"^[a-z]{1,2}_", "", column)
 
-    found = []
+    found = list(declared)
+    stems = [stem(k) for k in keys.values()]
+    generic = {s for s in stems if s in ("id", "key", "uuid", "code") and stems.count(s) > 1}
     for child, df in tables.items():
         for f in df.schema.fields:
             for parent, key in keys.items():
-                if parent != child and re.search(key_names, key, re.I) and stem(f.name) == stem(key) \
-                        and f.dataType == tables[parent].schema[key].dataType:
+                if parent == child and f.name == key or not re.search(key_names, key, re.I) \
+                        or _family(f.dataType) != _family(tables[parent].schema[key].dataType):
+                    continue
+                by_table = f.name.lower() in {f"{t}_{stem(key)}" for t in _singular(parent)}
+                alike = parent != child and stem(f.name) == stem(key) and not (
+                    stem(key) in generic and keys.get(child) == f.name)
+                if (by_table or alike) and (child, f.name, parent, key) not in found:
                     found.append((child, f.name, parent, key))
     return found
 
@@ -125,31 +150,43 @@ def _reference(tables: Mapping[str, DataFrame], reference: Reference) -> DataFra
              "n_references", "n_orphans", (F.col("n_orphans") == 0).alias("holds"))
 
 
-def discover_fk(tables: Mapping[str, DataFrame], keys: Mapping[str, str]) -> DataFrame:
-    """Candidate references between the tables, checked against the data."""
-    return verify_references(tables, fk_candidates(tables, keys))
+def discover_fk(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
+                declared: Iterable[Reference] = ()) -> DataFrame:
+    """Declared and candidate references between the tables, checked against the data."""
+    return verify_references(tables, fk_candidates(tables, keys, declared=declared))
 
 
 def fk_cycles(edges: DataFrame, tables: Iterable[str]) -> DataFrame:
     """For every table, its outgoing references and whether they lead back to it.
 
-    Reachability is doubled each round, so the rounds grow with the logarithm
-    of the longest chain; each round is a written table.
+    References of tables without incoming or without outgoing ones are peeled
+    off until none is left; of what remains (cycles and the ways between them)
+    the reach is followed, one step of the frontier per round.
     """
     names = sorted(tables)
     spark = edges.sparkSession
     ws = Workspace(spark, "cycles")
     direct = ws.save(edges.select(F.col("child_table").alias("src"), F.col("parent_table").alias("dst")).distinct(),
                      "direct")
-    reach, size, number = direct, direct.count(), 0
-    while True:
+    core, size, number = direct, direct.count(), 0
+    while size:
         number += 1
-        hop = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst")
-        reach = ws.save(reach.unionByName(hop.select("src", F.col("far").alias("dst"))).distinct(), f"reach{number}")
-        grown = reach.count()
-        if grown == size:
+        ends = core.select(F.col("dst").alias("src")).distinct()
+        starts = core.select(F.col("src").alias("dst")).distinct()
+        core = ws.save(core.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"),
+                       f"core{number}")
+        left = core.count()
+        if left == size:
             break
-        size = grown
+        size = left
+    reach, frontier, steps = core, core, []
+    while not frontier.isEmpty():
+        number += 1
+        hop = frontier.join(core.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select(
+            "src", F.col("far").alias("dst")).distinct()
+        frontier = ws.save(hop.join(reach, ["src", "dst"], "left_anti"), f"step{number}")
+        steps.append(f"step{number}")
+        reach = core.unionByName(ws.read(core, *steps))
     outgoing = direct.groupBy(F.col("src").alias("table_name")).agg(F.count(F.lit(1)).alias("n_references"))
     circular = reach.where("src = dst").select(F.col("src").alias("table_name"), F.lit(True).alias("in_cycle"))
     listed = spark.createDataFrame([(n,) for n in names], "table_name string")

@@ -126,25 +126,30 @@ class MaskedTable:
         # duplicating or arbitrarily choosing rows.  Unused originals are pruned.
         old = {c: name for c, name in self._originals.items() if name != c}
         once = self._source.groupBy(*self.table.pk).agg(
-            F.count(F.lit(1)).alias("__n"), *[F.max(c).alias(name) for c, name in old.items()])
-        guard = F.when(F.col("__n") > 1, F.raise_error(F.lit(
-            f"source of table {self.table.name} returns a key more than once")).cast("boolean"))
+            F.count(F.lit(1)).alias("__n"), *[F.any_value(c).alias(name) for c, name in old.items()])
         joined = self.base.join(once, list(self.table.pk), "left")
-        return joined.withColumn(SELECTED, guard.otherwise(F.col("__n").isNotNull())).drop("__n")
+        return joined.withColumn(SELECTED, self._once_guard().otherwise(F.col("__n").isNotNull())).drop("__n")
 
-    def _first_rows(self, rows: DataFrame) -> DataFrame:
+    def _first_rows(self, rows: DataFrame, more: int = 0) -> DataFrame:
         # Without the coalesce the projections that follow move below the limit
         # and turn the top-n into a full sort.
-        return rows.orderBy(*self.table.pk).limit(self.limit).coalesce(1)
+        return rows.orderBy(*self.table.pk).limit(self.limit + more).coalesce(1)
 
     @cached_property
     def _preview_frame(self) -> DataFrame:
         pk = list(self.table.pk)
         if self._source is None:
             return self._first_rows(self._filtered).withColumn(SELECTED, F.lit(True))
-        rows = self._first_rows(self._source)
-        renamed = rows.select(*pk, *[F.col(c).alias(n) for c, n in self._originals.items() if n != c])
-        return self.base.join(renamed, pk).withColumn(SELECTED, F.lit(True))
+        # One row more than shown, so that a repeated last key is seen; then the guard of a full run.
+        old = {c: name for c, name in self._originals.items() if name != c}
+        once = self._first_rows(self._source, 1).groupBy(*pk).agg(
+            F.count(F.lit(1)).alias("__n"), *[F.any_value(c).alias(name) for c, name in old.items()])
+        first = once.orderBy(*pk).limit(self.limit).coalesce(1)
+        return self.base.join(first, pk).withColumn(SELECTED, self._once_guard().otherwise(F.lit(True))).drop("__n")
+
+    def _once_guard(self) -> Column:
+        return F.when(F.col("__n") > 1, F.raise_error(F.lit(
+            f"source of table {self.table.name} returns a key more than once")).cast("boolean"))
 
     @property
     def _filtered(self) -> DataFrame:
@@ -308,7 +313,7 @@ def update_join(base: DataFrame, changes: DataFrame, pk: Sequence[str]) -> DataF
     pk = list(pk)
     columns = [c for c in changes.columns if c not in pk]
     once = changes.groupBy(*pk).agg(F.count(F.lit(1)).alias("__n"),
-                                    *[F.max(c).alias(new_name(c)) for c in columns])
+                                    *[F.any_value(c).alias(new_name(c)) for c in columns])
     matched = F.when(F.col("__n") > 1, F.raise_error(F.lit("a key is listed more than once")).cast("boolean")
                      ).otherwise(F.col("__n").isNotNull())
     joined = base.join(once, pk, "left").withColumn("__matched", matched)

@@ -5,29 +5,58 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def leaks(before: DataFrame, after: DataFrame, pk: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Per column: rows compared and rows whose value did not change."""
-    old = before.select(*pk, *[F.col(c).alias(f"__old_{c}") for c in columns])
-    both = old.join(after.select(*pk, *columns), list(pk))
+    """Per column: rows of both frames, rows whose value did not change, and rows that only one of them has."""
+    old = before.select(*pk, *[F.col(c).alias(f"__old_{c}") for c in columns], F.lit(True).alias("__before"))
+    both = old.join(after.select(*pk, *columns, F.lit(True).alias("__after")), list(pk), "full")
+    paired = F.col("__before").isNotNull() & F.col("__after").isNotNull()
     same = [F.struct(F.lit(c).alias("column_name"),
-                     F.count_if(F.col(f"__old_{c}").eqNullSafe(F.col(c))).alias("n_unchanged")) for c in columns]
-    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*same).alias("s")).select(
-        "n_rows", F.explode("s").alias("s")).select("s.column_name", "n_rows", "s.n_unchanged")
+                     F.count_if(paired & F.col(f"__old_{c}").eqNullSafe(F.col(c))).alias("n_unchanged")) for c in columns]
+    return both.agg(
+        F.count_if(paired).alias("n_rows"), F.count_if(F.col("__after").isNull()).alias("n_missing"),
+        F.count_if(F.col("__before").isNull()).alias("n_added"), F.array(*same).alias("s")).select(
+        "n_rows", "n_missing", "n_added", F.explode("s").alias("s")).select(
+        "s.column_name", "n_rows", "s.n_unchanged", "n_missing", "n_added")
 
 
+def _plain(column: Column, dtype: T.DataType) -> Column:
+    """The same information in types that can be hashed: a map as its entries in order of their hashes."""
+    if isinstance(dtype, T.MapType):
+        entries = F.transform(F.map_entries(column), lambda e: F.struct(
+            _marked(e["key"], dtype.keyType).alias("key"), _marked(e["value"], dtype.valueType).alias("value")))
+        return F.array_sort(F.transform(entries, lambda e: F.xxhash64(e)))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(column, lambda e: _marked(e, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        return F.struct(*[_marked(column[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(dtype.fields)])
+    return column
+
+
+def _marked(column: Column, dtype: T.DataType) -> Column:
+    """With a mark for NULL, which hashing would skip, so that values cannot move between columns unseen."""
+    return F.struct(column.isNull().alias("null"), _plain(column, dtype).alias("value"))
+
+
+def row_digest(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Two independent 64-bit hashes of a row."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    marked = [_marked(F.col(c), types[c]) for c in columns]
+    return [F.xxhash64(*marked), F.xxhash64(F.lit("second"), *reversed(marked))]
+
 
 def difference(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows, counted with repetition, that only one of two frames has.
 
-    Both sides are combined to counts per distinct row before the shuffle.
+    What is shuffled is a 16-byte digest per row, combined to counts before.
     """
-    tagged = left.select(*columns, F.lit(1).alias("__side")).unionByName(
-        right.select(*columns, F.lit(-1).alias("__side")))
-    surplus = tagged.groupBy(*columns).agg(F.sum("__side").alias("d"))
+    tagged = [df.select(*[h.alias(f"h{i}") for i, h in enumerate(row_digest(df, columns))], F.lit(side).alias("__side"))
+              for df, side in ((left, 1), (right, -1))]
+    surplus = tagged[0].unionByName(tagged[1]).groupBy("h0", "h1").agg(F.sum("__side").alias("d"))
     return surplus.agg(
         F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("n_only_before"),
         F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("n_only_after"))
@@ -35,7 +64,7 @@ def difference(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Dat
 
 def checksum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Row count and order-free sums of two row hashes: one scan, no shuffle."""
-    first, second = F.xxhash64(*columns), F.xxhash64(F.lit("second"), *reversed(columns))
+    first, second = row_digest(df, columns) if columns else (F.lit(0), F.lit(0))
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
                   F.sum(first.cast("decimal(38,0)")).alias("sum_first"),
                   F.sum(second.cast("decimal(38,0)")).alias("sum_second"))
@@ -95,7 +124,10 @@ def uniqueness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def salt_sensitivity(one: DataFrame, other: DataFrame, pk: Sequence[str], column: str) -> DataFrame:
-    """Rows whose mask is the same under two salts."""
-    renamed = other.select(*pk, F.col(column).alias("__other"))
-    return one.select(*pk, column).join(renamed, list(pk)).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(column) == F.col("__other")).alias("n_equal"))
+    """Rows of both, rows whose mask is the same under two salts, and rows that only one run has."""
+    left = one.select(*pk, F.col(column).alias("__one"), F.lit(True).alias("__left"))
+    right = other.select(*pk, F.col(column).alias("__other"), F.lit(True).alias("__right"))
+    paired = F.col("__left").isNotNull() & F.col("__right").isNotNull()
+    return left.join(right, list(pk), "full").agg(
+        F.count_if(paired).alias("n_rows"), F.count_if(paired & F.col("__one").eqNullSafe(F.col("__other"))).alias("n_equal"),
+        F.count_if(~paired).alias("n_unpaired"))

@@ -64,6 +64,8 @@ def literal_fits(text: str, dtype: T.DataType) -> bool:
             date.fromisoformat(text)
         elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
             datetime.fromisoformat(text)
+        else:
+            return isinstance(dtype, T.StringType)
     except (ValueError, InvalidOperation):
         return False
     return True
@@ -203,13 +205,19 @@ def _data_issues(t: TableSpec, spec: MaskSpec, base: DataFrame, lookup: TableLoo
         (count("n_null_keys") > 0, "error", name, "pk_null", counted("n_null_keys", " rows have a NULL key")),
         (count("n_duplicate_keys") > 0, "error", name, "pk_duplicate",
          counted("n_duplicate_keys", " rows repeat an earlier key"))]
+    shared = []
     for c in t.columns:
         size = domain_size(c.gen, spec.locale if c.locale is None else c.locale) if c.resolves else None
         if size is not None:
-            checks.append((count("n_rows") > size, "warning", c.name, "domain_small",
+            shared.append((count("n_rows") > size, "warning", c.name, "domain_small",
                            counted("n_rows", f" rows share {size} possible values")))
     out = [_when_counted(key_counts(base, t.pk), t.name, checks)]
     source = source_rows(base.sparkSession, t, lookup)
+    if shared:
+        chosen = base.where(t.source.filter) if t.source.filter else base
+        if source is not None:
+            chosen = base.select(*t.pk).join(source.select(*t.pk), list(t.pk), "left_semi")
+        out.append(_when_counted(chosen.agg(F.count(F.lit(1)).alias("n_rows")), t.name, shared))
     if source is not None:
         out.append(_when_counted(key_counts(source, t.pk), t.name, [
             (count("n_duplicate_keys") > 0, "error", name, "source_duplicate",
@@ -250,7 +258,7 @@ def preflight(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, target:
 
 
 def require_clean(issues: DataFrame) -> None:
-    """Raise when there are errors; the message names the first few."""
-    errors = issues.where("severity = 'error'").limit(10).collect()
+    """Raise when there are errors; the message names all (at most a few per rule)."""
+    errors = issues.where("severity = 'error'").collect()
     if errors:
         raise PreflightFailed("; ".join(f"{e.table_name}.{e.column_name}: {e.message}" for e in errors))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators.diff import report
 from ..operators.mask import MaskedTable
-from ..operators.verify import checksum, same_schema
+from ..operators.verify import checksum, same_schema, uniqueness
 from ..sources.backends import TableLookup
 from .preflight import check_target, preflight, require_clean
 from .spec import MaskSpec
@@ -49,7 +49,9 @@ def run_log(spark: SparkSession, out: str) -> DataFrame:
     """Every state change recorded at a place; empty if nothing ever ran there."""
     try:
         return spark.read.schema(_LOG).json(_log_path(out))
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], _LOG)
 
 
@@ -72,16 +74,33 @@ def published(spark: SparkSession, out: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{out.rstrip('/')}/{run}/{table}")
 
 
+def _verify(masked: MaskedTable, written: DataFrame) -> None:
+    """Raise unless the written table has the rows, the unmasked columns and the constraints it must have."""
+    table = masked.table
+    kept = [c for c in masked.base.columns if c not in table.masked]
+    if not same_schema(masked.base, written) or (
+            checksum(masked.base, kept).first() != checksum(written, kept).first()):
+        raise VerificationFailed(f"table {table.name!r}: rows or unmasked columns changed")
+    for rule in table.columns:
+        if rule.unique and (n := uniqueness(written, [rule.name]).first()["n_duplicates"]):
+            raise VerificationFailed(f"table {table.name!r}: {n} rows repeat a value of the UNIQUE column {rule.name!r}")
+    for column in table.not_null:
+        if not written.where(F.col(column).isNull()).isEmpty():
+            raise VerificationFailed(f"table {table.name!r}: NULL in {column!r}, which is declared NOT NULL")
+
+
 def apply_spec(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, out: str, target: str = "",
-               force: bool = False, strict: bool = False, check_data: bool = True) -> DataFrame:
+               force: bool = False, strict: bool = False, check_data: bool = True, over_unfinished: bool = False) -> DataFrame:
     """Mask every table of the spec below ``out`` and publish them together.
 
-    Returns the report, read from where it was written.
+    ``force`` accepts a target outside the allowlist, ``over_unfinished`` starts
+    although the previous run did not complete.  Returns the report, read from
+    where it was written.
     """
     check_target(spec, target, force)
     require_clean(preflight(spark, spec, lookup, target, strict, check_data))
     state = latest_state(run_log(spark, out)).first()["status"]
-    if state in (STARTED, FAILED) and not force:
+    if state in (STARTED, FAILED) and not over_unfinished:
         raise DirtyState(f"the previous run is {state}; acknowledge it first")
     run_id = uuid.uuid4().hex
     folder = f"{out.rstrip('/')}/{run_id}"
@@ -90,11 +109,7 @@ def apply_spec(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, out: st
         for t in spec.tables:
             masked = MaskedTable(lookup(t.name), t, spec, lookup)
             masked.output().write.parquet(f"{folder}/{t.name}")
-            written = spark.read.parquet(f"{folder}/{t.name}")
-            kept = [c for c in masked.base.columns if c not in t.masked]
-            if not same_schema(masked.base, written) or (
-                    checksum(masked.base, kept).first() != checksum(written, kept).first()):
-                raise VerificationFailed(f"table {t.name!r}: rows or unmasked columns changed")
+            _verify(masked, spark.read.parquet(f"{folder}/{t.name}"))
             report(masked).write.parquet(f"{folder}/_report/{t.name}")
     except Exception as e:
         log_state(spark, out, run_id, 1, FAILED, type(e).__name__)

@@ -71,7 +71,45 @@ def _untouched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.untouched(before, after, ["c_custkey"], ["c_name", "c_mktsegment"])
 
 
+# The same checks on damaged results: what they report must be the damage.
+
+
+def _leaks_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks undone on every fifth key, every seventh row lost, every third repeated under a new key."""
+    orders = lookup(spark, sf_dir)("orders")
+    out = masked(spark, sf_dir, "orders", "o_orderkey", [rule("o_orderpriority", "hash")]).output()
+    undone = out.drop("o_orderpriority").join(orders.select("o_orderkey", F.col("o_orderpriority").alias("was")), "o_orderkey").join(
+        out.select("o_orderkey", "o_orderpriority"), "o_orderkey").withColumn(
+        "o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, F.col("was")).otherwise(F.col("o_orderpriority")))
+    added = undone.where("o_orderkey % 3 = 0").withColumn("o_orderkey", -1 - F.col("o_orderkey"))
+    return v.leaks(orders, undone.where("o_orderkey % 7 <> 0").unionByName(added), ["o_orderkey"], ["o_orderpriority"])
+
+
+def _determinism_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = masked(spark, sf_dir, "customer", "c_custkey", COLUMNS).output()
+    other = one.withColumn("c_name", F.when(F.col("c_custkey") % 9 == 0, F.concat("c_name", F.lit("?"))).otherwise(F.col("c_name")))
+    return v.determinism([one, other])
+
+
+def _untouched_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = lookup(spark, sf_dir)("customer")
+    after = masked(spark, sf_dir, "customer", "c_custkey", COLUMNS).output()
+    after = after.withColumn("c_acctbal", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")))
+    return v.untouched(before, after, ["c_custkey"], ["c_name", "c_mktsegment"])
+
+
+def _salt_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, other = (masked(spark, sf_dir, "customer", "c_custkey", [rule("c_name", "hash")], salt=s).output()
+                  for s in ("salt", "pepper"))
+    mixed = other.where("c_custkey % 5 <> 0").unionByName(one.where("c_custkey % 5 = 0"))
+    return v.salt_sensitivity(one, mixed.where("c_custkey % 6 <> 0"), ["c_custkey"], "c_name")
+
+
 QUERIES = {
+    "verify_leaks_damaged": _leaks_damaged,
+    "verify_determinism_damaged": _determinism_damaged,
+    "verify_untouched_damaged": _untouched_damaged,
+    "verify_salt_damaged": _salt_damaged,
     "verify_leaks": _leaks,
     "verify_determinism": _determinism,
     "verify_consistency": _consistency,
@@ -83,8 +121,19 @@ QUERIES = {
 
 ORACLES = {
     "verify_leaks": "SELECT 'o_orderstatus' AS column_name, count(*) AS n_rows, "
-                    "count(*) FILTER (WHERE o_orderstatus = 'F') AS n_unchanged FROM orders "
-                    "UNION ALL SELECT 'o_orderpriority', count(*), 0 FROM orders",
+                    "count(*) FILTER (WHERE o_orderstatus = 'F') AS n_unchanged, 0::BIGINT AS n_missing, "
+                    "0::BIGINT AS n_added FROM orders UNION ALL SELECT 'o_orderpriority', count(*), 0, 0, 0 FROM orders",
+    "verify_leaks_damaged": "SELECT 'o_orderpriority' AS column_name, count(*) FILTER (WHERE o_orderkey % 7 <> 0) AS n_rows, "
+                            "count(*) FILTER (WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0) AS n_unchanged, "
+                            "count(*) FILTER (WHERE o_orderkey % 7 = 0) AS n_missing, "
+                            "count(*) FILTER (WHERE o_orderkey % 3 = 0) AS n_added FROM orders",
+    "verify_determinism_damaged": "SELECT 1 AS run, count(*) FILTER (WHERE c_custkey % 9 = 0) AS n_only_before, "
+                                  "count(*) FILTER (WHERE c_custkey % 9 = 0) AS n_only_after FROM customer",
+    "verify_untouched_damaged": "SELECT true AS same_schema, count(*) FILTER (WHERE c_custkey % 4 = 0) AS n_only_before, "
+                                "count(*) FILTER (WHERE c_custkey % 4 = 0) AS n_only_after FROM customer",
+    "verify_salt_damaged": "SELECT count(*) FILTER (WHERE c_custkey % 6 <> 0) AS n_rows, "
+                           "count(*) FILTER (WHERE c_custkey % 6 <> 0 AND c_custkey % 5 = 0) AS n_equal, "
+                           "count(*) FILTER (WHERE c_custkey % 6 = 0) AS n_unpaired FROM customer",
     "verify_determinism": "SELECT run::INTEGER AS run, 0::BIGINT AS n_only_before, 0::BIGINT AS n_only_after "
                           "FROM (VALUES (1), (2)) t(run)",
     "verify_consistency": "SELECT count(*) AS n_pairs, 0::BIGINT AS n_different FROM orders "
@@ -95,6 +144,6 @@ ORACLES = {
                       "WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL "
                       "SELECT 'in credit', count(*) FROM orders "
                       "WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
-    "verify_salt": "SELECT count(*) AS n_rows, 0::BIGINT AS n_equal FROM customer",
+    "verify_salt": "SELECT count(*) AS n_rows, 0::BIGINT AS n_equal, 0::BIGINT AS n_unpaired FROM customer",
     "verify_untouched": "SELECT true AS same_schema, 0::BIGINT AS n_only_before, 0::BIGINT AS n_only_after",
 }
