@@ -14,7 +14,7 @@ on each whole page alone.
 
 Defined results: NULL and empty pages, and pages without words, have the empty
 text; repeated rows are treated alike; without a labelled page every word weighs
-the same and every tag costs the same; an empty table gives an empty table.
+the same and every other tag costs the least; an empty table gives an empty table.
 Broken mark-up is read as far as it goes: an unfinished tag ends the page.
 """
 
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .tables import read
 
 LABELLED_PAGES = 2000
+LEAST_TAG = 0.01
+LANDMARK = 20.0
 
 # Elements, roles and words of class names and ids.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,7 +176,7 @@ def parse(page: str) -> list[Item]:
             if open_at >= 0:
                 while len(stack) > open_at:
                     pop()
-            if not was or not skipping:
+            if not was:
                 items.append(Item(tag, breaks=breaks, inside=landmarks > 0))
             continue
         while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
@@ -216,7 +218,12 @@ def count_features(page: str) -> Counter:
 
 @dataclass
 class Weights:
-    """``words`` are above 0, ``tags`` below; unknown ones weigh as if counted once inside and once outside."""
+    """Of a word by its place, above 0; of a tag, below 0: the log odds of standing outside, ``LEAST_TAG`` at least.
+
+    Where labelled pages say nothing a word weighs as if counted once inside and
+    once outside, a tag the least.  The labelling tags weigh ``LANDMARK``, so that
+    only a good deal of text leads beyond them.
+    """
 
     words: dict[str, float]
     tags: dict[str, float]
@@ -228,13 +235,13 @@ class Weights:
 
         labels = {(kind, label) for kind, label, _ in counts}
         return cls({label: math.log1p(odds("word", label, True)) for kind, label in labels if kind == "word"},
-                   {label: -math.log1p(odds("tag", label, False)) for kind, label in labels if kind == "tag"})
+                   {label: -max(LEAST_TAG, math.log(odds("tag", label, False))) for kind, label in labels if kind == "tag"})
 
     def of(self, item: Item) -> float:
         label = _known(item.label)
         if item.text is not None:
             return len(item.text.split()) * self.words.get(label, math.log(2))
-        return 0.0 if item.label in ("article", "main") else self.tags.get(label, -math.log(2))
+        return -LANDMARK if item.label in ("article", "main") else self.tags.get(label, -LEAST_TAG)
 
 
 def best_stretch(scores: list[float]) -> tuple[int, int]:

@@ -151,6 +151,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, key: str = "vec_id
                       "asked")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     total, length = reps.agg(F.count("*"), F.max(norm)).head()
+    if not total:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     taken = reps.orderBy(F.xxhash64("v"), "least").limit(max(SAMPLE, pivots)).select("v").collect()
     sample = np.array([r.v for r in taken], np.float64).reshape(len(taken), -1)
     index = Index(sample, length or 1.0, pivots, posted, total)
