@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import Workspace
@@ -11,12 +11,17 @@ from .tables import Workspace
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """``node, label``: the smallest node of each node's component, for edges ``a, b``.
 
-    Each round takes the smallest label among neighbours, then the label of that
-    label, so labels travel in doubling steps.  Rounds are written tables; no
-    node's neighbours are gathered.
+    First each node keeps its smallest neighbour below it, to which its others
+    are tied instead, so that nodes met in many places don't multiply edges.
+    Then each round takes the smallest label among neighbours, then the label of
+    that label, so labels travel in doubling steps.  Rounds are written tables;
+    no node's neighbours are gathered.
     """
-    both = work.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                     .where("a <> b").distinct(), f"{name}-edges")
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    least = down.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+    thin = least.select("a", F.col("least").alias("b")).unionByName(
+        least.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
+    both = work.save(thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = work.save(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"),
                        f"{name}-0")
     round_ = 0

@@ -45,7 +45,7 @@ TARGET_RECALL = 0.9995
 #: Of the minima, this share must agree for a pair to count: five standard deviations below the threshold.
 AGREEING = 0.6
 BLOCK = 512
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 
 _ROUND = np.random.default_rng(77).integers(1, 1 << 63, (TREES * DEPTH, 2), dtype=np.uint64) | np.uint64(1)
 _COLUMNS = 1 << 13
@@ -131,10 +131,10 @@ def _met(similarity: float | np.ndarray, depth: int) -> float | np.ndarray:
 
 
 def _prefixes(reps: DataFrame, depth: int) -> DataFrame:
-    """``rep, size, keys, sketch``: prefix hashes of all trees, and eight bits of every minimum."""
+    """``rep, size, keys, prefixes, sketch``: hashes of tree and prefix for all trees, eight bits of every minimum."""
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         minima = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TREES, DEPTH)
-        keys = np.zeros(minima.shape[:2], np.uint64)
+        keys = np.broadcast_to(np.arange(TREES, dtype=np.uint64), minima.shape[:2])
         for level in range(depth):
             keys = combine(keys, minima[:, :, level].astype(np.uint64))
         yield {"rep": batch.column(0), "size": batch.column(1), "keys": _bytes(keys.view(np.int64)),
@@ -174,10 +174,11 @@ def _pairs(run: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray
 
 def _meetings(frame: pd.DataFrame) -> pd.DataFrame:
     """Edges within cells (text to the smallest place of its part), and how many new pairs agree how often."""
-    frame = frame.sort_values(["tree", "prefix", "low", "high"], kind="stable", ignore_index=True)
-    run = frame.groupby(["tree", "prefix", "low", "high"], sort=False).ngroup().to_numpy()
+    frame = frame.sort_values(["prefix", "low", "high"], kind="stable", ignore_index=True)
+    run = frame.groupby(["prefix", "low", "high"], sort=False).ngroup().to_numpy()
     keys, sketch = _matrix(frame["keys"], np.int64), _matrix(frame["sketch"], np.uint8)
-    size, tree, rep = (frame[c].to_numpy() for c in ("size", "tree", "rep"))
+    size, rep = frame["size"].to_numpy(), frame["rep"].to_numpy()
+    tree = (keys == frame["prefix"].to_numpy()[:, None]).argmax(axis=1)
     agree = np.zeros(sketch.shape[1] + 1, np.int64)
     lefts, rights = [], []
     left, right = _pairs(run, frame["block"].to_numpy(), frame["low"].to_numpy(), frame["high"].to_numpy())
@@ -216,10 +217,10 @@ def _meet(reps: DataFrame, work: Workspace) -> DataFrame:
     """Edges between texts that may be similar, from the deepest prefix with the target recall."""
     for depth in range(DEPTH, 0, -1):
         known = _prefixes(reps, depth)
-        places = known.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
-        shared = places.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
-        members = work.save(places.join(shared, ["tree", "prefix"]), f"members-{depth}")
-        cells = _cells(members, ["tree", "prefix"], "n", members.count())
+        places = known.select("rep", F.explode("prefixes").alias("prefix"))
+        shared = places.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
+        members = work.save(places.join(shared, "prefix"), f"members-{depth}")
+        cells = _cells(members, ["prefix"], "n", members.count())
         cells = cells.join(known.drop("prefixes"), "rep")
         met = work.save(cells.groupBy("batch", "alone").applyInPandas(
             _meetings, "a long, b long, same long, pairs long"), f"met-{depth}")
@@ -297,7 +298,8 @@ def _classes(plain: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
         candidates.join(candidates.groupBy("label").agg(F.count("*").alias("n")), "label")
         .join(reps.select("set1", "set2", "copies", "source", "rep"), F.col("node") == F.col("rep")).drop("node"), "chosen")
     source = chosen.select("rep", "set1", "set2", "source.*")
-    again = plain.alias("d").join(source.alias("s"), F.expr("d.key <=> s.key AND d.text_hash = s.text_hash")).select(
+    # By sorting at any size: the texts are as many as the documents, the chosen ones grow with them.
+    again = plain.alias("d").join(source.alias("s").hint("merge"), F.expr("d.key <=> s.key AND d.text_hash = s.text_hash")).select(
         "d.text", "rep", "set1", "set2")
     known = work.save(_with_shingles(again), "shingles")
     cells = _cells(chosen.select("rep", "label", "n", "copies"), ["label"], "n", chosen.count()).join(known, "rep")
