@@ -10,8 +10,9 @@ into one table.  Forward and backward recursions give the chance of every token;
 their largest and their sum give the score of a document by a logistic curve
 fitted to the labels of the sample.
 
-The sample has at most ``PER_CLASS`` different whole texts of each class, chosen
-by a hash of the id; everything else covers all documents.  Whole texts are
+The sample has at most ``TOXIC_TEXTS`` toxic documents and ``CLEAN_TIMES`` as
+many clean ones, whole texts, chosen by a hash of the id; everything else covers
+all documents.  Whole texts are
 scored, in pieces of whole texts, so memory follows the longest text.
 
 Defined results: NULL and empty texts score as documents without toxic words; a
@@ -34,19 +35,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .tables import arrow_map, held_out, read
-from .words import Piece, mix, pieces
+from .words import Piece, combine, mix, pieces
 
 FOLDS, FOLD = 5, 0
-PER_CLASS = 1500
+#: Documents of the sample: of the toxic class, and how many times as many clean ones.
+TOXIC_TEXTS = 800
+CLEAN_TIMES = 2
 COVER = 10
-#: A feature marks tokens if its share among toxic texts is this many times that among clean ones.
-LEAST_RATIO = 20.0
-LEAST_TEXTS = 5
-TABLE_BITS = 20
+#: A feature marks tokens if its share among toxic texts is this many times that among clean ones, more than chance
+#: allows for as many features, and if it occurs between this many different pairs of words there (what one passage
+#: repeats proves nothing).
+LEAST_RATIO = 10.0
+LEAST_CONTEXTS = 5
+TABLE_BITS = 22
 PREFIXES = (3, 4, 5, 6)
 SUFFIX = 4
 MAX_TRAINING_SEQUENCE = 64
 EPOCHS = 8
+LEAST_STEPS = 150
 RATE = 0.05
 DECAY = 1e-4
 SPAN = 0.5
@@ -57,6 +63,7 @@ _MARKS[list(b".,;:!?\"')(]}[{")] = True
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
 _SLOTS = 1 + len(PREFIXES) + 1 + 2
+_COLUMN, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
 def _features(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +93,10 @@ def _slots(features: np.ndarray, opens: np.ndarray) -> np.ndarray:
     if len(word):
         before[1:] = np.where(opens[1:], 0, word[:-1])
         after[:-1] = np.where(opens[1:], 0, word[1:])
-    wide = np.concatenate([features, (before + np.uint64(7))[:, None], (after + np.uint64(13))[:, None]], axis=1)
-    column = np.arange(_SLOTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mix(wide + column) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    out = np.empty((len(word), _SLOTS), np.int32)
+    for k, column in enumerate((*features.T, before, after)):
+        out[:, k] = mix(column + np.uint64(_COLUMN * (k + 1) & _MASK)) >> np.uint64(64 - TABLE_BITS)
+    return out
 
 
 def marginals(odds: np.ndarray, opens: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,15 +154,24 @@ def _evidence(chances: np.ndarray, first: np.ndarray) -> np.ndarray:
 def mark_tokens(features: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Tokens of toxic texts that carry one of the explaining features."""
     n_texts = np.bincount(toxic.astype(int), minlength=2)
-    pairs = pd.DataFrame({"feature": features.ravel(), "text": np.repeat(owner, features.shape[1])}).drop_duplicates()
-    pairs["toxic"] = toxic[pairs["text"].to_numpy()]
-    counts = pairs.groupby("feature")["toxic"].agg(["sum", "size"])
-    bad, clean = counts["sum"].to_numpy(), (counts["size"] - counts["sum"]).to_numpy()
+    short = (features >> np.uint64(32)).astype(np.uint32)
+    pairs = np.concatenate([np.unique(owner.astype(np.uint64) << np.uint64(32) | column) for column in short.T])
+    text, (feature, keys) = (pairs >> np.uint64(32)).astype(np.int64), pd.factorize(pairs.astype(np.uint32))
+    bad = np.bincount(feature[toxic[text]], minlength=len(keys))
+    clean = np.bincount(feature, minlength=len(keys)) - bad
     ratio = (bad / n_texts[1]) / ((clean + 0.5) / n_texts[0])
-    able = counts.index[(ratio >= LEAST_RATIO) & (bad >= LEAST_TEXTS)]
-    pairs = pairs[pairs["toxic"] & pairs["feature"].isin(able)]
-    feature, keys = pd.factorize(pairs["feature"].to_numpy())
-    text = pairs["text"].to_numpy()
+    around = combine(np.roll(features[:, 0], 1), np.roll(features[:, 0], -1)) >> np.uint64(32)
+    in_toxic = toxic[owner]
+    meets = np.concatenate([np.unique(column[in_toxic].astype(np.uint64) << np.uint64(32) | around[in_toxic])
+                            for column in short.T]) >> np.uint64(32)
+    contexts = np.bincount(pd.Index(keys).get_indexer(meets.astype(np.uint32)), minlength=len(keys))
+    share = n_texts[1] / n_texts.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = bad * np.log(bad / ((bad + clean) * share)) + np.where(
+            clean > 0, clean * np.log(clean / ((bad + clean) * (1 - share))), 0)
+    able = (ratio >= LEAST_RATIO) & (contexts >= LEAST_CONTEXTS) & (surprise >= np.log(len(keys)))
+    use = able[feature] & toxic[text]
+    text, (feature, keys) = text[use], pd.factorize(keys[feature[use]])
     missing = np.where(toxic, COVER, 0)
     chosen: list[int] = []
     unused = np.ones(len(keys), bool)
@@ -162,28 +179,29 @@ def mark_tokens(features: np.ndarray, owner: np.ndarray, toxic: np.ndarray) -> n
         open_pairs = missing[text] > 0
         gain = np.bincount(feature[open_pairs], minlength=len(keys)) * unused
         best = int(gain.argmax())
-        if gain[best] < LEAST_TEXTS:
+        if not gain[best]:
             break
         chosen.append(best)
         unused[best] = False
         missing[text[(feature == best) & open_pairs]] -= 1
-    return np.isin(features, keys[chosen]).any(axis=1) & toxic[owner]
+    return np.isin(short, keys[chosen]).any(axis=1) & toxic[owner]
 
 
 def train(slots: np.ndarray, opens: np.ndarray, tags: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Weight table and transitions, by maximum likelihood of the tags (Adam on batches of sequences)."""
     rng = np.random.default_rng(seed)
-    table, steps = np.zeros(1 << TABLE_BITS), np.array([[1.0, -1.0], [0.0, 0.0]])
+    table, steps = np.zeros(1 << TABLE_BITS, np.float32), np.array([[1.0, -1.0], [0.0, 0.0]])
     begin = np.flatnonzero(opens)
     end = np.concatenate([begin[1:], [len(opens)]])
     marked = np.add.reduceat(tags, begin) > 0 if len(begin) else np.zeros(0, bool)
     others = np.flatnonzero(~marked)
-    others = rng.permutation(others)[:max(4 * int(marked.sum()), 2000)]
+    others = rng.permutation(others)[:max(8 * int(marked.sum()), 4000)]
     use = np.concatenate([np.flatnonzero(marked), others])
     squares, mean = np.zeros_like(table), np.zeros_like(table)
     step_mean, step_squares, rounds = np.zeros((2, 2)), np.zeros((2, 2)), 0
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(use), max(1, len(use) // _BATCH)):
+    batches = max(1, len(use) // _BATCH)
+    for _ in range(max(EPOCHS, -(-LEAST_STEPS // batches))):
+        for part in np.array_split(rng.permutation(use), batches):
             length = end[part] - begin[part]
             first = np.repeat(np.cumsum(length) - length, length)
             at = np.repeat(begin[part], length) + np.arange(length.sum()) - first
@@ -211,7 +229,7 @@ def train(slots: np.ndarray, opens: np.ndarray, tags: np.ndarray, seed: int = 3)
             step_mean += 0.1 * (step_slope - step_mean)
             step_squares += 0.01 * (step_slope ** 2 - step_squares)
             steps -= RATE * step_mean / (np.sqrt(step_squares) + 1e-6)
-    return table.astype(np.float32), steps
+    return table, steps
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -225,14 +243,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
-        per_class: int = PER_CLASS) -> Model | None:
-    """Train on at most ``per_class`` different texts of each class; None unless both occur."""
-    spread = F.xxhash64(F.col(key))
-    known = labelled.where(F.col(toxic).isin(0, 1) & (F.length(text) > 0)).select(
-        F.col(text).alias("text"), F.col(toxic).cast("int").alias("toxic"), spread.alias("spread"))
-    parts = [known.where(F.col("toxic") == c).orderBy("spread", F.xxhash64("text")).limit(per_class) for c in (0, 1)]
-    found = parts[0].unionByName(parts[1]).dropDuplicates(["text"]).orderBy("spread", "text").toArrow()
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
+        toxic_texts: int = TOXIC_TEXTS) -> Model | None:
+    """Train on at most ``toxic_texts`` toxic documents and ``CLEAN_TIMES`` as many others; None unless both occur.
+
+    The sample is drawn among ids, and its bounded list of them fetches the texts.
+    """
+    known = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(
+        F.max(toxic).cast("int").alias("toxic"))
+    known = known.join(docs.where(F.length(text) > 0).select(key).distinct(), key, "left_semi")
+    parts = [known.where(F.col("toxic") == c).orderBy(F.xxhash64(key), key).limit(n)
+             for c, n in ((0, CLEAN_TIMES * toxic_texts), (1, toxic_texts))]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # as many rows as the two limits allow
+    found = docs.select(key, F.col(text).alias("text")).join(chosen, key).where(F.length("text") > 0).select(
+        "text", "toxic").dropDuplicates(["text"]).orderBy(F.xxhash64("text"), "text").toArrow()
     labels = found.column("toxic").to_numpy().astype(bool)
     if labels.all() or not labels.any():
         return None
@@ -284,9 +308,8 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", span: float
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     out = held_out(F.col("doc_id"), FOLDS, FOLD)
-    model = fit(docs.where(~out).join(labels, "doc_id"))
+    model = fit(docs.where(~out), read(spark, sf_dir, "labels").where(~out))
     found = score(docs.select("doc_id", out.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "score", "predicted", "spans")
 
