@@ -381,6 +381,32 @@ def test_subwords_viterbi(spark):
         assert got[i] == want
 
 
+@pytest.mark.parametrize("limit", [0, 4])
+def test_subwords_long_units(spark, vocabulary, monkeypatch, limit):
+    """Long units, folded where they are met, have the ids of the library too."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(limit)
+    units = ["▁" + "".join(rng.choice(["a", "b", "ing", "the", "é", "日", "er", "\U0001f600"]) for _ in range(rng.randint(1, 60)))
+             for _ in range(300)]
+    assert [vocabulary.path(u) for u in units] == [model.encode(u[1:]) for u in units]
+    monkeypatch.setattr(subwords, "LONG_UNIT", limit)
+    docs = spark.createDataFrame([(i, f"{u[1:]} the {u[1:]}") for i, u in enumerate(units[:40])], "doc_id long, text string")
+    rows = {r.doc_id: r.ids for r in subwords.encoded(docs, vocabulary).collect()}
+    assert rows == {i: model.encode(f"{u[1:]} the {u[1:]}") for i, u in enumerate(units[:40])}
+
+
+def test_viterbi_of_long_units():
+    table = {"a": (300, -2.0), "b": (301, -2.5), "ab": (302, -2.2), "ba": (303, -4.0), "aba": (304, -3.1)}
+    small = subwords.Vocabulary([(p, i, s) for p, (i, s) in table.items()], list(range(256)), [], False)
+    rng = random.Random(1)
+    for _ in range(50):
+        unit = "".join(rng.choice("abé") for _ in range(rng.randint(1, 15)))
+        assert small.path(unit) == [j for x in plain.viterbi(unit, table, small.unknown)
+                                    for j in ([x] if x >= 0 else list(chr(-1 - x).encode()))]
+
+
 def test_subwords_odd(odd, empty, vocabulary):
     rows = subwords.encoded(odd, vocabulary).collect()
     assert len(rows) == odd.count() and all(r.round_trip for r in rows)

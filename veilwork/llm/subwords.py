@@ -24,6 +24,7 @@ empty table.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,14 +40,20 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .tables import arrow_map, read
 from .words import PIECE_BYTES, Piece, combine, pieces
 
-BLOCK_UNITS = 1 << 21
+BLOCK_UNITS = 1 << 18
+#: About how many bytes of text make a block; twice as many partitions take the blocks, so that few share one.
+BLOCK_BYTES = 1 << 20
+#: Longer units (long runs that pieces could chain through) are folded where they are met, in time about linear in
+#: their length; the result is the same.
+LONG_UNIT = 128
 BLANK = "▁"
 #: How far below the worst piece a character stands that is none.
 UNKNOWN_PENALTY = 10.0
 
 #: Scores below are marks of pieces reserved by hand.
 _RESERVED = -1e8
-_BLOCK = "block long, keys array<long>, crcs array<long>, sizes array<long>, stream binary, units array<string>"
+_BLOCK = ("block long, keys array<long>, crcs array<long>, sizes array<long>, stream binary, units array<string>, "
+          "long_at array<long>, long_ids array<array<int>>")
 
 
 @dataclass
@@ -94,6 +101,62 @@ class Vocabulary:
     def unknown(self) -> float:
         return min((s for _, _, s in self.pieces if s > _RESERVED), default=0.0) - UNKNOWN_PENALTY
 
+    def path(self, unit: str) -> list[int]:
+        """The ids of one unit, by the same choice as the fold over its lattice."""
+        pieces_ = {p: (i, s) for p, i, s in self.pieces} if not hasattr(self, "_known") else self._known
+        self._known = pieces_
+        ends = self._merge(unit, pieces_) if self.merges else self._best(unit, pieces_)
+        ids, at = [], 0
+        while at < len(unit):
+            found = pieces_.get(unit[at:ends[at]])
+            ids += [found[0]] if found else [self.bytes[b] for b in unit[at:ends[at]].encode()]
+            at = ends[at]
+        return ids
+
+    def _merge(self, unit: str, known: dict[str, tuple[int, float]]) -> list[int]:
+        """The end of the part that starts at each place, after merging the best pair again and again."""
+        n, longest = len(unit), self.longest
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting: list[tuple[float, int, int]] = []
+
+        def offer(left: int) -> None:
+            if left >= 0 and ends[left] < n and (end := ends[ends[left]]) - left <= longest:
+                if found := known.get(unit[left:end]):
+                    heapq.heappush(waiting, (-found[1], left, end))
+
+        for i in range(n):
+            offer(i)
+        while waiting:
+            _, left, end = heapq.heappop(waiting)
+            middle = ends[left]
+            if not left < middle < n or ends[middle] != end:
+                continue
+            ends[left], ends[middle] = end, 0
+            if end < n:
+                before[end] = left
+            offer(before[left])
+            offer(left)
+        return ends
+
+    def _best(self, unit: str, known: dict[str, tuple[int, float]]) -> list[int]:
+        """The end of the part that starts at each place of the path with the largest sum."""
+        n, longest = len(unit), self.longest
+        best, back = [0.0] + [0.0] * n, [0] * (n + 1)
+        for end in range(1, n + 1):
+            found = None
+            for start in range(max(0, end - longest), end):
+                piece = known.get(unit[start:end])
+                if piece or end - start == 1:
+                    total = best[start] + (piece[1] if piece else self.unknown)
+                    if found is None or total > found:
+                        found, back[end] = total, start
+            best[end] = found
+        ends, at = [0] * n, n
+        while at:
+            ends[back[at]] = at
+            at = back[at]
+        return ends
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.pieces, "piece string, id int, score double")
 
@@ -126,16 +189,20 @@ class _Block:
         self.hashes.append(hashes)
         self.n += len(hashes)
 
-    def row(self, block: int) -> pa.RecordBatch:
+    def row(self, block: int, vocabulary: Vocabulary) -> pa.RecordBatch:
         codes, distinct = pd.factorize(np.concatenate(self.hashes))
         order = np.argsort(-np.bincount(codes, minlength=len(distinct)), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         units = [self.units[h] for h in distinct[order].tolist()]
+        long = [i for i, u in enumerate(units) if len(u) > LONG_UNIT]
+        paths = [vocabulary.path(units[i]) for i in long]
+        units = [None if len(u) > LONG_UNIT else u for u in units]
         keys = pa.concat_arrays(self.keys)
         columns = [pa.array([block], pa.int64()), _one(keys), _one(pa.array(self.crcs, pa.int64())),
                    _one(pa.array(np.concatenate(self.sizes))), pa.array([_shrink(place[codes])], pa.binary()),
-                   _one(pa.array(units, pa.string()))]
+                   _one(pa.array(units, pa.string())), _one(pa.array(long, pa.int64())),
+                   _one(pa.array(paths, pa.list_(pa.int32())))]
         return pa.RecordBatch.from_arrays(columns, names=[p.split()[0] for p in _BLOCK.split(", ")])
 
 
@@ -176,10 +243,10 @@ def _blocks(docs: DataFrame, vocabulary: Vocabulary, block_units: int) -> DataFr
             for piece in pieces(batch.column(1)):
                 block.add(piece, batch.column(0).slice(piece.rows.start, len(piece)), number, beside)
                 if block.n >= block_units:
-                    yield block.row((part << 32) + nth)
+                    yield block.row((part << 32) + nth, vocabulary)
                     nth, block = nth + 1, _Block()
         if block.sizes:
-            yield block.row((part << 32) + nth)
+            yield block.row((part << 32) + nth, vocabulary)
 
     return docs.select("key", "text").mapInArrow(run, _BLOCK)
 
@@ -279,20 +346,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
            block_units: int = BLOCK_UNITS) -> DataFrame:
     """``doc_id, ids`` and ``text_crc`` (crc32 of the text's bytes) of every document."""
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    blocks = _blocks(plain, vocabulary, block_units)
-    blocks = blocks.repartition("block")
-    units = blocks.select("block", F.posexplode("units").alias("nth", "unit"))
+    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = _blocks(plain, vocabulary, block_units).repartition(2 * (size // BLOCK_BYTES + 1), "block")
+    units = blocks.select("block", F.posexplode("units").alias("nth", "unit")).where("unit IS NOT NULL")
     paths = best_path(lattice(units, ["block", "nth"], vocabulary), ["block", "nth"], vocabulary)
     coded = paths.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("nth", "ids"))).alias("paths"))
-    together = blocks.drop("units").join(coded.select("block", F.col("paths.ids").alias("ids")), "block", "left")
+    together = blocks.drop("units").join(coded.select(
+        "block", F.col("paths.nth").alias("nth"), F.col("paths.ids").alias("ids")), "block", "left")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for i in range(len(batch)):
-            keys, crcs, sizes, stream, ids = (batch.column(name)[i] for name in ("keys", "crcs", "sizes", "stream", "ids"))
+            keys, crcs, sizes, stream = (batch.column(name)[i] for name in ("keys", "crcs", "sizes", "stream"))
             places = _grow(stream.as_py())
-            flat, starts = (ids.values.values.to_numpy(), ids.values.offsets.to_numpy()) if ids.is_valid else (
-                np.zeros(0, np.int32), np.zeros(1, np.int32))
-            lengths, at = np.diff(starts).astype(np.int64), starts[:-1].astype(np.int64) - starts[0]
+            flat, lengths, at = _paths([(batch.column(x)[i], batch.column(y)[i]) for x, y in (
+                ("nth", "ids"), ("long_at", "long_ids"))])
             sizes = sizes.values.to_numpy()
             first = np.concatenate([[0], np.cumsum(sizes)])
             for a, b in _parts(first, PIECE_BYTES):
@@ -307,6 +374,23 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
     return arrow_map(together.drop("block"), "doc_id long, ids array<int>, text_crc long", work)
 
 
+def _paths(lists: list[tuple[pa.ListScalar, pa.ListScalar]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, and for each unit how many are its and where they begin, from lists of units and their ids."""
+    units, lengths, begins, flat, n = [], [], [], [], 0
+    for which, ids in lists:
+        if which.is_valid and len(which.values):
+            starts = ids.values.offsets.to_numpy().astype(np.int64)  # of all values, not of this part of them
+            units.append(which.values.to_numpy())
+            lengths.append(np.diff(starts))
+            begins.append(starts[:-1] - starts[0] + n)
+            flat.append(ids.values.values.to_numpy()[starts[0]:starts[-1]])
+            n += len(flat[-1])
+    if not units:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(np.concatenate(units))
+    return np.concatenate(flat), np.concatenate(lengths)[order], np.concatenate(begins)[order]
+
+
 def _parts(first: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``most`` units."""
     a = 0
