@@ -4,13 +4,14 @@ A text is cut into units wherever no piece of the model holds the two characters
 at hand; that never separates a piece.  Blocks of texts keep their distinct
 units and, per text, which unit stands where.  The units' substrings up to the
 longest piece are exploded and joined with the piece table; the edges of a unit
-are grouped, and a fold over them with Spark's higher-order functions finds its
-pieces.  For unigram models the fold is Viterbi's: edges in order of their ends,
+are grouped, and a fold over them finds its pieces.  For unigram models it is
+Viterbi's, with Spark's higher-order functions: edges in order of their ends,
 the path with the largest sum of scores.  For models of merges, whose scores are
 ranks of merges and no log chances, the largest sum is not what the model means;
-there the fold makes the best merge again and again, as the library does.
-Characters that are no piece become the model's byte pieces.  Everything of a
-block meets in one exchange: units, edges and texts stay where their block is.
+there the best merge is made again and again, as the library does, for all units
+of a batch at once in numpy (edges of a unit leave the join one after the other,
+so they need no exchange).  Characters that are no piece become the model's byte
+pieces.  Blocks are written once; paths and texts meet by block.
 
 The piece table has the size of the vocabulary, which bounds the broadcast.
 Blocks hold a bounded number of units, single texts aside.
@@ -37,12 +38,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .tables import arrow_map, read
+from .tables import Workspace, arrow_map, read
 from .words import PIECE_BYTES, Piece, combine, pieces
 
-BLOCK_UNITS = 1 << 18
-#: About how many bytes of text make a block; twice as many partitions take the blocks, so that few share one.
-BLOCK_BYTES = 1 << 20
+BLOCK_UNITS = 1 << 21
 #: Longer units (long runs that pieces could chain through) are folded where they are met, in time about linear in
 #: their length; the result is the same.
 LONG_UNIT = 128
@@ -50,6 +49,8 @@ BLANK = "▁"
 #: How far below the worst piece a character stands that is none.
 UNKNOWN_PENALTY = 10.0
 
+_EDGES = 1 << 19
+
 #: Scores below are marks of pieces reserved by hand.
 _RESERVED = -1e8
 _BLOCK = ("block long, keys array<long>, crcs array<long>, sizes array<long>, stream binary, units array<string>, "
@@ -251,8 +252,8 @@ def _blocks(docs: DataFrame, vocabulary: Vocabulary, block_units: int) -> DataFr
     return docs.select("key", "text").mapInArrow(run, _BLOCK)
 
 
-def lattice(units: DataFrame, on: list[str], vocabulary: Vocabulary) -> DataFrame:
-    """``on, edges`` for units (columns ``on, unit``): every piece that fits, as (end, start, score, id).
+def edges(units: DataFrame, on: list[str], vocabulary: Vocabulary) -> DataFrame:
+    """``on, start, end, score, id``: every piece that fits in a unit (columns ``on, unit``).
 
     A character that is no piece has an edge with its code point below zero as id.
     """
@@ -263,10 +264,15 @@ def lattice(units: DataFrame, on: list[str], vocabulary: Vocabulary) -> DataFram
     spans = spans.select(*on, "start", "size", F.substring("unit", F.col("start") + 1, F.col("size")).alias("piece"))
     table = F.broadcast(vocabulary.table(units.sparkSession))  # as large as the vocabulary
     fits = spans.join(table, "piece", "left").where((F.col("size") == 1) | F.col("id").isNotNull())
-    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start",
-                    F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"),
-                    F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    return fits.select(*on, edge.alias("edge")).groupBy(*on).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    return fits.select(*on, "start", (F.col("start") + F.col("size")).alias("end"),
+                       F.coalesce("score", F.lit(vocabulary.unknown)).alias("score"),
+                       F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
+
+
+def lattice(units: DataFrame, on: list[str], vocabulary: Vocabulary) -> DataFrame:
+    """``on, edges``: the edges of each unit, in order of their ends."""
+    return edges(units, on, vocabulary).groupBy(*on).agg(
+        F.sort_array(F.collect_list(F.struct("end", "start", "score", "id"))).alias("edges"))
 
 
 _STEP = """
@@ -294,38 +300,91 @@ _PATH = """
         s -> s.ids)"""
 
 
-#: The best merge: of the edges that join two neighbouring parts, the one with the best score, the leftmost of equals.
-_BEST = """
-    array_max(transform(
-        filter(edges, e -> s.ends[e.start] > 0 AND s.ends[e.start] < e.end AND s.ends[s.ends[e.start]] = e.end),
-        e -> named_struct('score', e.score, 'left', -e.start, 'end', e.end)))"""
-
-#: The end of the part that starts at each place (0: none does), merged as long as any two parts make a piece.
-_MERGED = f"""
-    aggregate(if(n > 1, sequence(2, n), cast(array() AS array<int>)),
-        named_struct('ends', transform(sequence(0, n - 1), p -> p + 1), 'more', true),
-        (s, step) -> if(s.more, transform(array({_BEST}), b -> if(b IS NULL,
-            named_struct('ends', s.ends, 'more', false),
-            named_struct('ends', transform(s.ends, (v, i) ->
-                if(i = -b.left, b.end, if(i > -b.left AND i < b.end, 0, v))), 'more', true)))[0], s),
-        s -> s.ends)"""
-
-_PARTS = """
-    transform(filter(sequence(0, n - 1), p -> ends[p] > 0),
-        p -> element_at(filter(edges, e -> e.start = p AND e.end = ends[p]), 1).id)"""
-
-
 def best_path(lattices: DataFrame, on: list[str], vocabulary: Vocabulary) -> DataFrame:
-    """``on, ids``: the pieces of each unit by the model's kind of choice."""
-    if vocabulary.merges:
-        found = lattices.withColumn("n", F.element_at("edges", -1)["end"]).withColumn("ends", F.expr(_MERGED)).select(
-            *on, F.expr(_PARTS).alias("ids"))
-    else:
-        found = lattices.select(*on, F.expr(_VITERBI).alias("backs")).select(*on, F.expr(_PATH).alias("ids"))
+    """``on, ids``: the pieces of the path with the largest sum of scores through each lattice."""
+    found = lattices.select(*on, F.expr(_VITERBI).alias("backs")).select(*on, F.expr(_PATH).alias("ids"))
     return found.withColumn("ids", F.when(F.exists("ids", lambda i: i < 0), _with_bytes(F.col("ids"), vocabulary))
                             .otherwise(F.col("ids")))
 
 
+def merged(unit: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarray, ids: np.ndarray,
+           vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units and how many each has, from the edges of units ``0, 1, ...`` in order.
+
+    In each round every unit makes its best merge: of the edges that join two
+    neighbouring parts the one with the best score, the leftmost of equals.
+    """
+    n_units = int(unit[-1]) + 1 if len(unit) else 0
+    sizes = np.zeros(n_units, np.int64)
+    np.maximum.at(sizes, unit, end)
+    base = np.cumsum(sizes + 1) - sizes - 1  # a place for each boundary
+    left, right = base[unit] + start, base[unit] + end
+    follow = np.arange(1, int((sizes + 1).sum()) + 1)
+    begins = np.ones(len(follow), bool)
+    last = base + sizes
+    todo = np.flatnonzero(end - start > 1)
+    todo = todo[np.lexsort((start[todo], -score[todo], unit[todo]))]
+    while len(todo):
+        a, b, u = left[todo], right[todo], unit[todo]
+        middle = follow[a]
+        possible = begins[a] & begins[b] & (middle < b)
+        todo, a, b, u, middle = todo[possible], a[possible], b[possible], u[possible], middle[possible]
+        joins = np.flatnonzero(follow[middle] == b)
+        if not len(joins):
+            break
+        best = joins[np.unique(u[joins], return_index=True)[1]]
+        follow[a[best]] = b[best]
+        begins[middle[best]] = False
+    begins[last] = False
+    parts = np.flatnonzero(begins)
+    step = vocabulary.longest + 1
+    keys = left * step + (end - start)
+    order = np.argsort(keys, kind="stable")
+    found = ids[order[np.searchsorted(keys[order], parts * step + follow[parts] - parts)]]
+    counts = np.bincount(np.searchsorted(base, parts, "right") - 1, minlength=n_units)
+    if (found < 0).any():  # characters that are no piece
+        each = [[i] if i >= 0 else [vocabulary.bytes[b] for b in chr(-1 - i).encode()] for i in found.tolist()]
+        owner = np.repeat(np.arange(n_units), counts)
+        counts = np.bincount(owner, [len(x) for x in each], n_units).astype(np.int64)
+        found = np.array([i for x in each for i in x], np.int64)
+    return found.astype(np.int32), counts
+
+
+def _merge_paths(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``block, nth, ids`` (lists: units and the ids of each) from the edges ``block, nth, ...`` as the join gives them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in _then_none(batches):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                rest = table if rest is None else pa.concat_tables([rest, table])
+            if rest is None or not len(rest) or (batch is not None and len(rest) < _EDGES):
+                continue
+            block, nth, *columns = (c.to_numpy() for c in rest.columns)
+            new = np.ones(len(block), bool)
+            new[1:] = (nth[1:] != nth[:-1]) | (block[1:] != block[:-1])
+            begin = np.flatnonzero(new)
+            stop = len(block) if batch is None else int(begin[-1])  # the last unit may go on in the next batch
+            rest = rest.slice(stop)
+            cut = np.flatnonzero(np.diff(block[:stop], prepend=-1)) if stop else []
+            for a, b in zip(cut, [*cut[1:], stop]):
+                unit = np.cumsum(new[a:b]) - 1
+                ids, counts = merged(unit, *(c[a:b] for c in columns), vocabulary)
+                bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                paths = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block[a]], pa.int64()), _one(pa.array(nth[a:b][new[a:b]], pa.int32())), _one(paths)],
+                    names=["block", "nth", "ids"])
+
+    columns = found.select("block", "nth", "start", "end", "score", "id")
+    return columns.mapInArrow(run, "block long, nth array<int>, ids array<array<int>>")
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _with_bytes(ids: Column, vocabulary: Vocabulary) -> Column:
     """Replace characters that are no piece by their UTF-8 bytes' pieces."""
     of_byte = F.array(*(F.lit(i) for i in vocabulary.bytes))
@@ -346,13 +405,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
            block_units: int = BLOCK_UNITS) -> DataFrame:
     """``doc_id, ids`` and ``text_crc`` (crc32 of the text's bytes) of every document."""
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = _blocks(plain, vocabulary, block_units).repartition(2 * (size // BLOCK_BYTES + 1), "block")
+    work_ = Workspace(docs.sparkSession, "subwords")
+    blocks = work_.save(_blocks(plain, vocabulary, block_units), "blocks", compression="zstd")
     units = blocks.select("block", F.posexplode("units").alias("nth", "unit")).where("unit IS NOT NULL")
-    paths = best_path(lattice(units, ["block", "nth"], vocabulary), ["block", "nth"], vocabulary)
-    coded = paths.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("nth", "ids"))).alias("paths"))
+    if vocabulary.merges:
+        chunks = _merge_paths(edges(units, ["block", "nth"], vocabulary), vocabulary)
+    else:
+        paths = best_path(lattice(units, ["block", "nth"], vocabulary), ["block", "nth"], vocabulary)
+        chunks = paths.select("block", F.array("nth").alias("nth"), F.array("ids").alias("ids"))
+    coded = chunks.groupBy("block").agg(F.collect_list(F.struct("nth", "ids")).alias("paths"))
     together = blocks.drop("units").join(coded.select(
-        "block", F.col("paths.nth").alias("nth"), F.col("paths.ids").alias("ids")), "block", "left")
+        "block", F.flatten("paths.nth").alias("nth"), F.flatten("paths.ids").alias("ids")), "block", "left")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for i in range(len(batch)):
