@@ -46,9 +46,9 @@ class Workspace:
         self.spark = spark
         self.root = scratch_path(spark, label)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.read(df, name)
 
     def drop(self) -> None:
