@@ -41,7 +41,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .tables import Workspace, arrow_map, read
 from .words import PIECE_BYTES, Piece, combine, pieces
 
-BLOCK_UNITS = 1 << 21
+BLOCK_UNITS = 1 << 20
 #: Longer units (long runs that pieces could chain through) are folded where they are met, in time about linear in
 #: their length; the result is the same.
 LONG_UNIT = 128
