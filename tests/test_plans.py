@@ -61,15 +61,15 @@ def test_equal_tries_are_limited_before_the_shuffle(spark, orders, monkeypatch):
     plans = {}
     save = storage.Workspace.save
 
-    def record(self, df, name):
+    def record(self, df, name, **options):
         plans[name] = plan_of(df)
-        return save(self, df, name)
+        return save(self, df, name, **options)
 
     monkeypatch.setattr(storage.Workspace, "save", record)
     m = masked(orders, [{"name": "o_orderpriority", "generator": "short_text", "seed_by": "value",
                             "force_unique": True}])
     out = m.output()
     assert out.select("o_orderpriority").distinct().count() == 10 * orders.select("o_orderpriority").distinct().count()
-    head, tail = plans["lost0"].split("Exchange hashpartitioning(o_orderpriority", 1)
+    head, tail = plans["tries-0"].split("Exchange hashpartitioning(o_orderpriority", 1)
     assert "Final" in head and "WindowGroupLimit" in tail and "Partial" in tail
     assert "HashAggregate" in plans["holders"] and "SortAggregate" not in plans["holders"]
