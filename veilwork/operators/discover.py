@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,30 +57,34 @@ def discover_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Per column: rows, non-NULL and distinct values, and whether it is nullable, unique, or the key.
 
     The key is the first column, in schema order, that is unique without NULLs.
-    Each table is read once.  Values are combined per task before the shuffle,
-    so a value held by many rows costs no more than any other, and long texts
-    travel as 16-byte digests.
+    Each column is read and counted alone, so no row is multiplied by the number
+    of columns.  Values are combined per task before the shuffle, so a value held
+    by many rows costs no more than any other, and long texts travel as 16-byte
+    digests.  Columns of types that cannot be keys (floating point, binary and
+    nested ones) are left out.
     """
     return _union([_table_keys(name, df) for name, df in tables.items()])
 
 
 def _table_keys(name: str, df: DataFrame) -> DataFrame:
-    fields = [f for f in df.schema.fields if is_seedable(f.dataType)]
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for i, f in enumerate(fields):
-        aggs += [F.count(f.name).alias(f"n{i}"),
-                 F.count_distinct(_comparable(F.col(f.name), f.dataType)).alias(f"d{i}")]
-    facts = F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.lit(df.columns.index(f.name)).alias("position"),
-                               F.col(f"n{i}").alias("n_values"), F.col(f"d{i}").alias("n_distinct"))
-                      for i, f in enumerate(fields)])
-    first = F.get(F.filter(facts, lambda x: (x["n_values"] == F.col("n_rows"))
-                           & (x["n_distinct"] == F.col("n_rows"))), F.lit(0))["position"]
-    c = F.col
-    return df.agg(*aggs).select("n_rows", first.alias("first"), F.explode(facts).alias("c")).select(
-        F.lit(name).alias("table_name"), c("c.column_name"), c("c.position"), c("n_rows"), c("c.n_values"),
-        c("c.n_distinct"), (c("c.n_values") < c("n_rows")).alias("has_nulls"),
-        (c("c.n_distinct") == c("c.n_values")).alias("is_unique"),
-        F.coalesce(c("c.position") == c("first"), F.lit(False)).alias("is_key"))
+    facts = _union([_column_counts(df, f, df.columns.index(f.name))
+                    for f in df.schema.fields if is_seedable(f.dataType)])
+    unique = F.col("n_distinct") == F.col("n_values")
+    first = F.min(F.when(unique & (F.col("n_values") == F.col("n_rows")), F.col("position"))).over(
+        Window.partitionBy("table_name"))
+    return facts.withColumn("table_name", F.lit(name)).select(
+        "table_name", "column_name", "position", "n_rows", "n_values", "n_distinct",
+        (F.col("n_values") < F.col("n_rows")).alias("has_nulls"), unique.alias("is_unique"),
+        F.coalesce(F.col("position") == first, F.lit(False)).alias("is_key"))
+
+
+def _column_counts(df: DataFrame, field: T.StructField, position: int) -> DataFrame:
+    values = df.groupBy(_comparable(F.col(field.name), field.dataType).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return values.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"),
+        F.count("v").alias("n_distinct")).select(
+        F.lit(field.name).alias("column_name"), F.lit(position).alias("position"), "n_rows", "n_values", "n_distinct")
 
 
 def _family(dtype: T.DataType) -> object:

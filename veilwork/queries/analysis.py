@@ -44,6 +44,22 @@ def _fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disc.discover_fk(found, keys)
 
 
+def _fk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables whose keys are both called ``id``, and a narrower column named after its table."""
+    find = lookup(spark, sf_dir)
+    customer = find("customer").select(F.col("c_custkey").alias("id"), "c_name")
+    orders = find("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("int").alias("customer_id"))
+    return disc.discover_fk({"customers": customer, "orders": orders}, {"customers": "id", "orders": "id"})
+
+
+def _declared_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared reference that no name suggests, beside those that names do."""
+    find = lookup(spark, sf_dir)
+    found = {"customer": find("customer"), "events": find("events")}
+    return disc.discover_fk(found, {"customer": "c_custkey", "events": "event_id"},
+                            [("events", "user_id", "customer", "c_custkey")])
+
+
 def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _, keys = _found(spark, sf_dir)
     return disc.fk_cycles(disc.discover_fk(found, keys).where("holds"), found)
@@ -91,6 +107,8 @@ def _preflight_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "discover_keys": lambda spark, sf: disc.discover_keys(tables(spark, sf)),
     "discover_fk": _fk,
+    "discover_fk_names": _fk_names,
+    "declared_fk": _declared_fk,
     "fk_cycles": _cycles,
     "analyze_columns": lambda spark, sf: _suggestions(spark, sf)[0],
     "analyze_json": lambda spark, sf: disc.suggested_rules(*_suggestions(spark, sf)),
@@ -175,6 +193,14 @@ def _preflight_sql() -> str:
 
 
 ORACLES = {
+    "discover_fk_names": "SELECT 'orders' AS child_table, 'customer_id' AS child_column, 'customers' AS parent_table, "
+                         "'id' AS parent_column, count(*) AS n_references, count(*) FILTER (WHERE c_custkey IS NULL) "
+                         "AS n_orphans, count(*) FILTER (WHERE c_custkey IS NULL) = 0 AS holds FROM orders "
+                         "LEFT JOIN customer ON o_custkey = c_custkey WHERE o_custkey IS NOT NULL",
+    "declared_fk": "SELECT 'events' AS child_table, 'user_id' AS child_column, 'customer' AS parent_table, "
+                   "'c_custkey' AS parent_column, count(*) AS n_references, count(*) FILTER (WHERE c_custkey IS NULL) "
+                   "AS n_orphans, count(*) FILTER (WHERE c_custkey IS NULL) = 0 AS holds FROM events "
+                   "LEFT JOIN customer ON user_id = c_custkey WHERE user_id IS NOT NULL",
     "discover_keys": _keys,
     "discover_fk": _fk_sql,
     "fk_cycles": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT child_table AS src, parent_table AS dst
