@@ -27,6 +27,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from .words import Piece, pieces
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
 
 _MAGIC = b"VWB1"
 _JOINED = 256
@@ -118,8 +119,8 @@ class Encoder:
         self._keys, self._sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self._at, self._ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _units(self, piece: Piece, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and owners of the spans that are tokenized on their own, in order.
+    def _units(self, piece: Piece, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and owners of the spans that are tokenized on their own, in order, and which are words.
 
         A word takes the blank before it along; of more white space all but the
         last character stand together; white space at the end of a text too.  A
@@ -152,16 +153,16 @@ class Encoder:
         if whole.any():
             end[whole[owners]] = start[whole[owners]]
             start[last[whole], 2], end[last[whole], 2] = piece.offsets[:-1][whole], piece.offsets[1:][whole]
+        is_word = np.zeros(slots, bool)
+        is_word[row, 2:] = True
         owners = np.repeat(owners, 4)
         start, end = start.ravel(), end.ravel()
         full = end > start
-        return start[full], end[full], owners[full]
+        return start[full], end[full], owners[full], is_word.ravel()[full]
 
-    def _encode(self, units: list[str]) -> list[list[int]]:
+    def _encode(self, units: list[str], is_word: np.ndarray) -> list[list[int]]:
         """Ids of each unit.  Words are joined by line feeds, which are tokens of their own, to save calls."""
-        single = [i for i, u in enumerate(units) if u.removeprefix(" ").split() != [u.removeprefix(" ")]]
-        alone = set(single)
-        words = [i for i in range(len(units)) if i not in alone]
+        single, words = np.flatnonzero(~is_word).tolist(), np.flatnonzero(is_word).tolist()
         found: list[list[int]] = [[]] * len(units)
         for i, e in zip(single, self.tokenizer.encode_batch_fast([units[i] for i in single], add_special_tokens=False)):
             found[i] = e.ids
@@ -175,28 +176,32 @@ class Encoder:
             found[group[-1]] = ids[at:]
         return found
 
-    def _learn(self, piece: Piece, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        texts = [piece.buf[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())]
-        found = self._encode(texts)
+    def _learn(self, piece: Piece, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_word: np.ndarray) -> None:
+        """Encode new units and put them in their places among the known ones; ``keys`` ascend."""
+        found = self._encode([piece.buf[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist())], is_word)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        at = len(self._ids) + np.cumsum(sizes) - sizes
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
-        order = np.argsort(np.concatenate([self._keys, keys]), kind="stable")
-        self._keys = np.concatenate([self._keys, keys])[order]
-        self._sizes = np.concatenate([self._sizes, sizes])[order]
-        self._at = np.concatenate([self._at, at])[order]
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        place = np.searchsorted(self._keys, keys)
+        self._keys = np.insert(self._keys, place, keys)
+        self._sizes = np.insert(self._sizes, place, sizes)
+        self._at = np.insert(self._at, place, len(self._ids) + np.cumsum(sizes) - sizes)
         self._ids = np.concatenate([self._ids, ids])
 
     def piece(self, piece: Piece, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a piece, and their number in each."""
-        start, end, owner = self._units(piece, whole)
+        start, end, owner, is_word = self._units(piece, whole)
         codes, keys = pd.factorize(piece.spans(start, end))
         kept = self._keys, self._sizes, self._at, self._ids
         at = np.zeros(len(keys), np.int64)
         at[codes[::-1]] = np.arange(len(codes))[::-1]
-        new = ~np.isin(keys, self._keys)
-        if new.any():
-            self._learn(piece, keys[new], start[at[new]], end[at[new]])
+        place = np.searchsorted(self._keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self._keys)
+        known[inside] = self._keys[place[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            new = new[np.argsort(keys[new])]
+            self._learn(piece, keys[new], start[at[new]], end[at[new]], is_word[at[new]])
         place = np.searchsorted(self._keys, keys)[codes]
         sizes = self._sizes[place]
         total = np.cumsum(sizes)
