@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .tables import arrow_map, held_out, read
+from .tables import arrow_map, filter_rows, held_out, read
 from .words import Piece, pieces
 
 FOLDS, FOLD = 5, 0
@@ -180,6 +180,19 @@ def _score(piece: Piece, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return best, np.clip(total[np.arange(len(best)), best], 0, 1)
 
 
+def _predict(texts: pa.Array, model: Model | None) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows, languages and scores for parts of a column of texts."""
+    letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(False)
+    for piece in pieces(texts, lower=True):
+        some = letters[piece.rows]
+        if model is None:
+            yield piece.rows, np.full(len(piece), UNDETERMINED, object), np.zeros(len(piece))
+        else:
+            best, score = _score(piece, model)
+            language = np.where(some, np.array(model.languages, object)[best], UNDETERMINED)
+            yield piece.rows, language, np.where(some, score, 0.0)
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to documents."""
     added = StructType.fromDDL("lang_pred string, score double")
@@ -187,24 +200,20 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     at, names = docs.columns.index(text), docs.columns
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        for piece in pieces(batch.column(at), lower=True):
-            part = batch.slice(piece.rows.start, piece.rows.stop - piece.rows.start)
-            letters = pc.fill_null(pc.match_substring_regex(part.column(at), r"\p{L}"), False).to_numpy(False)
-            if model is None:
-                language, score = np.full(len(piece), UNDETERMINED, object), np.zeros(len(piece))
-            else:
-                best, score = _score(piece, model)
-                language = np.where(letters, np.array(model.languages, object)[best], UNDETERMINED)
-            yield dict(zip(names, part.columns)) | {"lang_pred": language, "score": np.where(letters, score, 0.0)}
+        for rows, language, score in _predict(batch.column(at), model):
+            part = batch.slice(rows.start, rows.stop - rows.start)
+            yield dict(zip(names, part.columns)) | {"lang_pred": language, "score": score}
 
     return arrow_map(docs, StructType([*docs.schema.fields, *added.fields]), work)
 
 
 def known_language(docs: DataFrame, model: Model | None, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
     """The documents whose language is determined with at least ``min_score``, columns unchanged."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    found = identify(packed, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    return found.select("row.*")
+    def keep(texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0, bool), *(
+            (language != UNDETERMINED) & (score >= min_score) for _, language, score in _predict(texts, model))])
+
+    return filter_rows(docs, text, keep)
 
 
 def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

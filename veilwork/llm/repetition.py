@@ -21,10 +21,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .tables import arrow_map, read
+from .tables import arrow_map, filter_rows, read
 from .words import Piece, pieces
 
 #: The base rule: eight-word windows.
@@ -170,37 +169,47 @@ def measure(piece: Piece, least: int = MIN_REPEAT) -> dict[str, np.ndarray]:
     }
 
 
-def repetition(docs: DataFrame, text: str = "text", max_covered: float = MAX_COVERED,
-               max_longest: float = MAX_LONGEST, min_repeat: int = MIN_REPEAT,
-               min_words: int = MIN_WORDS) -> DataFrame:
-    """Add the measures, ``base_failed`` and ``kept`` to documents.
+def judge(measures: dict[str, np.ndarray], max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST,
+          min_words: int = MIN_WORDS) -> dict[str, np.ndarray]:
+    """``base_failed`` and ``kept`` from the measures of texts.
 
     A text passes the base rule with at least ``min_words`` words of which at
     most 30 % lie in eight-word windows found twice or more.  It is kept if it
     also has at most the share ``max_covered`` of its words inside maximal
-    repeats of ``min_repeat`` words or more (a power of two up to eight), and no
-    repeat longer than the share ``max_longest`` of its words.
+    repeats, and no repeat longer than the share ``max_longest`` of its words.
     """
-    docs = docs.drop("base_failed", "kept", *StructType.fromDDL(MEASURES).names)
+    n = measures["n_words"]
+    failed = (n < min_words) | (100 * measures["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+    good = (measures["covered_words"] <= max_covered * n) & (measures["longest_repeat"] <= max_longest * n)
+    return {"base_failed": failed, "kept": ~failed & good}
+
+
+def repetition(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, **limits) -> DataFrame:
+    """Add the measures, ``base_failed`` and ``kept`` to documents.
+
+    Repeats of ``min_repeat`` words or more count (a power of two up to eight);
+    ``limits`` are those of ``judge``.
+    """
+    added = StructType.fromDDL(f"{MEASURES}, base_failed boolean, kept boolean")
+    docs = docs.drop(*added.names)
     at, names = docs.columns.index(text), docs.columns
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(MEASURES).fields])
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         for piece in pieces(batch.column(at)):
-            part = batch.slice(piece.rows.start, piece.rows.stop - piece.rows.start)
-            yield dict(zip(names, part.columns)) | measure(piece, min_repeat)
+            part = batch.slice(piece.rows.start, len(piece))
+            measures = measure(piece, min_repeat)
+            yield dict(zip(names, part.columns)) | measures | judge(measures, **limits)
+
+    return arrow_map(docs, StructType([*docs.schema.fields, *added.fields]), work)
 
-    measured = arrow_map(docs, schema, work)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    good = (F.col("covered_words") <= max_covered * F.col("n_words")) & (
-        F.col("longest_repeat") <= max_longest * F.col("n_words"))
-    return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & good)
 
+def good(docs: DataFrame, text: str = "text", min_repeat: int = MIN_REPEAT, **limits) -> DataFrame:
+    """The documents that are kept, columns unchanged."""
+    def keep(texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0, bool), *(
+            judge(measure(piece, min_repeat), **limits)["kept"] for piece in pieces(texts))])
 
-def good(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
-    """The documents that are kept, columns unchanged; ``limits`` as for ``repetition``."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    return repetition(packed, **limits).where("kept").select("row.*")
+    return filter_rows(docs, text, keep)
 
 
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
