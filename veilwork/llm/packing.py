@@ -42,10 +42,11 @@ from .words import Piece, pieces
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 800_000
 
 _MAGIC = b"VWB1"
 _JOINED = 256
+_PIECE_BYTES = 1 << 20
 _HEADER = struct.Struct("<4sBxxxIQ")
 #: White space that is none in ASCII, and control characters on which libraries differ.
 _OTHER_SPACE = (r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
@@ -213,7 +214,7 @@ class Encoder:
     def batches(self, column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """Rows, ids and numbers of ids for parts of a column of texts."""
         whole = pc.fill_null(pc.match_substring_regex(column, _OTHER_SPACE), False).to_numpy(False)
-        for piece in pieces(column):
+        for piece in pieces(column, size=_PIECE_BYTES):
             yield piece.rows, *self.piece(piece, whole[piece.rows])
 
 
@@ -269,6 +270,7 @@ def write_ids(docs: DataFrame, tokenizer: str, work: Workspace, key: str = "doc_
                     keys, ids, counts, held, block = [], [], [], 0, block + 1
         if keys:
             yield close()
+        pa.default_memory_pool().release_unused()
 
     return work.save(ordered.mapInArrow(run, schema), "blocks")
 

@@ -116,8 +116,8 @@ class Piece:
         return self.spans(self.starts, self.ends)
 
 
-def pieces(column: pa.Array, lower: bool = False) -> Iterator[Piece]:
-    """Cut a column of texts into pieces of about two megabytes, at text ends only.
+def pieces(column: pa.Array, lower: bool = False, size: int = PIECE_BYTES) -> Iterator[Piece]:
+    """Cut a column of texts into pieces of about ``size`` bytes, at text ends only.
 
     NULL counts as the empty text.  ``lower`` lower-cases A to Z.
     """
@@ -132,6 +132,6 @@ def pieces(column: pa.Array, lower: bool = False) -> Iterator[Piece]:
     buf = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PIECE_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         yield Piece(buf[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], slice(a, b), lower)
         a = b
