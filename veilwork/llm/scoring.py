@@ -41,7 +41,7 @@ from .words import combine, pieces
 FOLDS, FOLD = 7, 2
 #: Of the training texts, those with this remainder of the spread id are deleted for learning the weights.
 DELETED_FOLDS = 5
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 BUCKET_BYTES = 1 << 24
 STEPS_PER_OCTAVE = 4
 ROUNDS = 40
