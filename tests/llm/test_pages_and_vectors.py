@@ -5,6 +5,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,30 @@ def test_neighbours_index_prunes(spark, monkeypatch):
     assert 0.9 <= share < 1
 
 
+@pytest.mark.parametrize("sigma", [0.5, 0.0])
+def test_neighbours_of_varied_lengths(spark, sigma):
+    """Nine tenths are found while the index prunes, whatever the lengths."""
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(20000, 128))
+    rows *= np.exp(sigma * rng.normal(size=(20000, 1))) / np.linalg.norm(rows, axis=1, keepdims=True)
+    vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(20000), "embedding": list(rows)})).persist()
+    queries = list(range(0, 20000, 200))
+    found = neighbours.nearest(vectors, F.col("id") % 200 == 0).persist()
+    assert 0.9 <= neighbours.recall(found, vectors, queries) < 1
+
+
+@pytest.mark.parametrize("posted", [1, 16])
+def test_neighbours_outside_the_files(spark, monkeypatch, posted):
+    """What the files of pivots would miss is in the common file, in one direction and its opposite too."""
+    monkeypatch.setattr(neighbours, "LEAST_KEPT", 1)
+    rng = np.random.default_rng(12)
+    for size in (1, 24):
+        rows = rng.normal(size=(1500, size)) * np.exp(rng.normal(size=(1500, 1)))
+        vectors = spark.createDataFrame(pa.table({"vec_id": np.arange(1500), "embedding": list(rows)}))
+        found = neighbours.nearest(vectors, F.col("id") % 20 == 0, posted=posted).persist()
+        assert neighbours.recall(found, vectors, list(range(0, 1500, 20))) >= 0.9
+
+
 def test_neighbours_ties_and_norms(spark):
     """Many equal vectors and different lengths: exact while all are kept."""
     rng = np.random.default_rng(3)
