@@ -209,6 +209,23 @@ def test_near_duplicates_planted(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted({c for c, _ in got.values()})
 
 
+def test_near_duplicates_beside_a_hot_group(spark):
+    """Isolated pairs exactly at the threshold are all met, whatever else the corpus holds."""
+    rng = random.Random(5)
+
+    def copies(n, length, places):
+        base = [f"w{rng.randrange(10 ** 9)}" for _ in range(length)]
+        return [" ".join([*base[:p], f"x{rng.randrange(10 ** 9)}", *base[p + 1:]]) for p in rng.sample(places, n)]
+
+    rows = list(enumerate(copies(150, 400, range(5, 395))))
+    for i in range(500):  # one word of 49 replaced: 40 of 50 shingles are common
+        base = [f"w{rng.randrange(10 ** 9)}" for _ in range(49)]
+        rows += [(1000 + 2 * i, " ".join(base)), (1001 + 2 * i, " ".join([*base[:24], "other", *base[25:]]))]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in similar.near_duplicates(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: (0, 149) if i < 1000 else (i - i % 2, 1) for i, _ in rows}
+
+
 def test_near_duplicates_odd(odd, empty):
     rows = similar.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

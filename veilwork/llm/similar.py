@@ -3,18 +3,15 @@
 A text's shingles are its runs of five words (a shorter text is one shingle).
 Texts with equal shingle sets are one representative from the start.  Each has
 ``TREES`` signatures of ``DEPTH`` minima; a tree is the trie of one signature,
-and two texts meet in it if they share its first minima.  The join starts with
-whole signatures and shortens the prefix until enough of the similar pairs are
-met: their similarities, estimated from all minima, tell which share the current
-prefix misses, and at the latest the prefix stops where even pairs at the
-threshold are met with the target recall.
+and two texts meet in it if they share its first minima.  How many these are is
+the longest prefix by which even pairs at the threshold are met with the target
+recall, so no pair depends on what else the corpus holds.
 
 Pairs that meet and whose minima agree often enough form a graph; its components
 are the only places where similar texts can be.  There every pair is verified
 exactly, in blocks of bounded size, from the texts read again.  A task returns a
 count of links and one edge per text, never pairs; large tries, groups and
-components are split over many tasks, and nothing but a histogram with one row
-per number of agreeing minima reaches the driver.
+components are split over many tasks.
 
 Defined results: NULL texts and texts without words are classes of their own
 without links; documents with equal sets (exact copies, repeated rows) are
@@ -173,13 +170,12 @@ def _pairs(run: np.ndarray, block: np.ndarray, low: np.ndarray, high: np.ndarray
 
 
 def _meetings(frame: pd.DataFrame) -> pd.DataFrame:
-    """Edges within cells (text to the smallest place of its part), and how many new pairs agree how often."""
+    """Edges within cells, from a text to the smallest place of its part."""
     frame = frame.sort_values(["prefix", "low", "high"], kind="stable", ignore_index=True)
     run = frame.groupby(["prefix", "low", "high"], sort=False).ngroup().to_numpy()
     keys, sketch = _matrix(frame["keys"], np.int64), _matrix(frame["sketch"], np.uint8)
     size, rep = frame["size"].to_numpy(), frame["rep"].to_numpy()
     tree = (keys == frame["prefix"].to_numpy()[:, None]).argmax(axis=1)
-    agree = np.zeros(sketch.shape[1] + 1, np.int64)
     lefts, rights = [], []
     left, right = _pairs(run, frame["block"].to_numpy(), frame["low"].to_numpy(), frame["high"].to_numpy())
     for a in range(0, len(left), 1 << 16):
@@ -188,45 +184,24 @@ def _meetings(frame: pd.DataFrame) -> pd.DataFrame:
         x, y = x[fits], y[fits]
         first = (keys[x] == keys[y]).argmax(axis=1) == tree[x]  # met here before any other tree
         x, y = x[first], y[first]
-        same = (sketch[x] == sketch[y]).sum(axis=1)
-        agree += np.bincount(same, minlength=len(agree))
-        close = same >= AGREEING * sketch.shape[1]
+        close = (sketch[x] == sketch[y]).sum(axis=1) >= AGREEING * sketch.shape[1]
         lefts.append(x[close])
         rights.append(y[close])
     left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lefts, rights))
     root = smallest(len(run), left, right)
     tied = np.flatnonzero(root != np.arange(len(run)))
-    counted = np.flatnonzero(agree)
-    return pd.concat([
-        pd.DataFrame({"a": rep[tied], "b": rep[root[tied]], "same": -1, "pairs": 0}),
-        pd.DataFrame({"a": -1, "b": -1, "same": counted, "pairs": agree[counted]})], ignore_index=True)
-
-
-def _recall(meetings: DataFrame, depth: int) -> float:
-    """Share of the similar pairs that trees of this depth let meet, estimated from those that did."""
-    found = missed = 0.0
-    for row in meetings.where("same >= 0").groupBy("same").agg(F.sum("pairs").alias("pairs")).collect():
-        similarity = row["same"] / (TREES * DEPTH)
-        if similarity >= THRESHOLD:
-            found += row["pairs"]
-            missed += row["pairs"] * (1 / _met(similarity, depth) - 1)
-    return found / (found + missed) if found else 0.0
+    return pd.DataFrame({"a": rep[tied], "b": rep[root[tied]]})
 
 
 def _meet(reps: DataFrame, work: Workspace) -> DataFrame:
-    """Edges between texts that may be similar, from the deepest prefix with the target recall."""
-    for depth in range(DEPTH, 0, -1):
-        known = _prefixes(reps, depth)
-        places = known.select("rep", F.explode("prefixes").alias("prefix"))
-        shared = places.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
-        members = work.save(places.join(shared, "prefix"), f"members-{depth}")
-        cells = _cells(members, ["prefix"], "n", members.count())
-        cells = cells.join(known.drop("prefixes"), "rep")
-        met = work.save(cells.groupBy("batch", "alone").applyInPandas(
-            _meetings, "a long, b long, same long, pairs long"), f"met-{depth}")
-        if _met(THRESHOLD, depth) >= TARGET_RECALL or _recall(met, depth) >= TARGET_RECALL:
-            break
-    return met.where("same < 0").select("a", "b")
+    """Edges between texts that may be similar, from the deepest prefix with the target recall at the threshold."""
+    depth = next((d for d in range(DEPTH, 1, -1) if _met(THRESHOLD, d) >= TARGET_RECALL), 1)
+    known = _prefixes(reps, depth)
+    places = known.select("rep", F.explode("prefixes").alias("prefix"))
+    shared = places.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1")
+    members = work.save(places.join(shared, "prefix"), "members")
+    cells = _cells(members, ["prefix"], "n", members.count()).join(known.drop("prefixes"), "rep")
+    return work.save(cells.groupBy("batch", "alone").applyInPandas(_meetings, "a long, b long"), "met")
 
 
 def _jaccard(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
