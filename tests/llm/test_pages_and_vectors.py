@@ -63,6 +63,26 @@ def test_broken_pages(weights, page, text):
     assert web.main_text(page, weights) == text
 
 
+@pytest.mark.parametrize("part", [
+    '<h2 id="discussion">kept words</h2>', '<section id="Discussion"><h2>kept</h2> words</section>', '<p id="reply-2">kept words</p>',
+    '<section id="related-work">kept words</section>', '<h3 id="search-algorithms">kept words</h3>',
+    '<div class="social-history">kept words</div>', '<h2 id="copyright-law">kept words</h2>', '<p id="notice-period">kept words</p>',
+    '<div class="section" id="discussion"> <h2>kept</h2> <p>words</div>', '<math><mi>kept</mi> <mo>words</mo></math>',
+    '<aside>kept words</aside>', '<p title="the hidden part">kept words</p>'])
+def test_article_text_stays(weights, part):
+    page = f"<body><article><p>First words of it.</p>{part}<p>Last words of it.</p></article></body>"
+    assert web.main_text(page, weights) == "First words of it. kept words Last words of it."
+
+
+@pytest.mark.parametrize("part", [
+    '<div id="comments">gone</div>', '<ol class="comment-list"><li>gone</ol>', '<div class="relatedPosts"><h3>gone</h3></div>',
+    '<section id="comments"><h2>gone</h2></section>', '<div class="ad-slot">gone</div>', '<aside class="sidebar">gone</aside>',
+    '<div id="cookie-notice">gone</div>', '<ul class="share-buttons"><li>gone</ul>', '<p hidden>gone</p>'])
+def test_article_furniture_goes(weights, part):
+    page = f"<body><article><p>First words of it.</p>{part}<p>Last words of it.</p></article></body>"
+    assert web.main_text(page, weights) == "First words of it. Last words of it."
+
+
 def test_best_stretch_by_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(200):

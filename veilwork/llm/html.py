@@ -6,7 +6,10 @@ tags negative; both weights are learned from pages that label themselves, by an
 stretch with the largest sum.  What a page marks as no content (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, reader comments, hidden
 parts) is known by element, role, class or id; it costs one tag and gives no
-text, also inside the stretch.
+text, also inside the stretch.  Classes and ids count on containers only and as
+whole known tokens, as slugs of headings use the same words; a container that
+opens with a heading inside an article needs a token that names a list or box of
+them, or comments.  An aside inside an article is judged like a ``div``.
 
 Learning reads at most ``LABELLED_PAGES`` labelled pages, chosen by a hash, and
 gathers one row per feature (element names of a fixed list).  Extraction works
@@ -46,8 +49,8 @@ _BLOCKS = frozenset("address article blockquote body caption center dd details d
                     "h1 h2 h3 h4 h5 h6 hgroup hr li main ol p pre section summary table tbody td tfoot th thead tr "
                     "ul".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_NO_CONTENT = frozenset("applet aside audio button canvas datalist dialog footer form frameset head input label map "
-                        "math menu meter nav noscript object optgroup option output progress select svg template "
+_NO_CONTENT = frozenset("annotation annotation-xml applet aside audio button canvas datalist dialog footer form frameset head input label map "
+                        "menu meter nav noscript object optgroup option output progress select svg template "
                         "video".split()) | _RAW
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search "
                    "status tablist toolbar tooltip".split())
@@ -59,6 +62,13 @@ _LABELS = frozenset(
     "recommendations related replies reply respond search share sharebar sharing sidebar signup skip-link social "
     "sponsor sponsored sponsors subscribe subscription tagcloud teaser toolbar topbar widget widgets".split())
 _COMMENT = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
+_ONLY_COMMENT = frozenset("comment comments commentlist disqus".split())
+# Elements that classes and ids may rule, and the words that may stand beside known ones in a token.
+_CONTAINERS = frozenset("article aside center details div dl fieldset footer header li ol section table tbody td tr ul".split())
+_BOXES = frozenset("articles bar bars box boxes btn button buttons container icons items links list posts slot slots "
+                   "stories strip widget widgets wrap wrapper".split())
+_BESIDE = _BOXES | frozenset("area block body bottom col column content form global inner inline item left main module "
+                             "outer page panel primary rail right row secondary section site sticky top unit".split())
 _CLOSED_BY = {
     "p": _BLOCKS - {"body"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
     "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr"}),
@@ -69,6 +79,7 @@ _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _FLAG = re.compile(r"\shidden(?=[\s/>]|$)", re.I)
+_OPENING_HEADING = re.compile(r"(?:\s|<!--.*?-->|</?(?:a|div|header|hgroup|span)\b[^<>]*>)*+<h[1-6][\s>]", re.I | re.S)
 _WORDS = re.compile(r"[a-z0-9]+|[A-Z]+(?![a-z])|[A-Z][a-z0-9]*")
 
 
@@ -82,33 +93,42 @@ class Item:
     breaks: bool = True
 
 
-def _class_words(attributes: dict[str, str]) -> set[str]:
-    words: set[str] = set()
-    for name in ("class", "id"):
+def _tokens(attributes: dict[str, str], names: tuple[str, ...]) -> list[set[str]]:
+    """The words of every class name and id."""
+    tokens = []
+    for name in names:
         for token in attributes.get(name, "").split():
             parts = [w.lower() for w in _WORDS.findall(token)]
             if not {"has", "with", "no", "without"} & set(parts[:1]):
-                words.update(parts)
-    return words
+                tokens.append({w for w in parts if not w.isdigit()})
+    return tokens
 
 
-def _no_content(tag: str, attributes: dict[str, str], raw: str) -> str:
+def _named(tokens: list[set[str]], known: frozenset[str]) -> bool:
+    """Whether a whole token consists of known words, and words that stand beside them."""
+    return any(words & known and not words - known - _LABELS - _BESIDE for words in tokens)
+
+
+def _no_content(tag: str, attributes: dict[str, str], raw: str, in_article: bool, page: str, at: int) -> str:
     """'': content; 'soft': no content unless an article begins in it; 'hard': none at all."""
-    if tag in _NO_CONTENT:
+    if tag in _NO_CONTENT and not (tag == "aside" and in_article):
         return "hard"
     style = attributes.get("style", "").replace(" ", "").lower()
-    if "display:none" in style or "visibility:hidden" in style or attributes.get("aria-hidden") == "true" or _FLAG.search(raw):
+    if "display:none" in style or "visibility:hidden" in style or attributes.get("aria-hidden") == "true" or (
+            _FLAG.search(raw) and _FLAG.search(_ATTRIBUTE.sub("", raw))):
         return "hard"
     if tag in ("html", "body", "main"):
         return ""
-    words = _class_words(attributes)
-    if words & _COMMENT:
+    tokens = _tokens(attributes, ("class",) if tag in ("article", "li") else ("class", "id")) if tag in _CONTAINERS else []
+    if tokens and in_article and _OPENING_HEADING.match(page, at):
+        tokens = [words for words in tokens if words & (_BOXES | _ONLY_COMMENT)]
+    if _named(tokens, _COMMENT) or tag == "article" and _named(_tokens(attributes, ("id",)), _ONLY_COMMENT):
         return "hard"
     if tag == "article":
         return ""
-    if attributes.get("role", "").lower() in _ROLES or words & _LABELS:
+    if attributes.get("role", "").lower() in _ROLES or _named(tokens, _LABELS):
         return "soft"
-    return "soft" if tag == "header" or "header" in words else ""
+    return "soft" if tag == "header" or _named(tokens, frozenset({"header"})) else ""
 
 
 def parse(page: str) -> list[Item]:
@@ -182,7 +202,7 @@ def parse(page: str) -> list[Item]:
         while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
             pop()
         attributes = {m[1].lower(): m[2].strip("\"'") for m in _ATTRIBUTE.finditer(raw)} if "=" in raw else {}
-        skip = _no_content(tag, attributes, raw)
+        skip = _no_content(tag, attributes, raw, any(t == "article" and not s for t, s in stack), page, at)
         if tag in ("article", "main") and not skip and skipping and all(s != "hard" for _, s in stack):
             stack = [(t, "") for t, _ in stack]
             skipping = 0
