@@ -63,6 +63,15 @@ def test_broken_pages(weights, page, text):
     assert web.main_text(page, weights) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p>a<b title=it's>b</b> c it's d</p> e", "ab c it's d e"),
+    ("<p x\"y>a</p><i it's>b</i><b title='1 > 0'>c</b>d", "a bcd"),
+    ('<p "\'>a <b title="1 > 0">b</b> c', "a b c"), ("<p title = 'x > y'>a</p><b title=\"it's\">b</b> c's", "a b c's"),
+    ("<p title=don't class='x>y'>a it's b", "a it's b"), ('<p>a</p><a href="foo>b</a>', "a b")])
+def test_quotes_in_tags(weights, page, text):
+    assert web.main_text(page, weights) == text
+
+
 @pytest.mark.parametrize("part", [
     '<h2 id="discussion">kept words</h2>', '<section id="Discussion"><h2>kept</h2> words</section>', '<p id="reply-2">kept words</p>',
     '<section id="related-work">kept words</section>', '<h3 id="search-algorithms">kept words</h3>',

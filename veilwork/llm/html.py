@@ -75,9 +75,10 @@ _CLOSED_BY = {
     "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option", "optgroup"}),
 }
 
-_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+# Up to the end of a tag: a quote opens a value only after "=", and only if it is closed.
+_TAG = re.compile(r"""[^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*')?+[^>=]*+)*+>""")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 _FLAG = re.compile(r"\shidden(?=[\s/>]|$)", re.I)
 _OPENING_HEADING = re.compile(r"(?:\s|<!--.*?-->|</?(?:a|div|header|hgroup|span)\b[^<>]*>)*+<h[1-6][\s>]", re.I | re.S)
 _WORDS = re.compile(r"[a-z0-9]+|[A-Z]+(?![a-z])|[A-Z][a-z0-9]*")
@@ -136,7 +137,7 @@ def parse(page: str) -> list[Item]:
     items: list[Item] = []
     stack: list[tuple[str, str]] = []  # element, and what _no_content said
     skipping = landmarks = 0
-    at, n, loose = 0, len(page), False
+    at, n = 0, len(page)
 
     def text(run: str) -> None:
         in_heading = any(t in _HEADINGS for t, _ in stack)
@@ -178,16 +179,11 @@ def parse(page: str) -> list[Item]:
                 at = to + 1
             continue
         text(page[at:to])
-        end = page.find(">", to)
-        if end < 0:
+        whole = _TAG.match(page, to + 1)
+        if whole is None:
             break
-        raw = page[to + 1:end]
-        if not loose and (raw.count('"') % 2 or raw.count("'") % 2):
-            if whole := _TAG.match(page, to):
-                end, raw = whole.end() - 1, page[to + 1:whole.end() - 1]
-            else:
-                loose = True
-        at = end + 1
+        at = whole.end()
+        raw = page[to + 1:at - 1]
         tag = _NAME.match(raw)[1].lower()
         breaks = tag not in _INLINE
         if raw[0] == "/":
