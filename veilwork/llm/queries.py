@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html, language, mixing, neighbours, packing, repetition, scoring, similar, subwords, toxicity
+from . import codes, html, language, mixing, neighbours, packing, repetition, scoring, similar, subwords, toxicity
 
-_MODULES = (html, subwords, toxicity, similar, repetition, neighbours, packing, language, scoring, mixing)
+_MODULES = (html, subwords, toxicity, similar, repetition, neighbours, packing, language, scoring, mixing, codes)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
