@@ -14,12 +14,15 @@ within its partition.
 Texts are tokenized by the ``tokenizers`` library.  Its pre-tokenizer never looks
 across a word's boundary other than at white space, so the library encodes each
 distinct word (with the blank before it) once per worker, in a cache of at most
-``CACHED_WORDS``; texts with white space outside ASCII are encoded whole.  Tests
-compare the ids with the library's on whole texts.
+``CACHED_WORDS``; texts with white space outside ASCII, or with the string of an
+added token, are encoded whole.  Tests compare the ids with the library's on whole
+texts.
 
 Defined results: NULL and empty texts have only the end id; documents with equal
-ids keep one row each, ordered by text hash; a NULL id sorts last; an empty table
-gives an empty table.  Strings of special tokens inside a text are ordinary text.
+ids keep one row each, ordered by text hash; a NULL id sorts last; strings of added
+tokens inside a text become those tokens, as the library has it; texts of any
+length are one row of a block; other columns play no part, whatever their names;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -114,7 +117,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cached = cached
         self._feed, = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._keys, self._sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -213,7 +216,10 @@ class Encoder:
 
     def batches(self, column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """Rows, ids and numbers of ids for parts of a column of texts."""
-        whole = pc.fill_null(pc.match_substring_regex(column, _OTHER_SPACE), False).to_numpy(False)
+        whole = pc.match_substring_regex(column, _OTHER_SPACE)
+        for token in self._added:
+            whole = pc.or_(whole, pc.match_substring(column, token))
+        whole = pc.fill_null(whole, False).to_numpy(False)
         for piece in pieces(column, size=_PIECE_BYTES):
             yield piece.rows, *self.piece(piece, whole[piece.rows])
 
