@@ -250,13 +250,32 @@ def test_packing_query(spark, texts):
         start += len(ids)
 
 
+def test_special_strings_move_later_starts(spark):
+    """Ids read back of texts with the string of an added token, and where the next document starts."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    some = {3: "a <|endoftext|> b", 5: "c d", 8: "<|endoftext|>" * 2, 9: None}
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    rows = packing.read_ids(packing.write_ids(docs, BYTE_BPE, Workspace(spark, "special"))).collect()
+    want, start = {}, 0
+    for i in sorted(some):
+        n = len(library.encode(some[i] or "", add_special_tokens=False).ids) + 1
+        want[i], start = (start, n), start + n
+    assert {r.doc_id: (r.start, r.n_tokens) for r in rows} == want
+
+
 def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
     rng = random.Random(2)
     column = plain.ODD_TEXTS + ["".join(rng.choice(
         ["a", "Bc", "é", "1", ".", "'s", " ", "  ", "\n", "\t", "\r", "\x0b", "日本", " ", "\x1d", "_", "😀", "-"])
         for _ in range(rng.randint(0, 30))) for _ in range(1000)]
-    encoder = packing.Encoder(BYTE_BPE, cached=100)
-    want = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in column], add_special_tokens=False)]
+    column += ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y <|endoftext|", "A b" * 9 + "<|endoftext|>" * 3]
+    encoder, library = packing.Encoder(BYTE_BPE, cached=100), Tokenizer.from_file(BYTE_BPE)
+    want = [e.ids for e in library.encode_batch([t or "" for t in column], add_special_tokens=False)]
+    assert len(library.encode("<|endoftext|>", add_special_tokens=False).ids) == 1
     got = []
     for _, ids, counts in encoder.batches(pa.array(column)):
         got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
@@ -376,13 +395,38 @@ def test_subwords_equal_library(spark, texts, vocabulary):
 
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     some = [(i, texts[i]) for i in sorted(texts)[:60]] + [(1000 + i, t) for i, t in enumerate(plain.ODD_TEXTS)]
-    some = [(i, t) for i, t in some if t is None or len(t) < 20000]
+    some += [(2000, max(texts.values(), key=len) * 20), (2001, "x" * 50_000 + " y"), (2002, "a▁b ▁")]
     docs = spark.createDataFrame(some, "doc_id long, text string")
     rows = {r.doc_id: r for r in subwords.encoded(docs, vocabulary).collect()}
     assert {i: r.ids for i, r in rows.items()} == {i: model.encode(t or "") for i, t in some}
+    assert all(r.round_trip == (i != 2002) and r.n_pieces == len(r.ids) for i, r in rows.items())
+
+
+def test_subwords_query(spark, texts):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = {r.doc_id: r for r in QUERIES["op2_sentencepiece_lattice"](spark, SF).collect()}
+    assert {i: r.ids for i, r in rows.items()} == {i: model.encode(t or "") for i, t in texts.items()}
     assert all(r.round_trip and r.n_pieces == len(r.ids) for r in rows.values())
 
 
+def test_subwords_state_is_bounded(vocabulary, monkeypatch):
+    """Forgetting units, and lattices of few characters at once, change nothing."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    monkeypatch.setattr(subwords, "CACHED_UNITS", 5)
+    monkeypatch.setattr(subwords, "_CHARACTERS", 16)
+    merges = subwords.Merges(vocabulary, 9)
+    some = [t for t in plain.ODD_TEXTS if t is None or len(t) < 1000] * 3
+    got = []
+    for piece in pieces(pa.array(some), size=40):
+        ids, first = merges.piece(piece)
+        got += [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+    assert got == [model.encode(t or "") for t in some]
+
+
 def test_subwords_viterbi(spark):
     """With log chances as scores the fold finds the path with the largest sum."""
     rng = random.Random(6)

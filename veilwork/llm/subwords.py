@@ -1,26 +1,30 @@
-"""SentencePiece encoding and decoding as a relational lattice.
+"""SentencePiece encoding and decoding over lattices of units.
 
 A text is cut into units wherever no piece of the model holds the two characters
-at hand; that never separates a piece.  Blocks of texts keep their distinct
-units and, per text, which unit stands where.  The units' substrings up to the
-longest piece are exploded and joined with the piece table; the edges of a unit
-are grouped, and a fold over them finds its pieces.  For unigram models it is
-Viterbi's, with Spark's higher-order functions: edges in order of their ends,
-the path with the largest sum of scores.  For models of merges, whose scores are
-ranks of merges and no log chances, the largest sum is not what the model means;
-there the best merge is made again and again, as the library does, for all units
-of a batch at once in numpy (edges of a unit leave the join one after the other,
-so they need no exchange).  Characters that are no piece become the model's byte
-pieces.  Blocks are written once; paths and texts meet by block.
-
-The piece table has the size of the vocabulary, which bounds the broadcast.
-Blocks hold a bounded number of units, single texts aside.
+at hand; that never separates a piece.  A unit's lattice has an edge for each of
+its substrings, up to the longest piece, that joins the piece table; a fold over
+the edges finds its pieces.  Which fold is right depends on the model:
+
+* Unigram models have log chances as scores, and Viterbi's path has the largest
+  sum.  The lattice is relational: substrings of each block's distinct units are
+  exploded, joined with the piece table and grouped by unit, and the fold is one
+  of Spark's higher-order functions.  Paths and texts meet by block.
+* Models of merges have ranks as scores, whose sum means nothing (Viterbi agrees
+  with the library on hardly any text).  There the best merge is made again and
+  again, as the library does.  The same lattice is built from arrays: hashes of
+  all substrings, joined by search in the sorted piece table, grouped by unit and
+  folded for all units at once.  A worker keeps the ids of units it has met, up
+  to ``CACHED_UNITS``, so nothing is shuffled or written in between.
+
+Characters that are no piece become the model's byte pieces.  The piece table has
+the size of the vocabulary, which bounds what is sent to tasks.
 
 Defined results: NULL and empty texts have no ids; the character that stands for
 a blank (U+2581) is read as one, so it does not survive a round trip, as in the
 library; of equal paths the one with the longer last piece counts, of equal
-merges the leftmost; repeated rows are encoded alike; an empty table gives an
-empty table.
+merges the leftmost; repeated rows are encoded alike; texts of any length are
+worked on in pieces, but for one text's own arrays; other columns play no part,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -49,7 +53,10 @@ BLANK = "▁"
 #: How far below the worst piece a character stands that is none.
 UNKNOWN_PENALTY = 10.0
 
-_EDGES = 1 << 19
+#: Units of models of merges that a worker remembers, and characters of new ones whose lattices are built at once.
+CACHED_UNITS = 400_000
+_CHARACTERS = 1 << 16
+_PIECE_BYTES = 1 << 20
 
 #: Scores below are marks of pieces reserved by hand.
 _RESERVED = -1e8
@@ -83,6 +90,10 @@ class Vocabulary:
         merges = scores == sorted(scores, reverse=True) and all(s == int(s) for s in scores)
         return cls(found, [of_byte[f"<0x{b:02X}>"] for b in range(256)], texts, merges)
 
+    @property
+    def digest(self) -> int:
+        return zlib.crc32(repr((self.pieces, self.bytes)).encode())
+
     def neighbours(self) -> tuple[np.ndarray, np.ndarray]:
         """A number for each character of the pieces (0: none), and which two stand side by side in a piece."""
         chars = sorted({c for p, _, _ in self.pieces for c in p})
@@ -350,39 +361,137 @@ def merged(unit: np.ndarray, start: np.ndarray, end: np.ndarray, score: np.ndarr
     return found.astype(np.int32), counts
 
 
-def _merge_paths(found: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``block, nth, ids`` (lists: units and the ids of each) from the edges ``block, nth, ...`` as the join gives them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                table = pa.Table.from_batches([batch])
-                rest = table if rest is None else pa.concat_tables([rest, table])
-            if rest is None or not len(rest) or (batch is not None and len(rest) < _EDGES):
-                continue
-            block, nth, *columns = (c.to_numpy() for c in rest.columns)
-            new = np.ones(len(block), bool)
-            new[1:] = (nth[1:] != nth[:-1]) | (block[1:] != block[:-1])
-            begin = np.flatnonzero(new)
-            stop = len(block) if batch is None else int(begin[-1])  # the last unit may go on in the next batch
-            rest = rest.slice(stop)
-            cut = np.flatnonzero(np.diff(block[:stop], prepend=-1)) if stop else []
-            for a, b in zip(cut, [*cut[1:], stop]):
-                unit = np.cumsum(new[a:b]) - 1
-                ids, counts = merged(unit, *(c[a:b] for c in columns), vocabulary)
-                bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                paths = pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block[a]], pa.int64()), _one(pa.array(nth[a:b][new[a:b]], pa.int32())), _one(paths)],
-                    names=["block", "nth", "ids"])
-
-    columns = found.select("block", "nth", "start", "end", "score", "id")
-    return columns.mapInArrow(run, "block long, nth array<int>, ids array<array<int>>")
-
-
-def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+class Merges:
+    """Ids of texts under a model of merges; each distinct unit's lattice is folded once."""
+
+    def __init__(self, vocabulary: Vocabulary, long_unit: int):
+        self.vocabulary, self.long_unit = vocabulary, long_unit
+        self._number, self._beside = vocabulary.neighbours()
+        table = _joined([p for p, _, _ in vocabulary.pieces])
+        hashes = table.spans(table.offsets[:-1], table.offsets[1:])
+        order = np.argsort(hashes)
+        self._pieces = hashes[order]
+        self._ids = np.array([i for _, i, _ in vocabulary.pieces], np.int64)[order]
+        self._scores = np.array([s for _, _, s in vocabulary.pieces])[order]
+        self._text = np.frombuffer(b"".join(vocabulary.texts), np.uint8)
+        self._text_at = np.concatenate([[0], np.cumsum([len(t) for t in vocabulary.texts])])
+        self._known, self._sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._at, self._flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def lattice(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """``unit, start, end, score, id`` of every edge: substrings joined with the piece table."""
+        text = _joined(units)
+        at = np.append(np.flatnonzero((text.buf & 0xC0) != 0x80), len(text.buf))
+        first = np.searchsorted(at, text.offsets)
+        size = np.diff(first)
+        unit = np.repeat(np.arange(len(units)), size)
+        place = np.arange(len(unit)) - first[unit]
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.int64)
+        found = []
+        for length in range(1, self.vocabulary.longest + 1):
+            start = np.flatnonzero(place + length <= size[unit])
+            hashes = text.spans(at[start], at[start + length])
+            row = np.searchsorted(self._pieces, hashes)
+            row[row == len(self._pieces)] = 0
+            fits = self._pieces[row] == hashes
+            if length == 1:  # a character that is no piece has its code point below zero as id
+                score = np.where(fits, self._scores[row], self.vocabulary.unknown)
+                ids = np.where(fits, self._ids[row], -1 - codes[start])
+            else:
+                start, score, ids = start[fits], self._scores[row[fits]], self._ids[row[fits]]
+            found.append((unit[start], place[start], place[start] + length, score, ids))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        order = np.argsort(columns[0], kind="stable")
+        return tuple(c[order] for c in columns)
+
+    def _fold(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units and how many each has."""
+        ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(units)
+        short = [i for i, u in enumerate(units) if len(u) <= self.long_unit]
+        for i in set(range(len(units))) - set(short):
+            ids[i] = np.array(self.vocabulary.path(units[i]), np.int32)
+        total = np.cumsum([len(units[i]) for i in short])
+        for a, b in _parts(np.concatenate([[0], total]), _CHARACTERS):
+            found, counts = merged(*self.lattice([units[i] for i in short[a:b]]), self.vocabulary)
+            for i, x in zip(short[a:b], np.split(found, np.cumsum(counts)[:-1])):
+                ids[i] = x
+        return np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
+
+    def _learn(self, piece: Piece, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, bare: np.ndarray) -> None:
+        """Fold new units and put them in their places among the known ones; ``keys`` ascend."""
+        units = [BLANK * b + piece.buf[x:y].tobytes().decode().replace(" ", BLANK)
+                 for x, y, b in zip(starts.tolist(), ends.tolist(), bare.tolist())]
+        flat, sizes = self._fold(units)
+        place = np.searchsorted(self._known, keys)
+        self._known = np.insert(self._known, place, keys)
+        self._sizes = np.insert(self._sizes, place, sizes)
+        self._at = np.insert(self._at, place, len(self._flat) + np.cumsum(sizes) - sizes)
+        self._flat = np.concatenate([self._flat, flat])
+
+    def piece(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a piece, and where each text's begin."""
+        starts, ends, first = _units(piece, self._number, self._beside)
+        bare = np.zeros(len(starts), bool)  # at the start of a text the model puts a blank
+        bare[first[:-1][np.diff(first) > 0]] = True
+        hashes = piece.spans(starts, ends)
+        hashes[bare] = combine(hashes[bare], np.uint64(1))
+        codes, keys = pd.factorize(hashes)
+        new = np.flatnonzero(~np.isin(keys, self._known))
+        if len(new):
+            if len(self._known) > CACHED_UNITS:
+                self._known, self._sizes = self._known[:0], self._sizes[:0]
+                self._at, self._flat = self._at[:0], self._flat[:0]
+                new = np.arange(len(keys))
+            new = new[np.argsort(keys[new])]
+            at = np.empty(len(keys), np.int64)
+            at[codes[::-1]] = np.arange(len(codes))[::-1]
+            self._learn(piece, keys[new], starts[at[new]], ends[at[new]], bare[at[new]])
+        place = np.searchsorted(self._known, keys)[codes]
+        sizes = self._sizes[place]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self._flat[np.repeat(self._at[place] - total[:-1], sizes) + np.arange(total[-1])]
+        return ids, total[first]
+
+    def decoded(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the texts that ids stand for, and where each text's begin (with the blank the model put first)."""
+        start, size = self._text_at[ids], self._text_at[ids + 1] - self._text_at[ids]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self._text[np.repeat(start - total[:-1], size) + np.arange(total[-1])], total[first]
+
+
+def _joined(texts: list[str]) -> Piece:
+    encoded_ = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in encoded_])]).astype(np.int64)
+    return Piece(np.frombuffer(b"".join(encoded_), np.uint8), offsets, slice(0, len(texts)), False)
+
+
+_kept: dict[tuple[int, int], Merges] = {}
+
+
+def _merges(vocabulary: Vocabulary, digest: int, long_unit: int) -> Merges:
+    """The worker's state for a model; of one model at a time."""
+    if (digest, long_unit) not in _kept:
+        _kept.clear()
+        _kept[digest, long_unit] = Merges(vocabulary, long_unit)
+    return _kept[digest, long_unit]
+
+
+def _by_merges(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``doc_id, ids, text_crc, round_trip`` of texts (columns ``key, text``): each text alone, without a shuffle."""
+    digest, long_unit = vocabulary.digest, LONG_UNIT
+
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        model = _merges(vocabulary, digest, long_unit)
+        for piece in pieces(batch.column(1), size=_PIECE_BYTES):
+            ids, first = model.piece(piece)
+            data, at = model.decoded(ids, first)
+            crcs = [zlib.crc32(piece.buf[a:b]) for a, b in zip(piece.offsets[:-1], piece.offsets[1:])]
+            again = [zlib.crc32(data[a + (a < b and data[a] == 0x20):b]) for a, b in zip(at[:-1], at[1:])]
+            yield {"doc_id": batch.column(0).slice(piece.rows.start, len(piece)),
+                   "ids": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids, pa.int32())),
+                   "text_crc": crcs, "round_trip": np.equal(crcs, again)}
+
+    return arrow_map(docs.select("key", "text"), "doc_id long, ids array<int>, text_crc long, round_trip boolean", work)
 
 
 def _with_bytes(ids: Column, vocabulary: Vocabulary) -> Column:
@@ -405,14 +514,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
            block_units: int = BLOCK_UNITS) -> DataFrame:
     """``doc_id, ids`` and ``text_crc`` (crc32 of the text's bytes) of every document."""
     plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    if vocabulary.merges:
+        return _by_merges(plain, vocabulary).select("doc_id", "ids", "text_crc")
     work_ = Workspace(docs.sparkSession, "subwords")
     blocks = work_.save(_blocks(plain, vocabulary, block_units), "blocks", compression="zstd")
     units = blocks.select("block", F.posexplode("units").alias("nth", "unit")).where("unit IS NOT NULL")
-    if vocabulary.merges:
-        chunks = _merge_paths(edges(units, ["block", "nth"], vocabulary), vocabulary)
-    else:
-        paths = best_path(lattice(units, ["block", "nth"], vocabulary), ["block", "nth"], vocabulary)
-        chunks = paths.select("block", F.array("nth").alias("nth"), F.array("ids").alias("ids"))
+    paths = best_path(lattice(units, ["block", "nth"], vocabulary), ["block", "nth"], vocabulary)
+    chunks = paths.select("block", F.array("nth").alias("nth"), F.array("ids").alias("ids"))
     coded = chunks.groupBy("block").agg(F.collect_list(F.struct("nth", "ids")).alias("paths"))
     together = blocks.drop("units").join(coded.select(
         "block", F.flatten("paths.nth").alias("nth"), F.flatten("paths.ids").alias("ids")), "block", "left")
@@ -478,6 +586,10 @@ def decode(coded: DataFrame, vocabulary: Vocabulary, ids: str = "ids") -> DataFr
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_pieces, ids`` and whether decoding them gives the text back."""
+    if vocabulary.merges:
+        plain = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+        return _by_merges(plain, vocabulary).select(
+            "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
     found = decode(encode(docs, vocabulary, key, text), vocabulary)
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
                         (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc")).alias("round_trip"))
