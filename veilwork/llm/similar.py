@@ -316,4 +316,17 @@ def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_minhash_forest": op4_minhash_forest}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_minhash_forest": f"""WITH RECURSIVE
+  w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+  s AS MATERIALIZED (SELECT DISTINCT r, h FROM (SELECT r, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[]
+    WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda i: array_to_string(ws[i:i + {SHINGLE - 1}], ' ')) END) AS h FROM w)),
+  n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+  c AS (SELECT a.r AS x, b.r AS y, count(*) AS k FROM s a JOIN s b ON a.h = b.h AND a.r < b.r GROUP BY ALL),
+  l AS MATERIALIZED (SELECT x, y FROM c JOIN n a ON a.r = x JOIN n b ON b.r = y
+    WHERE 10 * k >= {round(THRESHOLD * 10)} * (a.n + b.n - k)),
+  e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+  reach AS (SELECT r, r AS other FROM w UNION SELECT reach.r, e.y FROM reach JOIN e ON e.x = reach.other)
+  SELECT w.doc_id, (SELECT min(o.doc_id) FROM reach JOIN w o ON o.r = reach.other WHERE reach.r = w.r) AS class_id,
+    (SELECT count(*) FROM e WHERE e.x = w.r) AS n_links FROM w"""}
