@@ -8,7 +8,7 @@ from veilwork import (MaskedTable, MaskSpec, apply_spec, check_target, diff, dry
                       mask_table, open_tables, preflight, preview, published, register_backend, register_generator,
                       register_source, report, require_clean, run_log, run_report, update_join, write_stream)
 from veilwork.operators import discover
-from veilwork.operators.diff import estimate_rows
+from veilwork.sources.layout import estimated_rows
 from veilwork.operators.verify import checksum, determinism, duplicates, leaks, untouched
 from veilwork.plans.preflight import PreflightFailed, TargetNotAllowed, is_production_like, literal_fits
 from veilwork.plans.publish import DirtyState, acknowledge, log_state
@@ -150,9 +150,9 @@ def test_catalog_tables_and_estimates(spark, users):
     try:
         assert list(discover.list_tables(spark, "listed")) == ["people"]
         assert open_tables(spark, "catalog:listed")("people").count() == 9
-        assert estimate_rows(users) == 9
+        assert estimated_rows(users) == (9, "count")
         spark.sql("ANALYZE TABLE listed.people COMPUTE STATISTICS")
-        assert estimate_rows(spark.table("listed.people"), "listed.people") == 9
+        assert estimated_rows(spark.table("listed.people")) == (9, "statistics")
     finally:
         spark.sql("DROP DATABASE listed CASCADE")
 

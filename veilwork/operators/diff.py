@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.spec import MaskSpec
+from ..plans.spec import MaskSpec, TableSpec
 from ..sources.backends import TableLookup
-from .mask import FAILED, MaskedTable, attempt_name
+from ..sources.layout import estimated_rows
+from .mask import FAILED, SELECTED, MaskedTable, attempt_name
 
 PREVIEW_ROWS = 5
 
@@ -50,24 +51,29 @@ def preview(spec: MaskSpec, lookup: TableLookup, n: int = PREVIEW_ROWS) -> DataF
     return _union([diff(MaskedTable(lookup(t.name), t, spec, lookup, limit=n)) for t in spec.tables])
 
 
-def report(masked: MaskedTable) -> DataFrame:
-    """Counters of one table.
+def counters(masked: MaskedTable) -> list[Column]:
+    """What a report counts, over the rows of the masking frame.
 
     ``retried`` adds up the retries for UNIQUE columns, ``failed`` counts rows
     left without a value, ``duplicates_kept`` those that a ``force_unique`` rule
-    had to leave equal, ``unmatched`` the keys the source names in vain.
+    had to leave equal.
     """
-    table = masked.table
-    df = masked.changes
+    chosen = F.col(SELECTED)
     retried, kept = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for rule in table.columns:
+    for rule in masked.table.columns:
         if rule.unique:
-            retried = retried + F.coalesce(F.sum(F.col(attempt_name(rule.name)).cast("long")), F.lit(0))
+            tries = F.when(chosen, F.col(attempt_name(rule.name)).cast("long"))
+            retried = retried + F.coalesce(F.sum(tries), F.lit(0))
         elif rule.force_unique:
-            kept = kept + F.count_if(F.col(f"__exhausted_{rule.name}"))
-    counts = df.agg(
-        F.count(F.lit(1)).alias("selected"), F.count_if(~F.col(FAILED)).alias("updated"),
-        retried.alias("retried"), F.count_if(FAILED).alias("failed"), kept.alias("duplicates_kept"))
+            kept = kept + F.count_if(chosen & F.col(f"__exhausted_{rule.name}"))
+    return [F.count_if(chosen).alias("selected"), F.count_if(chosen & ~F.col(FAILED)).alias("updated"),
+            retried.alias("retried"), F.count_if(chosen & F.col(FAILED)).alias("failed"), kept.alias("duplicates_kept")]
+
+
+def report(masked: MaskedTable) -> DataFrame:
+    """Counters of one table; ``unmatched`` are the keys the source names in vain."""
+    table = masked.table
+    counts = masked.changes.agg(*counters(masked))
     absent = masked.unmatched().agg(F.count(F.lit(1)).alias("unmatched"))
     both = counts.unionByName(absent, allowMissingColumns=True)
     return both.agg(*[F.sum(c).alias(c) for c in both.columns]).select(
@@ -94,25 +100,22 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
                    for name, df in tables.items()])
 
 
-def estimate_rows(df: DataFrame, name: str | None = None) -> int:
-    """Rows from catalog statistics where the table has them, else counted."""
-    if name:
-        for row in df.sparkSession.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Statistics'").collect():
-            for part in row["data_type"].split(","):
-                if part.strip().endswith("rows"):
-                    return int(part.strip().split()[0])
-    return df.count()
+def row_estimates(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows per table as far as they are known without reading it, and how: statistics, file footers, or a count."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(name, *estimated_rows(df)) for name, df in tables.items()],
+                                 "table_name string, n_rows long, known_from string")
+
+
+def source_estimate(table: TableSpec, lookup: TableLookup) -> tuple[int, str]:
+    """Rows of what a rule reads; a query is not estimated."""
+    if table.source.type == "query":
+        return 0, "none"
+    return estimated_rows(lookup(table.source.name if table.source.type == "view" else table.name))
 
 
 def plan_summary(spec: MaskSpec, lookup: TableLookup) -> DataFrame:
-    """Tables, columns and row estimates of a run; a query source is not estimated."""
-    parts = []
-    for t in spec.tables:
-        if t.source.type == "query":
-            rows = lookup(t.name).sparkSession.range(1).select(F.lit(0).cast("long").alias("n_rows"))
-        else:
-            df = lookup(t.source.name if t.source.type == "view" else t.name)
-            rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
-        parts.append(rows.select(F.lit(t.name).alias("table_name"), F.lit(",".join(t.masked)).alias("columns"),
-                                 "n_rows"))
-    return _union(parts)
+    """Tables, columns and row estimates of a run."""
+    rows = [(t.name, ",".join(t.masked), source_estimate(t, lookup)[0]) for t in spec.tables]
+    return lookup(spec.tables[0].name).sparkSession.createDataFrame(
+        rows, "table_name string, columns string, n_rows long")

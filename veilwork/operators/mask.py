@@ -275,11 +275,22 @@ class MaskedTable:
         # A flag, not a coalesce: a generated NULL must replace the value too.
         return F.when(changed, new).otherwise(F.col(rule.name))
 
-    def output(self) -> DataFrame:
-        """The base table with its masked columns replaced; same rows, same schema."""
+    @property
+    def flags(self) -> list[str]:
+        """Columns of the frame from which the counters of a report are taken."""
+        resolved = [r.name for r in self.table.columns if r.resolves]
+        return [SELECTED, FAILED, *[attempt_name(c) for c in resolved], *[f"__exhausted_{c}" for c in resolved]]
+
+    def output(self, flags: bool = False, only_selected: bool = False) -> DataFrame:
+        """The base table with its masked columns replaced; same rows, same schema.
+
+        ``flags`` adds what counters need, ``only_selected`` leaves out the rows
+        that the source does not select.
+        """
         rules = {r.name: r for r in self.table.columns}
-        return self.wide.select(*[self._value(rules[c]).alias(c) if c in rules else F.col(c)
-                                  for c in self.base.columns])
+        return (self.changes if only_selected else self.wide).select(
+            *[self._value(rules[c]).alias(c) if c in rules else F.col(c) for c in self.base.columns],
+            *(self.flags if flags else []))
 
     def failed(self) -> DataFrame:
         """Rows left without a unique value: key and reason, never the value."""

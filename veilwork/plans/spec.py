@@ -95,16 +95,21 @@ class ColumnSpec:
 
 @dataclass(frozen=True)
 class SourceSpec:
-    """Which rows of a table are masked."""
+    """Which rows of a table are masked.
+
+    ``watermark`` names an ordering column: a run then takes the rows that came
+    since the last run, which it knows from the largest value seen then.
+    """
 
     type: str = "table"
     name: str = ""
     sql: str = ""
     filter: str = ""
+    watermark: str = ""
 
     @classmethod
     def from_dict(cls, raw: Any, where: str) -> SourceSpec:
-        raw = _checked(where, raw, ("type", "name", "sql", "filter", "params"))
+        raw = _checked(where, raw, ("type", "name", "sql", "filter", "watermark", "params"))
         raw.pop("params", None)
         if not raw.get("type"):
             raw["type"] = "table"

@@ -42,8 +42,9 @@ def _view_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _view_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = lookup(spark, sf_dir)("orders")
-    return orders.join(_urgent(spark, sf_dir).select("o_orderkey"), "o_orderkey", "left_semi")
+    table = masked(spark, sf_dir, "orders", "o_orderkey", [PRIORITY_BY_VALUE],
+                   views={"urgent": _urgent(spark, sf_dir)}, source={"type": "view", "name": "urgent"})
+    return table.selected.select(*table.base.columns)
 
 
 def _query_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,15 +79,19 @@ def _custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
                   source={"type": "example_top_accounts"}).output()
 
 
-def _update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes with NULLs that must win, and keys (of customers) the base may lack."""
     find = lookup(spark, sf_dir)
     low = F.col("o_orderpriority") == "5-LOW"
-    changes = find("orders").where("o_orderstatus = 'F'").select(
+    listed = find("orders").where("o_orderstatus = 'F'").select(
         "o_orderkey", F.when(~low, F.lower("o_orderpriority")).alias("o_orderpriority"))
     absent = find("customer").select((-F.col("c_custkey") - 1).alias("o_orderkey"),
                                      F.col("c_name").alias("o_orderpriority"))
-    return update_join(find("orders"), changes.unionByName(absent), ["o_orderkey"])
+    return listed.unionByName(absent)
+
+
+def _update_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return update_join(lookup(spark, sf_dir)("orders"), changes(spark, sf_dir), ["o_orderkey"])
 
 
 def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +101,8 @@ def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(filter_: str) -> MaskedTable:
         return masked(spark, sf_dir, "orders", "o_orderkey", columns, source={"filter": filter_})
     earlier = run(f"NOT ({RECENT})").output()
-    changes = run(RECENT).output().where(RECENT).select("o_orderkey", "o_orderpriority", "o_custkey")
-    return update_join(earlier, changes, ["o_orderkey"])
+    recent = run(RECENT).output().where(RECENT).select("o_orderkey", "o_orderpriority", "o_custkey")
+    return update_join(earlier, recent, ["o_orderkey"])
 
 
 def _two_tables() -> MaskSpec:
@@ -135,7 +140,7 @@ def _dry_run_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts
 
 
-def _reported() -> MaskSpec:
+def reported() -> MaskSpec:
     return MaskSpec.from_dict({"salt": SALT, "allowed": ["testdata"], "tables": [
         {"name": "customer", "pk": "c_custkey", "columns": [faker("c_name", "full_name")]},
         {"name": "orders", "pk": "o_orderkey", "source": {"filter": RECENT}, "columns": [
@@ -146,7 +151,7 @@ def _reported() -> MaskSpec:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.run_report(_reported(), lookup(spark, sf_dir))
+    return d.run_report(reported(), lookup(spark, sf_dir))
 
 
 def _report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
