@@ -8,6 +8,7 @@ from veilwork import (MaskedTable, MaskSpec, apply_spec, check_target, diff, dry
                       mask_table, open_tables, preflight, preview, published, register_backend, register_generator,
                       register_source, report, require_clean, run_log, run_report, update_join, write_stream)
 from veilwork.operators import discover
+from veilwork.operators.keys import find_keys
 from veilwork.sources.layout import estimated_rows
 from veilwork.operators.verify import checksum, determinism, duplicates, leaks, untouched
 from veilwork.plans.preflight import PreflightFailed, TargetNotAllowed, is_production_like, literal_fits
@@ -314,7 +315,7 @@ def test_suggestions_first_rule_wins(spark):
 def test_suggested_rules_load_as_a_spec(spark, users):
     import json
     tables = {"users": users}
-    keys = discover.discover_keys(tables)
+    keys = find_keys(tables)
     none = spark.createDataFrame([], "child_table string, child_column string, holds boolean")
     rules = discover.suggested_rules(discover.analyze(tables, keys, none), keys).first()["rules"]
     spec = MaskSpec.from_dict({"tables": [json.loads(rules)]})

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.seed import is_seedable
-from ..storage import Workspace
+from .keys import Reference, family
 
 # Rule name, column name pattern, generator, provider; first match wins.
 RULES = [
@@ -25,8 +25,6 @@ RULES = [
     ("Address", "address|street|city|zip", "faker", "short_text"),
 ]
 
-Reference = tuple[str, str, str, str]  # child table, child column, parent table, parent column
-
 
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -39,13 +37,29 @@ def list_tables(spark: SparkSession, database: str | None = None) -> dict[str, D
     return {n: spark.table(f"{database}.{n}" if database else n) for n in names}
 
 
-def describe_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Table, column, ordinal and type of every column."""
+def describe_columns(tables: Mapping[str, DataFrame], facts: DataFrame | None = None,
+                     references: DataFrame | None = None) -> DataFrame:
+    """Table, column, position, type and nullability of every column.
+
+    With ``facts`` (of ``discover_keys``) and checked ``references`` also whether
+    it has NULLs, is unique, is the key, and refers to another table; columns
+    that cannot be keys are neither unique nor keys.
+    """
     spark = next(iter(tables.values())).sparkSession
     rows = [(name, f.name, i, f.dataType.simpleString(), f.nullable)
             for name, df in tables.items() for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(
+    out = spark.createDataFrame(
         rows, "table_name string, column_name string, position int, data_type string, nullable boolean")
+    on = ["table_name", "column_name"]
+    if facts is not None:
+        out = out.join(facts.select(*on, "has_nulls", "is_unique", "is_key"), on, "left").withColumns(
+            {c: F.coalesce(c, F.lit(False)) for c in ("is_unique", "is_key")})
+    if references is not None:
+        refers = references.where("holds").select(F.col("child_table").alias("table_name"),
+                                                  F.col("child_column").alias("column_name")).distinct()
+        out = out.join(refers.withColumn("is_fk", F.lit(True)), on, "left").withColumn(
+            "is_fk", F.coalesce("is_fk", F.lit(False)))
+    return out
 
 
 def _comparable(col: Column, dtype: T.DataType) -> Column:
@@ -87,11 +101,6 @@ def _column_counts(df: DataFrame, field: T.StructField, position: int) -> DataFr
         F.lit(field.name).alias("column_name"), F.lit(position).alias("position"), "n_rows", "n_values", "n_distinct")
 
 
-def _family(dtype: T.DataType) -> object:
-    """Types whose values can be compared as references: integers of any width are one family."""
-    return T.IntegralType if isinstance(dtype, T.IntegralType) else dtype
-
-
 def _singular(table: str) -> set[str]:
     name = table.lower()
     names = {name}
@@ -122,7 +131,7 @@ def fk_candidates(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
         for f in df.schema.fields:
             for parent, key in keys.items():
                 if parent == child and f.name == key or not re.search(key_names, key, re.I) \
-                        or _family(f.dataType) != _family(tables[parent].schema[key].dataType):
+                        or family(f.dataType) != family(tables[parent].schema[key].dataType):
                     continue
                 by_table = f.name.lower() in {f"{t}_{stem(key)}" for t in _singular(parent)}
                 alike = parent != child and stem(f.name) == stem(key) and not (
@@ -160,43 +169,35 @@ def discover_fk(tables: Mapping[str, DataFrame], keys: Mapping[str, str],
     return verify_references(tables, fk_candidates(tables, keys, declared=declared))
 
 
+def _on_cycles(follow: Mapping[str, set[str]]) -> set[str]:
+    """Nodes that can reach themselves."""
+    found = set()
+    for start in follow:
+        seen: set[str] = set()
+        waiting = list(follow[start])
+        while waiting:
+            at = waiting.pop()
+            if at not in seen:
+                seen.add(at)
+                waiting += follow.get(at, ())
+        if start in seen:
+            found.add(start)
+    return found
+
+
 def fk_cycles(edges: DataFrame, tables: Iterable[str]) -> DataFrame:
     """For every table, its outgoing references and whether they lead back to it.
 
-    References of tables without incoming or without outgoing ones are peeled
-    off until none is left; of what remains (cycles and the ways between them)
-    the reach is followed, one step of the frontier per round.
+    Different references are as many as the schema has, so the driver follows
+    them; checking them against the data (``edges``) is the part that Spark does.
     """
-    names = sorted(tables)
-    spark = edges.sparkSession
-    ws = Workspace(spark, "cycles")
-    direct = ws.save(edges.select(F.col("child_table").alias("src"), F.col("parent_table").alias("dst")).distinct(),
-                     "direct")
-    core, size, number = direct, direct.count(), 0
-    while size:
-        number += 1
-        ends = core.select(F.col("dst").alias("src")).distinct()
-        starts = core.select(F.col("src").alias("dst")).distinct()
-        core = ws.save(core.join(ends, "src", "left_semi").join(starts, "dst", "left_semi").select("src", "dst"),
-                       f"core{number}")
-        left = core.count()
-        if left == size:
-            break
-        size = left
-    reach, frontier, steps = core, core, []
-    while not frontier.isEmpty():
-        number += 1
-        hop = frontier.join(core.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select(
-            "src", F.col("far").alias("dst")).distinct()
-        frontier = ws.save(hop.join(reach, ["src", "dst"], "left_anti"), f"step{number}")
-        steps.append(f"step{number}")
-        reach = core.unionByName(ws.read(core, *steps))
-    outgoing = direct.groupBy(F.col("src").alias("table_name")).agg(F.count(F.lit(1)).alias("n_references"))
-    circular = reach.where("src = dst").select(F.col("src").alias("table_name"), F.lit(True).alias("in_cycle"))
-    listed = spark.createDataFrame([(n,) for n in names], "table_name string")
-    return listed.join(outgoing, "table_name", "left").join(circular, "table_name", "left").select(
-        "table_name", F.coalesce("n_references", F.lit(0)).cast("long").alias("n_references"),
-        F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
+    follow: dict[str, set[str]] = {}
+    for r in edges.select("child_table", "parent_table").distinct().collect():
+        follow.setdefault(r["child_table"], set()).add(r["parent_table"])
+    circular = _on_cycles(follow)
+    return edges.sparkSession.createDataFrame(
+        [(n, len(follow.get(n, ())), n in circular) for n in sorted(tables)],
+        "table_name string, n_references long, in_cycle boolean")
 
 
 def suggest(columns: DataFrame) -> DataFrame:
@@ -214,24 +215,26 @@ def suggest(columns: DataFrame) -> DataFrame:
         F.concat(F.lit("Matched rule '"), F.col("r.rule"), F.lit("'")).alias("reason"))
 
 
-def analyze(tables: Mapping[str, DataFrame], keys: DataFrame, references: DataFrame) -> DataFrame:
-    """Suggestions for all tables, given the discovered keys and references."""
+def analyze(tables: Mapping[str, DataFrame], keys: Mapping[str, str], references: DataFrame) -> DataFrame:
+    """Suggestions for all tables, given the key column of each and the checked references."""
     fk = references.where("holds").select(F.col("child_table").alias("table_name"),
                                           F.col("child_column").alias("column_name"),
                                           F.lit(True).alias("is_fk")).distinct()
-    flags = (describe_columns(tables).select("table_name", "column_name")
-             .join(keys.select("table_name", "column_name", "is_key"), ["table_name", "column_name"], "left")
-             .join(fk, ["table_name", "column_name"], "left")
-             .select("table_name", "column_name", F.coalesce("is_key", F.lit(False)).alias("is_key"),
-                     F.coalesce("is_fk", F.lit(False)).alias("is_fk")))
-    return suggest(flags)
+    is_key = F.lit(False)
+    for table, column in keys.items():
+        is_key = is_key | ((F.col("table_name") == table) & (F.col("column_name") == column))
+    flags = describe_columns(tables).select("table_name", "column_name", is_key.alias("is_key")).join(
+        fk, ["table_name", "column_name"], "left")
+    return suggest(flags.withColumn("is_fk", F.coalesce("is_fk", F.lit(False))))
 
 
-def suggested_rules(suggestions: DataFrame, keys: DataFrame) -> DataFrame:
+def suggested_rules(suggestions: DataFrame, keys: Mapping[str, str]) -> DataFrame:
     """One rule dictionary per table, as JSON that the spec loader accepts."""
-    pk = keys.where("is_key").select("table_name", F.col("column_name").alias("pk"))
     column = F.struct(F.col("column_name").alias("name"),
                       F.struct(F.col("generator").alias("type"), "provider").alias("gen"))
     grouped = suggestions.groupBy("table_name").agg(F.sort_array(F.collect_list(column)).alias("columns"))
-    rule = F.struct(F.col("table_name").alias("name"), F.coalesce("pk", F.lit("id")).alias("pk"), "columns")
-    return grouped.join(pk, "table_name", "left").select("table_name", F.to_json(rule).alias("rules"))
+    pk = F.lit("id")
+    for table, key in keys.items():
+        pk = F.when(F.col("table_name") == table, key).otherwise(pk)
+    rule = F.struct(F.col("table_name").alias("name"), pk.alias("pk"), "columns")
+    return grouped.select("table_name", F.to_json(rule).alias("rules"))

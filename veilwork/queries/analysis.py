@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import discover as disc
+from ..operators import keys as k
 from ..plans.preflight import key_counts, preflight
 from ..plans.spec import MaskSpec
 from ..storage import Workspace
@@ -31,17 +32,24 @@ _KEY_COLUMNS = {
 }
 
 
-def _found(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame, dict[str, str]]:
-    """Tables, their column facts, and the key of each table (schema-sized, so read by the driver)."""
+#: Columns that a composite key may have in the query.
+LARGEST_KEY = 3
+
+
+def _column_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all columns, which several readers share."""
+    return Workspace(spark, "facts").save(disc.discover_keys(tables(spark, sf_dir)), "columns")
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, str], DataFrame]:
+    """Tables, the key of each, and the references between them."""
     found = tables(spark, sf_dir)
-    facts = Workspace(spark, "facts").save(disc.discover_keys(found), "columns")  # read more than once
-    keys = {r["table_name"]: r["column_name"] for r in facts.where("is_key").collect()}
-    return found, facts, keys
+    keys = k.find_keys(found)
+    return found, keys, disc.discover_fk(found, keys)
 
 
 def _fk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _, keys = _found(spark, sf_dir)
-    return disc.discover_fk(found, keys)
+    return _found(spark, sf_dir)[2]
 
 
 def _fk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,13 +69,33 @@ def _declared_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _, keys = _found(spark, sf_dir)
-    return disc.fk_cycles(disc.discover_fk(found, keys).where("holds"), found)
+    found, _, references = _found(spark, sf_dir)
+    return disc.fk_cycles(references.where("holds"), found)
+
+
+def _suggestions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, str]]:
+    found, keys, references = _found(spark, sf_dir)
+    return disc.analyze(found, keys, references), keys
 
 
-def _suggestions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found, facts, keys = _found(spark, sf_dir)
-    return disc.analyze(found, facts, disc.discover_fk(found, keys)), facts
+def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return k.discover_composite_keys(tables(spark, sf_dir), _column_facts(spark, sf_dir), LARGEST_KEY)
+
+
+def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is known of every column."""
+    found, _, references = _found(spark, sf_dir)
+    return disc.describe_columns(found, _column_facts(spark, sf_dir), references)
+
+
+def _by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that only the values show: every column has another name."""
+    find = lookup(spark, sf_dir)
+    people = find("customer").select(F.col("c_custkey").alias("person_no"), "c_name")
+    things = find("orders").select(F.col("o_orderkey").alias("thing_no"), F.col("o_custkey").cast("int").alias("owner"))
+    found = {"people": people, "things": things}
+    keys = k.find_keys(found)
+    return disc.verify_references(found, k.references_by_value(k.discover_inclusions(found), keys))
 
 
 def _preflight_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +135,10 @@ def _preflight_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "discover_keys": lambda spark, sf: disc.discover_keys(tables(spark, sf)),
     "discover_fk": _fk,
+    "discover_composite_keys": _composite,
+    "discover_inclusions": lambda spark, sf: k.discover_inclusions(tables(spark, sf)),
+    "discover_fk_values": _by_value,
+    "describe_all": _described,
     "discover_fk_names": _fk_names,
     "declared_fk": _declared_fk,
     "fk_cycles": _cycles,
@@ -144,9 +176,19 @@ _references = " UNION ALL ".join(
     for ct, cc, pt, pc in _REFERENCES)
 _fk_sql = f"SELECT *, n_orphans = 0 AS holds FROM ({_references})"
 
-_rule_case = " ".join(f"WHEN regexp_matches(column_name, '{pattern}', 'i') THEN '{name}'"
-                      for name, pattern, _, _ in disc.RULES)
-_provider_case = " ".join(f"WHEN '{name}' THEN '{provider}'" for name, _, _, provider in disc.RULES)
+# Rule name, column name pattern, provider; first match wins.
+_RULES = [
+    ("Email", "email", "email"),
+    ("First Name", "first_name|fname", "first_name"),
+    ("Last Name", "last_name|lname", "last_name"),
+    ("Full Name", "full_name|fullname|name", "full_name"),
+    ("Phone", "phone|tel|mobile", "phone_number"),
+    ("Company", "company|organization|org", "company_name"),
+    ("IP Address", "ip_address|ipv4|ipv6", "ipv4_address"),
+    ("Address", "address|street|city|zip", "short_text"),
+]
+_rule_case = " ".join(f"WHEN regexp_matches(column_name, '{pattern}', 'i') THEN '{name}'" for name, pattern, _ in _RULES)
+_provider_case = " ".join(f"WHEN '{name}' THEN '{provider}'" for name, _, provider in _RULES)
 _all_columns = " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name FROM (DESCRIBE {t})" for t in TABLES)
 _analyze_sql = f"""SELECT table_name, column_name, 'faker' AS generator, CASE rule {_provider_case} END AS provider,
     'Matched rule ''' || rule || '''' AS reason FROM (
@@ -192,7 +234,55 @@ def _preflight_sql() -> str:
         FROM (SELECT count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT s_suppkey FROM supplier)) WHERE n > 0"""
 
 
+def _composite_sql() -> str:
+    """Counts of all sets of up to three columns; a unique one counts if no unique one is a part of it."""
+    sets = [(t, mask) for t, columns in _KEY_COLUMNS.items() for mask in range(1, 1 << len(columns))
+            if mask.bit_count() <= LARGEST_KEY and all(c for i, c in enumerate(columns) if mask >> i & 1)]
+
+    def one(t: str, mask: int) -> str:
+        chosen = [c for i, c in enumerate(_KEY_COLUMNS[t]) if mask >> i & 1]
+        return (f"SELECT '{t}' AS table_name, {mask} AS mask, '{','.join(chosen)}' AS columns, {len(chosen)}::INTEGER AS n_columns, "
+                f"count(*) > 0 AND count(DISTINCT ({', '.join(chosen)})) = count(*) AND "
+                f"{' AND '.join(f'count({c}) = count(*)' for c in chosen)} AS is_key FROM {t}")
+
+    return (f"WITH s AS MATERIALIZED (SELECT * FROM ({' UNION ALL '.join(one(*x) for x in sets)}) WHERE is_key) "
+            "SELECT table_name, columns, n_columns FROM s WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.table_name = s.table_name "
+            "AND p.mask <> s.mask AND (p.mask & s.mask) = p.mask)")
+
+
+def _inclusions_sql() -> str:
+    values = " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}' AS t, '{c}' AS c, CASE WHEN typeof({c}) IN ('BIGINT', 'INTEGER', 'SMALLINT') THEN 'integer' "
+        f"ELSE typeof({c}) END AS family, {c}::VARCHAR AS v FROM {t} WHERE {c} IS NOT NULL"
+        for t, columns in _KEY_COLUMNS.items() for c in columns if c)
+    return f"""WITH v AS MATERIALIZED ({values}), n AS (SELECT t, c, count(*) AS n FROM v GROUP BY ALL)
+      SELECT a.t AS child_table, a.c AS child_column, b.t AS parent_table, b.c AS parent_column, any_value(n.n) AS n_values
+      FROM v a JOIN v b ON a.family = b.family AND a.v = b.v AND (a.t <> b.t OR a.c <> b.c) JOIN n ON n.t = a.t AND n.c = a.c
+      GROUP BY a.t, a.c, b.t, b.c HAVING count(*) = any_value(n.n)"""
+
+
+def _described_part(t: str) -> str:
+    return (f"SELECT '{t}' AS table_name, column_name, (row_number() OVER () - 1)::INTEGER AS position, CASE column_type "
+            "WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' "
+            f"WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>' ELSE column_type END AS data_type FROM (DESCRIBE {t})")
+
+
+_described_sql = f"""SELECT d.table_name, d.column_name, d.position, d.data_type, true AS nullable, f.has_nulls,
+      coalesce(f.is_unique, false) AS is_unique, coalesce(f.is_key, false) AS is_key,
+      EXISTS (SELECT 1 FROM ({_fk_sql}) r WHERE holds AND r.child_table = d.table_name AND r.child_column = d.column_name) AS is_fk
+    FROM ({" UNION ALL ".join(
+        _described_part(t) for t in TABLES)}) d
+    LEFT JOIN ({_keys}) f ON f.table_name = d.table_name AND f.column_name = d.column_name"""
+
+
 ORACLES = {
+    "discover_composite_keys": _composite_sql(),
+    "discover_inclusions": _inclusions_sql(),
+    "discover_fk_values": "SELECT 'things' AS child_table, 'owner' AS child_column, 'people' AS parent_table, 'person_no' "
+                          "AS parent_column, count(*) AS n_references, 0::BIGINT AS n_orphans, true AS holds FROM orders "
+                          "WHERE o_custkey IS NOT NULL HAVING count(*) FILTER (WHERE o_custkey NOT IN "
+                          "(SELECT c_custkey FROM customer)) = 0",
+    "describe_all": _described_sql,
     "discover_fk_names": "SELECT 'orders' AS child_table, 'customer_id' AS child_column, 'customers' AS parent_table, "
                          "'id' AS parent_column, count(*) AS n_references, count(*) FILTER (WHERE c_custkey IS NULL) "
                          "AS n_orphans, count(*) FILTER (WHERE c_custkey IS NULL) = 0 AS holds FROM orders "
