@@ -39,3 +39,17 @@ def greedy(rows, value, tries, taken=()):
                 out[key] = attempt
                 break
     return out
+
+
+def greedy_joint(rows, values, tries, taken=()):
+    """Like :func:`greedy` for several columns: ``values(key, attempt)`` is a tuple, None is nobody's value."""
+    seen, out = set(taken), {}
+    for key in rows:
+        out[key] = None
+        for attempt in range(tries):
+            offered = {(i, v) for i, v in enumerate(values(key, attempt)) if v is not None}
+            if not offered & seen:
+                seen |= offered
+                out[key] = attempt
+                break
+    return out

@@ -226,3 +226,78 @@ def test_two_force_unique_columns_join_once(spark):
         assert {r.id: r[column] for r in got} == {k: value(k, 9 if a is None else a) for k, a in want.items()}
     plan = masked.wide._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
+
+
+def _second(domain):
+    """A provider on another draw, NULL for one value of the domain."""
+    name = f"second_{domain}"
+    register_provider(name, lambda s: F.when(s.pick(1, domain) > 0, s.pick(1, domain)).cast("string"), domain=domain)
+    return name
+
+
+def _joint_values(first, second, salt):
+    def values(key, attempt):
+        h = serial.seed(salt, f"t:{key}", attempt)
+        return str(serial.draw(h, 0) % first), str(serial.draw(h, 1) % second) if serial.draw(h, 1) % second else None
+    return values
+
+
+def _joint_spec(first, second, salt, pk="id", **settings):
+    return MaskSpec.from_dict({"salt": salt, "tables": [{"name": "t", "pk": pk, **settings, "columns": [
+        {"name": "v", "generator": pick_provider(first), "unique": True},
+        {"name": "w", "generator": _second(second), "unique": True},
+        {"name": "x", "gen": {"type": "hash"}}]}]})
+
+
+def _joint_rows(n):
+    return F.col("id"), F.lit("x").alias("v"), F.lit("y").alias("w"), F.lit("z").alias("x")
+
+
+@pytest.mark.parametrize("n, first, second, salt", [(60, 4000, 30, "a"), (70, 90, 5000, "b"), (40, 12, 9, "c"), (150, 3000, 4000, "d")])
+def test_joint_columns_equal_serial_loop(spark, n, first, second, salt):
+    df = spark.range(n).select(*_joint_rows(n)).repartition(4)
+    masked = run(df, _joint_spec(first, second, salt))
+    values = _joint_values(first, second, salt)
+    want = serial.greedy_joint(range(n), values, 11)
+    got = {r.id: r for r in masked.output().collect()}
+    for key, attempt in want.items():
+        row = got[key]
+        assert (row.v, row.w) == ((None, None) if attempt is None else values(key, attempt))
+        assert row.x == serial.seed(salt, f"t:{key}", 10 if attempt is None else attempt)
+    gone = {k for k, a in want.items() if a is None}
+    assert masked.attempts["v"].exhausted == len(gone)
+    assert sorted((r.id, r.column_name) for r in masked.failed().collect()) == sorted((k, c) for k in gone for c in "vw")
+
+
+def test_joint_columns_respect_kept_values(spark):
+    """Rows outside the filter keep values that nobody may take, in either column; keys of two columns."""
+    df = spark.range(80).select((F.col("id") % 7).alias("a"), F.col("id").alias("b"), (F.col("id") % 40).cast("string").alias("v"),
+                                (F.col("id") % 60).cast("string").alias("w"), F.lit("z").alias("x"))
+    spec = _joint_spec(100, 90, "k", pk=["a", "b"], source={"filter": "b >= 25"})
+    keys = sorted((b % 7, b) for b in range(25, 80))
+
+    def values(key, attempt):
+        h = serial.seed("k", f"t:{key[0]}:{key[1]}", attempt)
+        return str(serial.draw(h, 0) % 100), str(serial.draw(h, 1) % 90) if serial.draw(h, 1) % 90 else None
+
+    want = serial.greedy_joint(keys, values, 11, {(0, str(b)) for b in range(25)} | {(1, str(b)) for b in range(25)})
+    got = {(r.a, r.b): (r.v, r.w) for r in run(df, spec).output().where("b >= 25").collect()}
+    assert got == {k: (None, None) if a is None else values(k, a) for k, a in want.items()}
+
+
+def test_joint_columns_without_conflict_write_no_tries(spark):
+    df = spark.range(50).select(*_joint_rows(50))
+    masked = run(df, MaskSpec.from_dict({"tables": [{"name": "t", "pk": "id", "columns": [
+        {"name": "v", "generator": "short_text", "unique": True}, {"name": "w", "gen": {"type": "hash"}, "unique": True}]}]}))
+    assert masked.output().select("v", "w").distinct().count() == 50
+    assert masked.attempts["v"].table is None and masked.attempts["v"].rounds == 1
+
+
+def test_joint_columns_fail_on_request(spark):
+    df = spark.range(9).select(*_joint_rows(9))
+    with pytest.raises(ExhaustedError):
+        run(df, MaskSpec.from_dict({"tables": [{"name": "t", "pk": "id", "columns": [
+            {"name": "v", "generator": pick_provider(4), "unique": True},
+            {"name": "w", "gen": {"type": "hash"}, "unique": True, "on_exhausted": "fail"}]}]})).output()
+    empty = run(df.where("false"), _joint_spec(5, 5, "e"))
+    assert empty.output().count() == 0

@@ -60,11 +60,11 @@ def counters(masked: MaskedTable) -> list[Column]:
     """
     chosen = F.col(SELECTED)
     retried, kept = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for rule in masked.table.columns:
+    for rule in masked.resolved:
         if rule.unique:
             tries = F.when(chosen, F.col(attempt_name(rule.name)).cast("long"))
             retried = retried + F.coalesce(F.sum(tries), F.lit(0))
-        elif rule.force_unique:
+        else:
             kept = kept + F.count_if(chosen & F.col(f"__exhausted_{rule.name}"))
     return [F.count_if(chosen).alias("selected"), F.count_if(chosen & ~F.col(FAILED)).alias("updated"),
             retried.alias("retried"), F.count_if(chosen & F.col(FAILED)).alias("failed"), kept.alias("duplicates_kept")]

@@ -19,6 +19,7 @@ from ..functions.generators import GenContext, build_generator
 from ..functions.seed import SeedScope, materialise_seeds, pk_identifier, render_or_nil, seed_column
 from ..plans.spec import GENERATOR_TYPES, ColumnSpec, MaskSpec, TableSpec
 from ..sources.backends import TableLookup, source_rows
+from .joint import resolve_joint
 from .unique import FORCE_UNIQUE_TRIES, UNIQUE_COLUMN_TRIES, Attempts, resolve_attempts
 
 SELECTED = "__selected"
@@ -171,11 +172,44 @@ class MaskedTable:
 
     # -- tries of rows that need distinct values ---------------------------------
 
+    @property
+    def _unique(self) -> list[ColumnSpec]:
+        return [r for r in self.table.columns if r.unique]
+
+    @property
+    def resolved(self) -> list[ColumnSpec]:
+        """Rules with tries of their own: the UNIQUE columns share those of the first of them."""
+        return [*self._unique[:1], *[r for r in self.table.columns if r.force_unique and not r.unique]]
+
     def _resolve(self, rule: ColumnSpec) -> Attempts:
+        return self._resolve_together() if rule.unique and len(self._unique) > 1 else self._resolve_alone(rule)
+
+    def _resolve_together(self) -> Attempts:
+        rules, originals = self._unique, self._originals
+        carry = sorted({originals[r.name] for r in rules if self._needs_original(r)})
+        # Any column will do to build an expression that never reads it.
+        used = {r.name: originals[r.name] if self._needs_original(r) else self.table.pk[0] for r in rules}
+
+        def with_values(df: DataFrame) -> DataFrame:
+            out = add_new_values(df, self.table, rules, self.spec, self.types, used, {r.name: "attempt" for r in rules})
+            return out.select(*df.columns, F.array(*[F.struct(
+                F.lit(i).alias("column"), F.col(new_name(r.name)).cast("string").alias("value"))
+                for i, r in enumerate(rules)]).alias("values"))
+
+        taken = None
+        if not self.rewrites_everything:
+            kept = F.array(*[F.struct(F.lit(i).alias("column"), F.col(r.name).cast("string").alias("value"))
+                             for i, r in enumerate(rules)])
+            taken = self._untouched().select(F.explode(kept).alias("v")).select("v.*").where("value IS NOT NULL")
+        return resolve_joint(self.selected, self.table.pk, carry, with_values, UNIQUE_COLUMN_TRIES, taken)
+
+    def _needs_original(self, rule: ColumnSpec) -> bool:
+        return rule.by_value or "OriginalValue" in rule.gen.template or rule.gen.type not in GENERATOR_TYPES
+
+    def _resolve_alone(self, rule: ColumnSpec) -> Attempts:
         original = self._originals[rule.name]
-        known = rule.gen.type in GENERATOR_TYPES
-        needs_original = rule.by_value or "OriginalValue" in rule.gen.template or not known
-        alike = rule.by_value and known and "PrimaryKeyValue" not in rule.gen.template
+        needs_original = self._needs_original(rule)
+        alike = rule.by_value and rule.gen.type in GENERATOR_TYPES and "PrimaryKeyValue" not in rule.gen.template
 
         def with_value(df: DataFrame) -> DataFrame:
             out = add_new_values(df, self.table, [rule], self.spec, self.types, {rule.name: original},
@@ -211,32 +245,33 @@ class MaskedTable:
 
     def _widen(self, df: DataFrame, all_selected: bool) -> DataFrame:
         table = self.table
-        unique = [r for r in table.columns if r.unique]
+        unique = self._unique
         owner_of = {r.name: r.name for r in table.columns if r.resolves}
-        if len(unique) == 1:
+        if unique:
             # A refused row is generated afresh as a whole, so its columns agree.
             owner_of = {r.name: r.name if r.force_unique and not r.unique else unique[0].name
                         for r in table.columns}
-        resolved = [r for r in table.columns if r.resolves]
-        for rule in resolved:
+        for rule in self.resolved:
             if rule.name not in self.attempts:
                 self.attempts[rule.name] = self._resolve(rule)
-            found = self.attempts[rule.name]
-            if rule.unique and rule.on_exhausted == "fail" and found.exhausted:
-                raise ExhaustedError(f"{found.exhausted} rows of {table.name}.{rule.name} have no free value")
-        df = self._add_attempts(df, resolved)
-        failed = F.lit(False)
         for rule in unique:
-            failed = failed | F.col(f"__exhausted_{rule.name}")
+            exhausted = self.attempts[unique[0].name].exhausted
+            if rule.on_exhausted == "fail" and exhausted:
+                raise ExhaustedError(f"{exhausted} rows of {table.name}.{rule.name} have no free value")
+        df = self._add_attempts(df, self.resolved)
+        failed = self._exhausted
         attempts = {c: attempt_name(o) for c, o in owner_of.items()}
         df = add_new_values(df, table, table.columns, self.spec, self.types, self._originals, attempts,
                             None if all_selected else F.col(SELECTED))
         for rule in unique:
-            exhausted = F.col(f"__exhausted_{rule.name}")
-            df = df.withColumn(new_name(rule.name),
-                               F.when(~exhausted, F.col(new_name(rule.name))))
+            df = df.withColumn(new_name(rule.name), F.when(~self._exhausted, F.col(new_name(rule.name))))
         return df.withColumn(FAILED, F.col(SELECTED) & failed)
 
+    @property
+    def _exhausted(self) -> Column:
+        """Whether a row has no free value for its UNIQUE columns."""
+        return F.col(f"__exhausted_{self._unique[0].name}") if self._unique else F.lit(False)
+
     def _add_attempts(self, df: DataFrame, rules: list[ColumnSpec]) -> DataFrame:
         """Tries and exhausted flags of all rules, by one join: their tables are merged by key before."""
         pk = list(self.table.pk)
@@ -278,7 +313,7 @@ class MaskedTable:
     @property
     def flags(self) -> list[str]:
         """Columns of the frame from which the counters of a report are taken."""
-        resolved = [r.name for r in self.table.columns if r.resolves]
+        resolved = [r.name for r in self.resolved]
         return [SELECTED, FAILED, *[attempt_name(c) for c in resolved], *[f"__exhausted_{c}" for c in resolved]]
 
     def output(self, flags: bool = False, only_selected: bool = False) -> DataFrame:
@@ -295,8 +330,8 @@ class MaskedTable:
     def failed(self) -> DataFrame:
         """Rows left without a unique value: key and reason, never the value."""
         parts = None
-        for rule in [r for r in self.table.columns if r.unique]:
-            rows = self.changes.where(F.col(f"__exhausted_{rule.name}")).select(
+        for rule in self._unique:
+            rows = self.changes.where(self._exhausted).select(
                 F.lit(self.table.name).alias("table_name"), F.lit(rule.name).alias("column_name"), *self.table.pk,
                 F.lit(f"no unique value after {UNIQUE_COLUMN_TRIES - 1} retries").alias("reason"))
             parts = rows if parts is None else parts.unionByName(rows)

@@ -77,7 +77,7 @@ def resolve_attempts(
     pk, ident = list(pk), [*pk, *carry]
     check_keys(rows, pk)
     ws = Workspace(rows.sparkSession, "attempts")
-    key = F.col(pk[0]) if len(pk) == 1 else F.struct(*pk)
+    key = key_of(pk)
 
     first = with_value(rows.select(*ident).withColumn("attempt", F.lit(0)))
     holders = ws.save(_first_round(first, key, taken), "holders")
@@ -99,7 +99,7 @@ def resolve_attempts(
         return with_value(every).select(*pk, "attempt", "value")
 
     def rows_of(keys: DataFrame) -> DataFrame:
-        return rows.select(*ident).join(keys.select(*_unpack(pk)), pk)
+        return rows.select(*ident).join(keys.select(*unpack(pk)), pk)
 
     asked = ws.save(tries_of(lost), "tries-0")
     # Holders of values that smaller keys ask for may be displaced, so their tries count from the start.
@@ -121,8 +121,8 @@ def resolve_attempts(
         if seen.get["displaced"]:
             # Holders nobody was seen to threaten: their tries, and who holds the values of those.
             gone = state.where("displaced").select(F.col("idle").alias("key"))
-            gone = gone.select(*_unpack(pk)).join(asked.select(*pk).distinct(), pk, "left_anti").select(
-                (F.col(pk[0]) if len(pk) == 1 else F.struct(*pk)).alias("key"))
+            gone = gone.select(*unpack(pk)).join(asked.select(*pk).distinct(), pk, "left_anti").select(
+                key.alias("key"))
             names.append(f"tries-{rounds + 1}")
             added = ws.save(tries_of(rows_of(gone)), names[-1])
             more = _held(holders, added.select("value").join(state.select("value"), "value", "left_anti"))
@@ -179,7 +179,13 @@ def _round(asked: DataFrame, state: DataFrame, pk: list[str], key: Column) -> Da
         F.coalesce(F.col("holder") < F.col("idle"), F.lit(False)).alias("displaced"))
 
 
-def _unpack(pk: list[str]) -> list[Column]:
+def key_of(pk: list[str]) -> Column:
+    """The key as one value, by which rows are ordered."""
+    return F.col(pk[0]) if len(pk) == 1 else F.struct(*pk)
+
+
+def unpack(pk: list[str]) -> list[Column]:
+    """The key's columns from such a value, called ``key``."""
     if len(pk) == 1:
         return [F.col("key").alias(pk[0])]
     return [F.col("key").getField(name).alias(name) for name in pk]
