@@ -341,3 +341,83 @@ def test_a_failed_run_does_not_move_the_mark(spark, tmp_path, monkeypatch):
     assert last_mark(spark, out, spec.tables[0]) == "2" and published(spark, out, "t").count() == 9
     apply_spec(spark, spec, lambda name: _arrived(spark, 30), out, target="dev", over_unfinished=True)
     assert published(spark, out, "t").count() == 30
+
+
+# -- filters and sources on resolved plans -----------------------------------------------
+
+
+def _codes(spark, spec, lookup):
+    from veilwork import preflight
+    return sorted((r.code, r.column_name) for r in preflight(spark, spec, lookup, target="dev").collect())
+
+
+@pytest.mark.parametrize("text, code", [
+    ("no_such > 1", "bad_filter"), ("rand() > 0.5", "filter_random"), ("id", "filter_type"), ("count(id) > 1", "bad_filter"),
+    ("id >", "bad_filter"), ("row_number() over (order by id) < 3", "bad_filter"), ("uuid() = name", "filter_random"),
+    ("id > 3 AND name IS NOT NULL", None)])
+def test_filters_are_resolved_before_a_run(spark, tmp_path, text, code):
+    base, out = spark.createDataFrame([(i, f"n{i}") for i in range(9)], "id long, name string"), str(tmp_path / "out")
+    spec = spec_of(source={"filter": text})
+    assert [c for c, _ in _codes(spark, spec, lambda name: base)] == ([code] if code else [])
+    if code:
+        with pytest.raises(ValueError, match="filter"):
+            apply_spec(spark, spec, lambda name: base, out, target="dev")
+        assert run_log(spark, out).count() == 0 and Claim(spark, out, "x").holder() is None
+
+
+def test_random_sources_are_refused(spark):
+    base = spark.createDataFrame([(1, "a")], "id long, name string")
+    chance = F.udf(lambda: True, "boolean", useArrow=False).asNondeterministic()
+    for view in (base.where(F.rand() < 2), base.where(chance())):
+        spec = spec_of(source={"type": "view", "name": "v"})
+        assert _codes(spark, spec, {"t": base, "v": view}.__getitem__) == [("source_random", "")]
+    base.createOrReplaceTempView("drawn_from")
+    spec = spec_of(source={"type": "query", "sql": "SELECT id FROM drawn_from WHERE rand() < 2 ORDER BY id"})
+    assert _codes(spark, spec, lambda name: base) == [("source_random", "")]
+
+
+def test_watermark_rules(spark):
+    base = spark.createDataFrame([(1, "a", [1])], "id long, name string, list array<int>")
+    for column, settings in (("nothing", {}), ("list", {}), ("name", {}), ("id", {"unique": True})):
+        spec = spec_of([{**HASH, **settings}], source={"watermark": column})
+        assert _codes(spark, spec, lambda name: base) == [("bad_watermark", column)]
+
+
+# -- streams with sources ----------------------------------------------------------------
+
+
+def test_stream_with_a_view_publishes_each_batch_once(spark, tmp_path):
+    from veilwork import mask_table, publish_stream, published_batches
+    from veilwork.streaming.stream import StreamRuleError, publish_batch
+
+    incoming, out, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    rows_ = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "id long, name string")
+    rows_.where("id < 10").coalesce(1).write.parquet(incoming)
+    view = spark.createDataFrame([(i, "old") for i in range(0, 40, 3)], "id long, name string")
+    spec = spec_of([{"name": "name", "gen": {"type": "hash"}, "seed_by": "value"}], source={"type": "view", "name": "v"})
+    table, find = spec.tables[0], {"v": view}.__getitem__
+
+    def run():
+        stream = spark.readStream.schema(rows_.schema).parquet(incoming)
+        publish_stream(stream, table, spec, find, out, state, available_now=True).awaitTermination()
+        return rows(published_batches(spark, out, rows_))
+
+    assert run() == rows(mask_table(rows_.where("id < 10"), table, spec, find))
+    rows_.where("id >= 10").coalesce(1).write.mode("append").parquet(incoming)
+    whole = rows(mask_table(rows_, table, spec, find))
+    assert run() == whole
+    # Batch 1 again, as after a driver that died before Spark noted that it was done; then with other rows.
+    commit = tmp_path / "state" / "commits" / "1"
+    commit.unlink()
+    (commit.parent / ".1.crc").unlink(missing_ok=True)
+    before = files(out)
+    assert run() == whole and files(out) == before
+    assert not publish_batch(rows_, 1, table, spec, find, out) and files(out) == before
+    # A try that was interrupted is written again.
+    log_state(spark, out, "batch-2", 0, "STARTED")
+    rows_.limit(3).write.parquet(f"{out}/batch-2")
+    assert rows(published_batches(spark, out, rows_)) == whole
+    assert publish_batch(rows_.where("id = 3"), 2, table, spec, find, out)
+    assert published_batches(spark, out, rows_).count() == 21
+    with pytest.raises(StreamRuleError):
+        publish_stream(rows_, spec_of([{**HASH, "unique": True}]).tables[0], spec, find, out, state)

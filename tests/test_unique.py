@@ -301,3 +301,32 @@ def test_joint_columns_fail_on_request(spark):
             {"name": "w", "gen": {"type": "hash"}, "unique": True, "on_exhausted": "fail"}]}]})).output()
     empty = run(df.where("false"), _joint_spec(5, 5, "e"))
     assert empty.output().count() == 0
+
+
+def test_later_rounds_ask_fewer_rows(spark, monkeypatch):
+    """Only rows with a try whose value changed holder are asked again."""
+    from functools import partial
+
+    from veilwork.operators import mask
+
+    monkeypatch.setattr(mask, "resolve_attempts", partial(unique.resolve_attempts, count_asked=True))
+    df = spark.range(1200).select("id", F.lit("x").alias("v"))
+    masked = run(df, rule_spec("t", {"name": "v", "generator": pick_provider(1000), "force_unique": True}, salt="delta"))
+    value = picked(1000, "delta", "t")
+    want = serial.greedy(range(1200), value, 10)
+    assert {r.id: r.v for r in masked.output().collect()} == {k: value(k, 9 if a is None else a) for k, a in want.items()}
+    asked = masked.attempts["v"].asked
+    assert len(asked) > 4 and asked[0] > 800 and asked[-1] * 5 < asked[0] and list(asked) == sorted(asked, reverse=True)
+
+
+def test_keys_are_checked_once_a_table(spark, monkeypatch):
+    from veilwork.operators import joint
+
+    checked, real = [], unique.check_keys
+    for module in (unique, joint):
+        monkeypatch.setattr(module, "check_keys", lambda rows, pk: checked.append(1) or real(rows, pk))
+    spec = MaskSpec.from_dict({"tables": [{"name": "t", "pk": "id", "columns": [
+        {"name": "v", "generator": "short_text", "force_unique": True},
+        {"name": "w", "generator": "short_text", "unique": True}, {"name": "x", "gen": {"type": "hash"}, "unique": True}]}]})
+    run(spark.range(30).select(*_joint_rows(30)), spec).output().count()
+    assert len(checked) == 1

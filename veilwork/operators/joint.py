@@ -37,16 +37,18 @@ def resolve_joint(
     with_values: Callable[[DataFrame], DataFrame],
     tries: int,
     taken: DataFrame | None = None,
+    keys_checked: bool = False,
 ) -> Attempts:
     """Find the try of each row.
 
-    ``rows`` has the key ``pk`` (checked) and the columns ``carry`` that values
+    ``rows`` has the key ``pk`` (checked here unless ``keys_checked``) and the columns ``carry`` that values
     depend on.  ``with_values`` adds ``values`` for the column ``attempt``: an
     array of ``column`` (a number) and ``value`` (text; NULL is nobody's).
     ``taken`` (``column, value``) lists what nobody may use.
     """
     pk, ident = list(pk), [*pk, *carry]
-    check_keys(rows, pk)
+    if not keys_checked:
+        check_keys(rows, pk)
     work, key = Workspace(rows.sparkSession, "joint"), key_of(pk)
 
     def offers(some: DataFrame) -> DataFrame:

@@ -102,6 +102,7 @@ class MaskedTable:
         filter_ = table.source.filter if self._source is None else ""
         self._filter = F.expr(filter_) if filter_ else None
         self.attempts: dict[str, Attempts] = {}
+        self.keys_checked = False  # once per table, whatever the number of rules
 
     # -- which rows ------------------------------------------------------------
 
@@ -182,7 +183,9 @@ class MaskedTable:
         return [*self._unique[:1], *[r for r in self.table.columns if r.force_unique and not r.unique]]
 
     def _resolve(self, rule: ColumnSpec) -> Attempts:
-        return self._resolve_together() if rule.unique and len(self._unique) > 1 else self._resolve_alone(rule)
+        found = self._resolve_together() if rule.unique and len(self._unique) > 1 else self._resolve_alone(rule)
+        self.keys_checked = True
+        return found
 
     def _resolve_together(self) -> Attempts:
         rules, originals = self._unique, self._originals
@@ -201,7 +204,8 @@ class MaskedTable:
             kept = F.array(*[F.struct(F.lit(i).alias("column"), F.col(r.name).cast("string").alias("value"))
                              for i, r in enumerate(rules)])
             taken = self._untouched().select(F.explode(kept).alias("v")).select("v.*").where("value IS NOT NULL")
-        return resolve_joint(self.selected, self.table.pk, carry, with_values, UNIQUE_COLUMN_TRIES, taken)
+        return resolve_joint(self.selected, self.table.pk, carry, with_values, UNIQUE_COLUMN_TRIES, taken,
+                             self.keys_checked)
 
     def _needs_original(self, rule: ColumnSpec) -> bool:
         return rule.by_value or "OriginalValue" in rule.gen.template or rule.gen.type not in GENERATOR_TYPES
@@ -225,7 +229,7 @@ class MaskedTable:
         return resolve_attempts(
             self.selected, self.table.pk, [original] if needs_original else [], with_value,
             UNIQUE_COLUMN_TRIES if rule.unique else FORCE_UNIQUE_TRIES,
-            taken=taken, alike=alike)
+            taken=taken, alike=alike, keys_checked=self.keys_checked)
 
     def _untouched(self) -> DataFrame:
         """Base rows the whole source, not just a preview of it, leaves alone."""

@@ -7,11 +7,16 @@ smaller key holds.  Holders only get smaller, so a try held by a smaller key is
 lost for good, and the holders alone are the state: they are the one table that
 a round writes, and a round without a change is the last.
 
-The first round is one aggregation with map-side combining over all rows.  Later
-rounds read the values of all tries of the rows that lost something or may be
-displaced, computed once, and the holders of those values only.  Written tables
-hold keys, tries and masks, never original values, and go when the outcome, a
-table of the rows that differ from the common case, is written.
+The first round is one aggregation with map-side combining over all rows.  Rows
+that lose there take part in the rounds, and so do holders of a value that a
+smaller row taking part has in any of its tries, until there are no more of them;
+everybody else keeps the first try.  The tries of those taking part are written
+once.  A later round asks only rows that have a try whose value changed holder
+in the round before: nobody else's first open try can have become another one.
+It writes the values whose holder it changed, and a round without any is the
+last.  Written tables hold keys, tries and masks, never original values, and go
+when the outcome, a table of the rows that differ from the common case, is
+written.
 """
 
 from __future__ import annotations
@@ -38,12 +43,14 @@ class Attempts:
 
     ``table`` has the key columns and ``attempt`` (NULL: no free value was
     found) for the rows listed; all other rows end with the first try.
-    ``table`` is None when every row does.
+    ``table`` is None when every row does.  ``asked`` counts the rows that each
+    round asked, as far as that was counted.
     """
 
     table: DataFrame | None
     exhausted: int
     rounds: int
+    asked: tuple[int, ...] = ()
 
 
 def check_keys(rows: DataFrame, pk: Sequence[str]) -> None:
@@ -66,16 +73,19 @@ def resolve_attempts(
     tries: int,
     taken: DataFrame | None = None,
     alike: bool = False,
+    keys_checked: bool = False,
+    count_asked: bool = False,
 ) -> Attempts:
     """Find the try of each row.
 
-    ``rows`` has the key ``pk`` (checked) and the columns ``carry`` that values
-    depend on.  ``with_value`` adds ``value`` for the column ``attempt``.
-    ``taken`` (column ``value``) lists values nobody may use.  ``alike`` says
-    that values depend on ``carry`` only, not on the key.
+    ``rows`` has the key ``pk`` (checked here unless ``keys_checked``) and the
+    columns ``carry`` that values depend on.  ``with_value`` adds ``value`` for
+    the column ``attempt``.  ``taken`` (column ``value``) lists values nobody may
+    use.  ``alike`` says that values depend on ``carry`` only, not on the key.
     """
     pk, ident = list(pk), [*pk, *carry]
-    check_keys(rows, pk)
+    if not keys_checked:
+        check_keys(rows, pk)
     ws = Workspace(rows.sparkSession, "attempts")
     key = key_of(pk)
 
@@ -98,44 +108,41 @@ def resolve_attempts(
         every = some.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
         return with_value(every).select(*pk, "attempt", "value")
 
-    def rows_of(keys: DataFrame) -> DataFrame:
-        return rows.select(*ident).join(keys.select(*unpack(pk)), pk)
-
-    asked = ws.save(tries_of(lost), "tries-0")
-    # Holders of values that smaller keys ask for may be displaced, so their tries count from the start.
-    wanted = asked.groupBy("value").agg(F.min(key).alias("by"))
-    threatened = holders.join(wanted, "value").where(~F.col("taken") & (F.col("by") < F.col("holder")))
-    names, rounds = ["tries-0", "tries-1"], 0
-    ws.save(tries_of(rows_of(threatened.select(F.col("holder").alias("key")))), "tries-1")
-    asked = ws.read(asked, *names)
-    present = asked.select(key.alias("holder")).distinct().withColumn("present", F.lit(True))
-    state = _held(holders, asked.select("value")).join(present, "holder", "left")
-    state = ws.save(state.withColumn("idle", F.when(F.col("present").isNull(), F.col("idle"))).drop("present"), "held-0")
+    names = ["tries-0"]
+    asked = added = ws.save(tries_of(lost), names[0])
+    while True:  # holders of what the rows just added want, and come after
+        wanted = added.groupBy("value").agg(F.min(key).alias("by"))
+        threatened = holders.join(wanted, "value").where(~F.col("taken") & (F.col("by") < F.col("holder"))).select(
+            F.col("holder").alias("key")).distinct().select(*unpack(pk)).join(asked.select(*pk), pk, "left_anti")
+        names.append(f"tries-{len(names)}")
+        added = ws.save(tries_of(rows.select(*ident).join(threatened, pk)), names[-1])
+        if added.isEmpty():
+            break
+        asked = ws.read(asked, *names)
+    if len(names) > 2:
+        asked = ws.save(asked, "tries")
+    # All changes of holders there were, and at the start the holders after the first round.
+    wanted = asked.select("value").where(F.col("value").isNotNull())
+    log = ws.save(holders.join(wanted, "value", "left_semi").select("value", "holder", "taken"), "held-0")
+    names, asking = ["held-0"], [asked.select(*pk).distinct().count() if count_asked else -1]
+    affected = asked
     while True:
-        rounds += 1
-        seen = Observation(f"round-{rounds}")
-        state = ws.save(_round(asked, state, pk, key).observe(
-            seen, F.count_if("changed").alias("changed"), F.count_if("displaced").alias("displaced")), f"held-{rounds}")
-        if not seen.get["changed"]:
+        seen = Observation(f"round-{len(names)}")
+        changed = ws.save(_changed(affected, log, pk, key).observe(seen, F.count(F.lit(1)).alias("n")), f"held-{len(names)}")
+        names.append(f"held-{len(names)}")
+        if not seen.get["n"]:
             break
-        if seen.get["displaced"]:
-            # Holders nobody was seen to threaten: their tries, and who holds the values of those.
-            gone = state.where("displaced").select(F.col("idle").alias("key"))
-            gone = gone.select(*unpack(pk)).join(asked.select(*pk).distinct(), pk, "left_anti").select(
-                key.alias("key"))
-            names.append(f"tries-{rounds + 1}")
-            added = ws.save(tries_of(rows_of(gone)), names[-1])
-            more = _held(holders, added.select("value").join(state.select("value"), "value", "left_anti"))
-            ws.save(more.select(*state.columns), f"more-{rounds}")
-            asked = ws.read(asked, *names)
-            state = ws.read(state, f"held-{rounds}", f"more-{rounds}")
-    final = _open(asked, state, key).groupBy(*pk).agg(F.min("attempt").alias("attempt"))
+        log = ws.read(log, *names)
+        again = asked.join(changed.select("value"), "value", "left_semi").select(*pk)
+        affected = asked.join(again, pk, "left_semi")
+        asking.append(again.distinct().count() if count_asked else -1)
+    final = _open(asked, _held(log), key).groupBy(*pk).agg(F.min("attempt").alias("attempt"))
     ends = listed.unionByName(asked.select(*pk)).distinct().join(final, pk, "left").where(
         F.col("attempt").isNull() | (F.col("attempt") > 0)).select(*pk, "attempt")
     outcome = Workspace(rows.sparkSession, "outcome")
     table = outcome.save(ends, "attempts")
     ws.drop()
-    return Attempts(table, table.where(F.col("attempt").isNull()).count(), rounds + 1)
+    return Attempts(table, table.where(F.col("attempt").isNull()).count(), len(names), tuple(asking))
 
 
 def _first_round(first: DataFrame, key: Column, taken: DataFrame | None) -> DataFrame:
@@ -148,35 +155,23 @@ def _first_round(first: DataFrame, key: Column, taken: DataFrame | None) -> Data
         F.min("key").alias("holder"), F.count("key").alias("n"), F.bool_or("taken").alias("taken"))
 
 
-def _held(holders: DataFrame, values: DataFrame) -> DataFrame:
-    """Who holds these values after the first round.  ``idle`` is a holder from then."""
-    return holders.join(values.distinct(), "value", "left_semi").select(
-        "value", "holder", "taken", F.col("holder").alias("idle"),
-        F.lit(False).alias("changed"), F.lit(False).alias("displaced"))
+def _held(log: DataFrame) -> DataFrame:
+    """Who holds each value now."""
+    return log.groupBy("value").agg(F.min("holder").alias("holder"), F.bool_or("taken").alias("taken"))
 
 
-def _open(asked: DataFrame, state: DataFrame, key: Column) -> DataFrame:
+def _open(asked: DataFrame, held: DataFrame, key: Column) -> DataFrame:
     """Tries that no smaller key holds.  NULL is nobody's value."""
-    known = state.select("value", "holder", "taken")
-    return asked.join(known, "value", "left").where(
+    return asked.join(held, "value", "left").where(
         F.coalesce(~F.col("taken") & (F.col("holder").isNull() | (key <= F.col("holder"))), F.lit(True)))
 
 
-def _round(asked: DataFrame, state: DataFrame, pk: list[str], key: Column) -> DataFrame:
-    """Every row claims its first open try; a value goes to the smallest key."""
-    first = _open(asked, state, key).groupBy(*pk).agg(F.min(F.struct("attempt", "value")).alias("claim"))
-    nobody = F.lit(None).cast(state.schema["holder"].dataType)
-    claims = first.where(F.col("claim.value").isNotNull()).select(
-        F.col("claim.value").alias("value"), key.alias("holder"), F.lit(False).alias("taken"), nobody.alias("idle"),
-        nobody.alias("before"))
-    idle = F.when(~F.col("displaced"), F.col("idle")).alias("idle")
-    kept = state.select("value", "holder", "taken", idle, F.col("holder").alias("before"))
-    merged = claims.unionByName(kept).groupBy("value").agg(
-        F.min("holder").alias("holder"), F.bool_or("taken").alias("taken"), F.max("idle").alias("idle"),
-        F.max("before").alias("before"))
-    return merged.select(
-        "value", "holder", "taken", "idle", (~F.col("holder").eqNullSafe(F.col("before"))).alias("changed"),
-        F.coalesce(F.col("holder") < F.col("idle"), F.lit(False)).alias("displaced"))
+def _changed(asked: DataFrame, log: DataFrame, pk: list[str], key: Column) -> DataFrame:
+    """Values that get a smaller holder as every row asked claims its first open try."""
+    first = _open(asked, _held(log), key).groupBy(*pk).agg(
+        F.min(F.struct("attempt", "value", F.col("holder").alias("before"))).alias("claim"))
+    return first.where(F.col("claim.value").isNotNull() & (F.col("claim.before").isNull() | (key < F.col("claim.before")))).groupBy(
+        F.col("claim.value").alias("value")).agg(F.min(key).alias("holder"), F.lit(False).alias("taken"))
 
 
 def key_of(pk: list[str]) -> Column:

@@ -11,7 +11,7 @@ from datetime import date, datetime
 from decimal import Decimal, InvalidOperation
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,14 +168,61 @@ def _schema_issues(t: TableSpec, spec: MaskSpec, base: DataFrame, lookup: TableL
                           f"values of type {types[key].simpleString()} cannot seed masks"))
     for c in t.columns:
         found += [(s, t.name, c.name, code, text) for s, code, text in _rule_issues(t, c, spec, types)]
+    found += _filter_issues(t, base)
+    if t.source.watermark:
+        found += _watermark_issues(t, types)
     try:
-        source_rows(base.sparkSession, t, lookup)
+        rows = source_rows(base.sparkSession, t, lookup)
     except (SourceError, AnalysisException) as e:
-        first_line = str(e).splitlines()[0]
-        found.append(("error", t.name, "", "bad_source", first_line))
+        found.append(("error", t.name, "", "bad_source", str(e).splitlines()[0]))
+    else:
+        if rows is not None and not is_deterministic(rows):
+            found.append(("error", t.name, "", "source_random",
+                          f"the {t.source.type} source names other rows each time it is read"))
     return found
 
 
+def is_deterministic(df: DataFrame) -> bool:
+    """Whether every expression of the resolved plan, functions of the user included, gives the same each time."""
+    return df._jdf.queryExecution().analyzed().deterministic()
+
+
+def _filter_issues(t: TableSpec, base: DataFrame) -> list[Issue]:
+    """Whether the filter of a table source means something for this table: resolved, as a run would resolve it."""
+    text = t.source.filter
+    if not text or t.source.type != "table":
+        return []  # those of views are resolved with their source, a query states its own
+
+    def issue(code: str, message: str) -> list[Issue]:
+        return [("error", t.name, "", code, f"the filter {text!r} {message}")]
+
+    try:
+        dtype = base.select(F.expr(text).alias("f")).schema["f"].dataType
+        if not isinstance(dtype, T.BooleanType):
+            return issue("filter_type", f"is of type {dtype.simpleString()}, not boolean")
+        chosen = base.where(text)  # where aggregates and window functions have no place
+    except (AnalysisException, ParseException) as e:
+        return issue("bad_filter", f"cannot be resolved: {e.getCondition()}")
+    return [] if is_deterministic(chosen) else issue("filter_random", "selects other rows each time it is read")
+
+
+def _watermark_issues(t: TableSpec, types: dict[str, T.DataType]) -> list[Issue]:
+    column = t.source.watermark
+    ordered = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    found = []
+    if t.source.type != "table":
+        found.append("a watermark needs a table source")
+    if column not in types:
+        found.append(f"table {t.name!r} has no column {column!r}")
+    elif not (isinstance(types[column], ordered) or is_seedable(types[column])):
+        found.append(f"values of type {types[column].simpleString()} have no order to continue in")
+    if column in t.masked:
+        found.append(f"{column!r} is masked, so its values say nothing about what is new")
+    if any(c.resolves for c in t.columns):
+        found.append("distinct masks need all rows, a run with a watermark sees the new ones only")
+    return [("error", t.name, column, "bad_watermark", text) for text in found]
+
+
 def key_counts(df: DataFrame, pk: tuple[str, ...]) -> DataFrame:
     """Rows, rows with a NULL in the key, and rows beyond the first of their key."""
     null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
@@ -250,7 +297,7 @@ def preflight(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, target:
             continue
         issues = _schema_issues(t, spec, base, lookup)
         found += issues
-        usable = not {"pk_missing", "bad_source", "unknown_generator", "unknown_provider"} & {i[3] for i in issues}
+        usable = not {"pk_missing", "bad_source", "bad_filter", "filter_type", "unknown_generator", "unknown_provider"} & {i[3] for i in issues}
         if data and usable:
             checks += _data_issues(t, spec, base, lookup)
     out = reduce(DataFrame.unionByName, checks, spark.createDataFrame(found, ISSUES))

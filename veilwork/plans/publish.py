@@ -168,7 +168,8 @@ def _since(spark: SparkSession, out: str, table: TableSpec, base: DataFrame) ->
     return dataclasses.replace(table, source=SourceSpec(filter=filter_)), high or low, low is not None
 
 
-def _publish(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, out: str, folder: str, t: TableSpec) -> None:
+def _publish(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, out: str, folder: str, t: TableSpec,
+             keys_checked: bool) -> None:
     """Write one table, what is needed to read it, and its report."""
     started = datetime.now(timezone.utc)
     base, by, mark, adds = lookup(t.name), [], None, False
@@ -176,6 +177,7 @@ def _publish(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, out: str,
     if t.source.watermark:
         rule, mark, adds = _since(spark, out, t, base)
     masked = MaskedTable(base, rule, spec, lookup)
+    masked.keys_checked = keys_checked
     by = [] if set(partitioning(base)) & set(t.masked) else partitioning(base)
     only_selected = bool(t.source.watermark)
     rows, expected, names, kept_in = masked.output(flags=True, only_selected=only_selected), base, [], []
@@ -232,7 +234,7 @@ def apply_spec(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, out: st
         log_state(spark, out, run_id, 0, STARTED)
         try:
             for t in spec.tables:
-                _publish(spark, spec, lookup, out, folder, t)
+                _publish(spark, spec, lookup, out, folder, t, check_data)
             claim.check()
         except Exception as e:
             log_state(spark, out, run_id, 1, FAILED, type(e).__name__)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.generators import register_generator
 from ..operators import discover as disc
 from ..operators import keys as k
 from ..plans.preflight import key_counts, preflight
 from ..plans.spec import MaskSpec
-from ..storage import Workspace
+from ..storage import Workspace, scratch_path
 from ._common import SALT, TABLES, faker, lookup, rule, tables
 
 # Columns that can be keys (no floating point, no arrays), in schema order.
@@ -132,7 +135,63 @@ def _preflight_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preflight(spark, spec, lookup(spark, sf_dir, parts=parts), target="live_shop")
 
 
+FILTERS = {
+    "customer": "no_such > 1", "orders": "rand() > 0.5", "part": "p_size + 1", "supplier": "count(*) > 1",
+    "nation": "n_name >", "region": "r_regionkey < 3 AND r_name IS NOT NULL"}
+
+
+def _preflight_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters that cannot be resolved, are no conditions or depend on chance, one that is right, and random sources."""
+    find = lookup(spark, sf_dir)
+    columns = {"customer": ("c_custkey", "c_name"), "orders": ("o_orderkey", "o_orderpriority"), "part": ("p_partkey", "p_name"),
+               "supplier": ("s_suppkey", "s_name"), "nation": ("n_nationkey", "n_name"), "region": ("r_regionkey", "r_name")}
+    listed = [{"name": t, "pk": columns[t][0], "source": {"filter": f}, "columns": [rule(columns[t][1], "hash")]}
+              for t, f in FILTERS.items()]
+    listed += [
+        {"name": "events", "pk": "event_id", "source": {"type": "view", "name": "drawn"}, "columns": [rule("props", "hash")]},
+        {"name": "documents", "pk": "doc_id", "source": {"type": "view", "name": "short", "filter": "nothing = 1"},
+         "columns": [rule("text", "hash")]},
+        {"name": "benchmark", "pk": "item_id", "source": {"watermark": "text"}, "columns": [rule("text", "hash")]}]
+    views = {"drawn": find("events").where(F.rand() < 0.5).select("event_id"), "short": find("documents").where("n_chars < 9")}
+    issues = preflight(spark, MaskSpec.from_dict({"salt": SALT, "tables": listed}), lookup(spark, sf_dir, **views))
+    return issues.select("severity", "table_name", "column_name", "code")
+
+
+def _preflight_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings that a strict preflight takes for errors, and a check that a generator brings along."""
+    spec = MaskSpec.from_dict({"salt": SALT, "tables": [
+        {"name": "supplier", "pk": "s_suppkey", "columns": [faker("s_name", "first_name", force_unique=True)]},
+        {"name": "nation", "pk": "n_nationkey", "columns": [rule("n_name", "example_padded", value="3")]},
+        {"name": "region", "pk": "r_regionkey", "columns": [rule("r_name", "example_padded", value="many")]}]})
+    return preflight(spark, spec, lookup(spark, sf_dir), strict=True)
+
+
+register_generator("example_padded", lambda ctx: F.lpad(F.lit("0"), int(ctx.gen.value), "0"),
+                   check=lambda gen, dtype: None if gen.value.isdigit() else "the width is no number")
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job that starts from the tables of a database: which there are, and how many suggestions for each."""
+    name = f"listed_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{scratch_path(spark, 'listed')}'")
+    try:
+        for t in ("customer", "orders"):
+            place = scratch_path(spark, t)
+            lookup(spark, sf_dir)(t).write.parquet(place)
+            spark.sql(f"CREATE TABLE {name}.{t} USING parquet LOCATION '{place}'")
+        found = disc.list_tables(spark, name)
+        keys = k.find_keys(found)
+        rows = disc.analyze(found, keys, disc.discover_fk(found, keys)).collect()
+        return spark.createDataFrame([(t, keys[t], sum(r["table_name"] == t for r in rows)) for t in found],
+                                     "table_name string, key_column string, n_suggestions long")
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
 QUERIES = {
+    "preflight_filters": _preflight_filters,
+    "preflight_strict": _preflight_strict,
+    "list_tables": _listed,
     "discover_keys": lambda spark, sf: disc.discover_keys(tables(spark, sf)),
     "discover_fk": _fk,
     "discover_composite_keys": _composite,
@@ -275,7 +334,20 @@ _described_sql = f"""SELECT d.table_name, d.column_name, d.position, d.data_type
     LEFT JOIN ({_keys}) f ON f.table_name = d.table_name AND f.column_name = d.column_name"""
 
 
+_filter_issues = [("customer", "", "bad_filter"), ("orders", "", "filter_random"), ("part", "", "filter_type"),
+                  ("supplier", "", "bad_filter"), ("nation", "", "bad_filter"), ("events", "", "source_random"),
+                  ("documents", "", "bad_source"), ("benchmark", "text", "bad_watermark")]
+
 ORACLES = {
+    "preflight_filters": " UNION ALL ".join(
+        f"SELECT 'error' AS severity, '{t}' AS table_name, '{c}' AS column_name, '{code}' AS code FROM (SELECT 1 FROM {t} LIMIT 1)"
+        for t, c, code in _filter_issues),
+    "preflight_strict": """SELECT 'error' AS severity, 'supplier' AS table_name, 's_name' AS column_name, 'domain_small' AS code,
+        n || ' rows share 6 possible values' AS message FROM (SELECT count(*) AS n FROM supplier) WHERE n > 6
+      UNION ALL SELECT 'error', 'region', 'r_name', 'generator_check', 'the width is no number'""",
+    "list_tables": f"""SELECT t.table_name, k.column_name AS key_column, count(s.column_name) AS n_suggestions
+      FROM (VALUES ('customer'), ('orders')) t(table_name) JOIN (SELECT * FROM ({_keys}) WHERE is_key) k USING (table_name)
+      LEFT JOIN ({_analyze_sql}) s ON s.table_name = t.table_name GROUP BY t.table_name, k.column_name""",
     "discover_composite_keys": _composite_sql(),
     "discover_inclusions": _inclusions_sql(),
     "discover_fk_values": "SELECT 'things' AS child_table, 'owner' AS child_column, 'people' AS parent_table, 'person_no' "

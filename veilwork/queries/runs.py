@@ -12,10 +12,11 @@ from ..operators.writeback import update_partitions
 from ..plans.publish import apply_spec, published
 from ..plans.spec import MaskSpec
 from ..storage import scratch_path
+from ..streaming.stream import publish_batch, publish_stream, published_batches
 from . import _sql as sql
 from ._common import faker, lookup, rule, spec_of
 from .sources import ORACLES as _SOURCES
-from .sources import RECENT, changes, reported
+from .sources import PRIORITY_BY_VALUE, RECENT, changes, reported, urgent
 
 STEPS = ("1995-06-01", "1998-01-01")
 
@@ -74,7 +75,22 @@ def _watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(spark, out, "orders")
 
 
+def _stream_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of orders of which a view names the ones to mask, and their originals; its first batch comes twice."""
+    orders = lookup(spark, sf_dir)("orders")
+    spec = spec_of("orders", "o_orderkey", [PRIORITY_BY_VALUE, rule("o_orderstatus", "hash")],
+                   source={"type": "view", "name": "urgent"})
+    find = lookup(spark, sf_dir, urgent=urgent(spark, sf_dir))
+    incoming = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    place, table = scratch_path(spark, "stream"), spec.tables[0]
+    query = publish_stream(incoming, table, spec, find, f"{place}/out", f"{place}/state", available_now=True)
+    query.awaitTermination()
+    publish_batch(orders, 0, table, spec, find, f"{place}/out")
+    return published_batches(spark, f"{place}/out", orders)
+
+
 QUERIES = {
+    "stream_view_mask": _stream_view,
     "update_partitions": _update_partitions,
     "publish_partitions": _publish_partitions,
     "run_report_full": _report_full,
@@ -89,6 +105,7 @@ _type_case = " ".join(f"WHEN '{columns}' THEN '{types}'" for columns, types in _
 _rows = " ".join(f"WHEN '{t}' THEN (SELECT count(*) FROM {t})" for t in ("customer", "orders", "supplier", "nation"))
 
 ORACLES = {
+    "stream_view_mask": _SOURCES["src_view_mask"],
     "update_partitions": _SOURCES["update_join"],
     "publish_partitions": sql.masked(
         "orders", "o_orderkey", {"o_orderpriority": sql.provider("email"), "o_custkey": sql.counter()},

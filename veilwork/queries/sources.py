@@ -30,7 +30,7 @@ def _views(spark: SparkSession, sf_dir: str, *names: str) -> None:
         find(name).createOrReplaceTempView(name)
 
 
-def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
+def urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view that shows the priority without its number."""
     orders = lookup(spark, sf_dir)("orders").where("o_orderpriority = '1-URGENT'")
     return orders.select("o_orderkey", F.substring("o_orderpriority", 3, 100).alias("o_orderpriority"))
@@ -38,12 +38,12 @@ def _urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _view_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked(spark, sf_dir, "orders", "o_orderkey", [PRIORITY_BY_VALUE, rule("o_orderstatus", "hash")],
-                  views={"urgent": _urgent(spark, sf_dir)}, source={"type": "view", "name": "urgent"}).output()
+                  views={"urgent": urgent(spark, sf_dir)}, source={"type": "view", "name": "urgent"}).output()
 
 
 def _view_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = masked(spark, sf_dir, "orders", "o_orderkey", [PRIORITY_BY_VALUE],
-                   views={"urgent": _urgent(spark, sf_dir)}, source={"type": "view", "name": "urgent"})
+                   views={"urgent": urgent(spark, sf_dir)}, source={"type": "view", "name": "urgent"})
     return table.selected.select(*table.base.columns)
 
 
