@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.diff import counters, source_estimate
+from ..operators.digests import SCHEMA as DIGESTS
+from ..operators.digests import difference_rows, differing_ranges, digest_tree, fit_ranges, totals
 from ..operators.mask import MaskedTable
 from ..operators.verify import checksum, same_schema, uniqueness
 from ..sources.backends import TableLookup
@@ -127,10 +129,13 @@ def published(spark: SparkSession, out: str, table: str) -> DataFrame:
     return every.join(latest, [*pk, "__run"], "left_semi").select(*segments[0].columns)
 
 
-def _verify(table: TableSpec, expected: DataFrame, written: DataFrame) -> None:
-    """Raise unless the written table has the rows, the unmasked columns and the constraints it must have."""
+def _verify(table: TableSpec, expected: DataFrame, written: DataFrame, tree: DataFrame) -> None:
+    """Raise unless the written table, whose digests are given, has the rows, the unmasked columns and the constraints
+    it must have."""
     kept = [c for c in expected.columns if c not in table.masked]
-    if not same_schema(expected, written) or checksum(expected, kept).first() != checksum(written, kept).first():
+    found = totals(tree)
+    sums = (found["n_rows"] or 0, found["kept_first"], found["kept_second"])
+    if not same_schema(expected, written) or tuple(checksum(expected, kept).first()) != sums:
         raise VerificationFailed(f"table {table.name!r}: rows or unmasked columns changed")
     for rule in table.columns:
         if rule.unique and (n := uniqueness(written, [rule.name]).first()["n_duplicates"]):
@@ -140,6 +145,37 @@ def _verify(table: TableSpec, expected: DataFrame, written: DataFrame) -> None:
             raise VerificationFailed(f"table {table.name!r}: NULL in {column!r}, which is declared NOT NULL")
 
 
+def digests_of(spark: SparkSession, out: str, run: str, table: str) -> DataFrame:
+    """The digests of the rows that a run wrote of a table."""
+    return spark.read.schema(f"{DIGESTS}, starts array<string>").json(f"{out.rstrip('/')}/{run}/_digests/{table}")
+
+
+def _last_starts(spark: SparkSession, out: str, table: TableSpec) -> list[str]:
+    for run in reversed(_completed(spark, out)):
+        if exists(spark, f"{out.rstrip('/')}/{run}/_digests/{table.name}"):
+            first = digests_of(spark, out, run, table.name).select("starts").first()
+            return list(first["starts"]) if first else []
+    return []
+
+
+def compare_runs(spark: SparkSession, out: str, table: TableSpec, before: str, after: str) -> DataFrame:
+    """Keys of the rows that two runs published differently: missing, added or changed.
+
+    Only key ranges whose stored digests differ are read.  Runs without the same
+    ranges, or that did not write the whole table, are read in full.
+    """
+    trees = [digests_of(spark, out, run, table.name) for run in (before, after)]
+    starts = [list(r["starts"]) if (r := tree.select("starts").first()) else None for tree in trees]
+    segments = [_segment(spark, out, run, table.name) for run in (before, after)]
+    if None in segments:
+        raise LookupError(f"one of the runs did not write {table.name!r}")
+    (old, m), (new, n) = segments
+    whole = not (m["kept_in"] or n["kept_in"] or m["watermark"] or n["watermark"])
+    same = whole and starts[0] is not None and starts[0] == starts[1]
+    ranges = differing_ranges(*trees) if same else [(None, None)]
+    return difference_rows(old, new, table.pk, old.columns, ranges)
+
+
 def last_mark(spark: SparkSession, out: str, table: TableSpec) -> str | None:
     """The largest value of the watermark column that completed runs have seen, as text."""
     for run in reversed(_completed(spark, out)):
@@ -193,7 +229,13 @@ def _publish(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, out: str,
     manifest = {"schema": base.schema.json(), "pk": list(t.pk), "partitioned_by": by, "partitions": names,
                 "kept_in": kept_in, "watermark": t.source.watermark, "mark": mark, "adds_to_earlier": adds}
     spark.createDataFrame([manifest], _MANIFEST).coalesce(1).write.json(f"{folder}/_manifest/{t.name}")
-    _verify(t, expected, spark.read.schema(base.schema).parquet(f"{folder}/{t.name}").select(*base.columns))
+    written = spark.read.schema(base.schema).parquet(f"{folder}/{t.name}").select(*base.columns)
+    # The ranges of the last run are kept, so that the two can be compared by their digests.
+    starts = _last_starts(spark, out, t) or fit_ranges(base, t.pk[0])
+    tree = digest_tree(written, t.pk, t.masked, starts)
+    stored = tree.withColumn("starts", F.array(*[F.lit(x) for x in starts]).cast("array<string>"))
+    stored.coalesce(1).write.json(f"{folder}/_digests/{t.name}")
+    _verify(t, expected, written, digests_of(spark, out, folder.rsplit("/", 1)[1], t.name))
     estimate, known_from = source_estimate(t, lookup)
     counts = {k: int(v) for k, v in seen.get.items()}
     counts["unmatched"] = masked.unmatched().count() if t.source.type != "table" else 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import digests as dg
 from ..operators import verify as v
 from ..operators.mask import MaskedTable
 from . import _sql as sql
@@ -98,6 +99,18 @@ def _untouched_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.untouched(before, after, ["c_custkey"], ["c_name", "c_mktsegment"])
 
 
+def _difference_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a damaged copy, found by the digests of its key ranges: only ranges that differ are compared by row."""
+    after = masked(spark, sf_dir, "customer", "c_custkey", COLUMNS).output()
+    key, some = F.col("c_custkey"), F.col("c_custkey") % 100 < 20
+    damaged = after.where(~(some & (key % 7 == 0))).withColumn(
+        "c_acctbal", F.when(some & (key % 5 == 0), -F.lit(1.5)).otherwise(F.col("c_acctbal")))
+    damaged = damaged.unionByName(after.where(key % 90 == 0).withColumn("c_custkey", -key - 1))
+    starts = dg.fit_ranges(after, "c_custkey")
+    trees = [dg.digest_tree(df, ["c_custkey"], ["c_name", "c_mktsegment"], starts) for df in (after, damaged)]
+    return dg.difference_rows(after, damaged, ["c_custkey"], after.columns, dg.differing_ranges(*trees))
+
+
 def _salt_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, other = (masked(spark, sf_dir, "customer", "c_custkey", [rule("c_name", "hash")], salt=s).output()
                   for s in ("salt", "pepper"))
@@ -110,6 +123,7 @@ QUERIES = {
     "verify_determinism_damaged": _determinism_damaged,
     "verify_untouched_damaged": _untouched_damaged,
     "verify_salt_damaged": _salt_damaged,
+    "verify_difference_rows": _difference_rows,
     "verify_leaks": _leaks,
     "verify_determinism": _determinism,
     "verify_consistency": _consistency,
@@ -131,6 +145,9 @@ ORACLES = {
                                   "count(*) FILTER (WHERE c_custkey % 9 = 0) AS n_only_after FROM customer",
     "verify_untouched_damaged": "SELECT true AS same_schema, count(*) FILTER (WHERE c_custkey % 4 = 0) AS n_only_before, "
                                 "count(*) FILTER (WHERE c_custkey % 4 = 0) AS n_only_after FROM customer",
+    "verify_difference_rows": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'missing' ELSE 'changed' END AS problem "
+                              "FROM customer WHERE c_custkey % 100 < 20 AND (c_custkey % 7 = 0 OR c_custkey % 5 = 0) "
+                              "UNION ALL SELECT -c_custkey - 1, 'added' FROM customer WHERE c_custkey % 90 = 0",
     "verify_salt_damaged": "SELECT count(*) FILTER (WHERE c_custkey % 6 <> 0) AS n_rows, "
                            "count(*) FILTER (WHERE c_custkey % 6 <> 0 AND c_custkey % 5 = 0) AS n_equal, "
                            "count(*) FILTER (WHERE c_custkey % 6 = 0) AS n_unpaired FROM customer",
