@@ -3,6 +3,7 @@
 import html
 import math
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -110,6 +111,35 @@ def test_pages_odd(spark, weights):
     assert web.extract(pages.where("false"), weights).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<div>x " * 125_000, "<article>" + "<div class=x>" * 70_000 + "x", "<div class=ad><article>" * 40_000 + "x",
+    "</b>x" * 200_000, "<a>x" * 200_000, "<div b=" + "a" * 500_000 + " c=1 " + "d" * 500_000 + ">x",
+    "<b title='x>" + '<i a="x>' * 60_000, "<p>&amp" * 100_000], ids=range(8))
+def test_large_and_deep_pages_take_linear_time(page):
+    begin = time.thread_time()
+    web.main_text(page, web.Weights({}, {}))
+    assert time.thread_time() - begin < 6
+
+
+def test_deep_nesting_is_read_as_shallow(weights):
+    """What is open around a text decides, however deep it is."""
+    for inner, kept in (("<p>kept words here</p>", True), ("<div class=sidebar><p>gone</p></div>", False),
+                        ("<div class=ad><article><p>kept words here</p></article></div>", True)):
+        page = "<div>" * 3000 + inner + "</div>" * 3000
+        assert web.main_text(page, weights) == ("kept words here" if kept else "")
+    assert [i.label for i in web.parse("<header><div hidden><h2>a</h2></div><h2>b</h2></header>") if i.text] == []
+
+
+def test_learning_reads_few_different_pages(spark):
+    """Repeated pages count once, unlabelled ones not at all, and the choice depends on the pages alone."""
+    pages = [("<p>no label</p>",), (None,)] * 5 + [(f"<article><p>{'w ' * k}</p></article><div>x</div>",) for k in range(1, 40)] * 3
+    frame = spark.createDataFrame(pages, "html string")
+    learned = web.learn(frame, most=10)
+    assert learned == web.learn(frame.repartition(7).distinct(), most=10)
+    assert learned != web.learn(frame)
+    assert web.learn(frame.where("html NOT LIKE '%article%'")) == web.Weights({}, {})
+
+
 def brute_force(rows, k=20):
     ids = np.array([i for i, _ in rows])
     matrix = np.array([v for _, v in rows], float)

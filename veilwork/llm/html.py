@@ -11,13 +11,15 @@ whole known tokens, as slugs of headings use the same words; a container that
 opens with a heading inside an article needs a token that names a list or box of
 them, or comments.  An aside inside an article is judged like a ``div``.
 
-Learning reads at most ``LABELLED_PAGES`` labelled pages, chosen by a hash, and
-gathers one row per feature (element names of a fixed list).  Extraction works
-on each whole page alone.
+Learning reads at most ``LABELLED_PAGES`` different labelled pages, chosen by a
+hash, and gathers one row per feature (element names of a fixed list).  Extraction
+works on each whole page alone, in time linear in its length and whatever the
+depth of its elements.
 
 Defined results: NULL and empty pages, and pages without words, have the empty
 text; repeated rows are treated alike; without a labelled page every word weighs
-the same and every other tag costs the least; an empty table gives an empty table.
+the same and every other tag costs the least; an empty table gives an empty table;
+columns called ``text`` and ``n_chars`` are replaced, others stay as they are.
 Broken mark-up is read as far as it goes: an unfinished tag ends the page.
 """
 
@@ -27,7 +29,7 @@ import html as entities
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -78,9 +80,10 @@ _CLOSED_BY = {
 # Up to the end of a tag: a quote opens a value only after "=", and only if it is closed.
 _TAG = re.compile(r"""[^>=]*+(?:=\s*+(?:"[^"]*"|'[^']*')?+[^>=]*+)*+>""")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
+_ATTRIBUTE = re.compile(r"""(?<![^\s=/"'<>])([^\s=/"'<>]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]+)""")
 _FLAG = re.compile(r"\shidden(?=[\s/>]|$)", re.I)
-_OPENING_HEADING = re.compile(r"(?:\s|<!--.*?-->|</?(?:a|div|header|hgroup|span)\b[^<>]*>)*+<h[1-6][\s>]", re.I | re.S)
+_BEFORE_HEADING = re.compile(r"(?:\s|<!--.*?-->|</?(?:a|div|header|hgroup|span)\b[^<>]*>)*+", re.I | re.S)
+_HEADING = re.compile(r"<h[1-6][\s>]", re.I)
 _WORDS = re.compile(r"[a-z0-9]+|[A-Z]+(?![a-z])|[A-Z][a-z0-9]*")
 
 
@@ -110,7 +113,7 @@ def _named(tokens: list[set[str]], known: frozenset[str]) -> bool:
     return any(words & known and not words - known - _LABELS - _BESIDE for words in tokens)
 
 
-def _no_content(tag: str, attributes: dict[str, str], raw: str, in_article: bool, page: str, at: int) -> str:
+def _no_content(tag: str, attributes: dict[str, str], raw: str, in_article: bool, opens_with_heading: Callable[[], bool]) -> str:
     """'': content; 'soft': no content unless an article begins in it; 'hard': none at all."""
     if tag in _NO_CONTENT and not (tag == "aside" and in_article):
         return "hard"
@@ -121,7 +124,7 @@ def _no_content(tag: str, attributes: dict[str, str], raw: str, in_article: bool
     if tag in ("html", "body", "main"):
         return ""
     tokens = _tokens(attributes, ("class",) if tag in ("article", "li") else ("class", "id")) if tag in _CONTAINERS else []
-    if tokens and in_article and _OPENING_HEADING.match(page, at):
+    if tokens and in_article and opens_with_heading():
         tokens = [words for words in tokens if words & (_BOXES | _ONLY_COMMENT)]
     if _named(tokens, _COMMENT) or tag == "article" and _named(_tokens(attributes, ("id",)), _ONLY_COMMENT):
         return "hard"
@@ -132,26 +135,71 @@ def _no_content(tag: str, attributes: dict[str, str], raw: str, in_article: bool
     return "soft" if tag == "header" or _named(tokens, frozenset({"header"})) else ""
 
 
+class _Open:
+    """The elements open at a place of a page, with what is asked of them counted, so that depth costs nothing."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str]] = []  # element, and what _no_content said
+        self.at: dict[str, list[int]] = {}  # depths of each element
+        self.blocks: list[str] = []
+        self.cleared = 0  # below this depth nothing is skipped any more
+        self.skipping = self.besides_header = self.hard = self.landmarks = self.articles = self.headings = 0
+
+    def _count(self, tag: str, skip: str, by: int) -> None:
+        self.skipping += by * bool(skip)
+        self.besides_header += by * (bool(skip) and tag != "header")
+        self.hard += by * (skip == "hard")
+        self.landmarks += by * (tag in ("article", "main") and not skip)
+        self.articles += by * (tag == "article" and not skip)
+        self.headings += by * (tag in _HEADINGS)
+
+    def push(self, tag: str, skip: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, skip))
+        if tag in _BLOCKS:
+            self.blocks.append(tag)
+        self._count(tag, skip, 1)
+
+    def pop(self) -> None:
+        tag, skip = self.stack.pop()
+        self.at[tag].pop()
+        if tag in _BLOCKS:
+            self.blocks.pop()
+        self._count(tag, "" if len(self.stack) < self.cleared else skip, -1)
+        self.cleared = min(self.cleared, len(self.stack))
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of this name and all in it; nothing if there is none."""
+        if self.at.get(tag):
+            depth = self.at[tag][-1]
+            while len(self.stack) > depth:
+                self.pop()
+
+    def clear(self) -> None:
+        """Nothing that is open now is skipped any more."""
+        self.cleared = len(self.stack)
+        self.skipping = self.besides_header = self.hard = 0
+
+
 def parse(page: str) -> list[Item]:
-    """The text runs and tags of a page; parts that are no content are one tag each."""
+    """The text runs and tags of a page; parts that are no content are one tag each.  Linear in the page."""
     items: list[Item] = []
-    stack: list[tuple[str, str]] = []  # element, and what _no_content said
-    skipping = landmarks = 0
+    open_ = _Open()
     at, n = 0, len(page)
+    run = (0, -1, False)  # the last look ahead for a heading: from, up to, and whether there was one
 
-    def text(run: str) -> None:
-        in_heading = any(t in _HEADINGS for t, _ in stack)
-        kept = not skipping or (landmarks and in_heading and all(not s or t == "header" for t, s in stack))
-        if kept and run:
-            place = next((t for t, _ in reversed(stack) if t in _BLOCKS), "body")
-            link = any(t == "a" for t, _ in stack)
-            items.append(Item(f"{place}{' link' if link else ''}", entities.unescape(run), landmarks > 0))
+    def heading_follows(place: int) -> bool:
+        nonlocal run
+        if not run[0] <= place <= run[1]:  # else within what was skipped then, which ends at the same heading
+            end = _BEFORE_HEADING.match(page, place).end()
+            run = (place, end, _HEADING.match(page, end) is not None)
+        return run[2]
 
-    def pop() -> None:
-        nonlocal skipping, landmarks
-        tag, skip = stack.pop()
-        skipping -= bool(skip)
-        landmarks -= tag in ("article", "main") and not skip
+    def text(run_: str) -> None:
+        kept = not open_.skipping or (open_.landmarks and open_.headings and not open_.besides_header)
+        if kept and run_:
+            place = open_.blocks[-1] if open_.blocks else "body"
+            items.append(Item(f"{place}{' link' if open_.at.get('a') else ''}", entities.unescape(run_), open_.landmarks > 0))
 
     while at < n:
         to = page.find("<", at)
@@ -187,32 +235,26 @@ def parse(page: str) -> list[Item]:
         tag = _NAME.match(raw)[1].lower()
         breaks = tag not in _INLINE
         if raw[0] == "/":
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            was = skipping
-            if open_at >= 0:
-                while len(stack) > open_at:
-                    pop()
+            was = open_.skipping
+            open_.close(tag)
             if not was:
-                items.append(Item(tag, breaks=breaks, inside=landmarks > 0))
+                items.append(Item(tag, breaks=breaks, inside=open_.landmarks > 0))
             continue
-        while stack and tag in _CLOSED_BY.get(stack[-1][0], ()):
-            pop()
+        while open_.stack and tag in _CLOSED_BY.get(open_.stack[-1][0], ()):
+            open_.pop()
         attributes = {m[1].lower(): m[2].strip("\"'") for m in _ATTRIBUTE.finditer(raw)} if "=" in raw else {}
-        skip = _no_content(tag, attributes, raw, any(t == "article" and not s for t, s in stack), page, at)
-        if tag in ("article", "main") and not skip and skipping and all(s != "hard" for _, s in stack):
-            stack = [(t, "") for t, _ in stack]
-            skipping = 0
-        if not skipping:
-            items.append(Item("none" if skip else tag, breaks=breaks, inside=landmarks > 0))
+        skip = _no_content(tag, attributes, raw, open_.articles > 0, lambda place=at: heading_follows(place))
+        if tag in ("article", "main") and not skip and open_.skipping and not open_.hard:
+            open_.clear()
+        if not open_.skipping:
+            items.append(Item("none" if skip else tag, breaks=breaks, inside=open_.landmarks > 0))
         if tag in _RAW:
             close = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
             at = n if close is None else page.find(">", close.start()) + 1 or n
             continue
         if tag in _VOID or raw.endswith("/") and tag not in _BLOCKS:
             continue
-        stack.append((tag, skip))
-        skipping += bool(skip)
-        landmarks += tag in ("article", "main") and not skip
+        open_.push(tag, skip)
     return items
 
 
@@ -280,14 +322,22 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def learn(pages: DataFrame, page: str = "html", most: int = LABELLED_PAGES) -> Weights:
-    """Weights from at most ``most`` pages with an ``article`` or ``main`` element."""
+    """Weights from at most ``most`` different pages with an ``article`` or ``main`` element.
+
+    The pages are chosen by their hashes, which are all that is gathered to
+    choose them; each is read where it lies, or once if it is repeated.
+    """
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             total = sum(map(count_features, batch["page"]), Counter())
             yield pd.DataFrame([(*f, n) for f, n in total.items()], columns=["kind", "label", "inside", "n"])
 
-    sample = (pages.select(F.col(page).alias("page")).where(F.col("page").rlike(r"(?i)<(article|main)[\s>]"))
-              .orderBy(F.xxhash64("page"), "page").limit(most))
+    labelled = pages.select(F.col(page).alias("page")).where(F.col("page").rlike(r"(?i)<(article|main)[\s>]")).withColumn(
+        "hash", F.xxhash64("page"))
+    last = labelled.select("hash").distinct().orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
+    if last is None:
+        return Weights.from_counts({})
+    sample = labelled.where(F.col("hash") <= last).groupBy("hash").agg(F.any_value("page").alias("page")).select("page")
     counts = sample.mapInPandas(counted, "kind string, label string, inside boolean, n long").groupBy(
         "kind", "label", "inside").agg(F.sum("n").alias("n")).collect()
     return Weights.from_counts({(r.kind, r.label, r.inside): r.n for r in counts})
