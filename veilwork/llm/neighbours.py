@@ -10,8 +10,8 @@ precision.
 
 Vectors are posted in the files of their first ``POSTED`` pivots, long ones in a
 common file; a query probes the common file and those of its own first pivots.
-How large a share of all vectors is reranked (``KEEP`` and ``LEAST_KEPT`` at
-least), and from which length on vectors are in the common file, is chosen so
+How large a share of all vectors is reranked (``LEAST_KEPT`` vectors at least),
+and from which length on vectors are in the common file, is chosen so
 that a bounded sample of queries finds ``TARGET_RECALL`` of its true nearest in
 a bounded sample of vectors, as many of them as the sample has of the ``k``.  If
 need be that is all vectors.  The products that the share and ``t`` stand for
@@ -42,7 +42,6 @@ from .tables import Workspace, read
 
 PIVOTS = 128
 POSTED = 16
-KEEP = 0.12
 LEAST_KEPT = 1500
 SAMPLE = 4096
 #: Queries that measure the index, the share of true neighbours it must find, and the share that the ranking must keep.
@@ -81,7 +80,7 @@ class Index:
         near = self.places(self.order(asked))
         far = np.array([footrule(self.sample, p) for p in near], np.int64).reshape(len(asked), len(vectors))
         self.cosines = self._cosines(far, asked @ directions.T)
-        self.share, self.long = self._measured(far, near, own, asked, max(KEEP, LEAST_KEPT / max(total, 1)))
+        self.share, self.long = self._measured(far, near, own, asked, LEAST_KEPT / max(total, 1))
 
     def order(self, directions: np.ndarray) -> np.ndarray:
         return np.argsort(-(directions @ self.pivots.T), axis=1, kind="stable")
