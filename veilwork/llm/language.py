@@ -2,15 +2,18 @@
 
 The network embeds bytes (A to Z lower-cased), convolves them with filters of several widths, takes
 the maximum of each filter over a window of fixed length and ends in a softmax.
-It is trained in numpy by Adam on a bounded sample of labelled texts
-(``PER_LANGUAGE`` whole texts of each language, chosen by a hash of the id, and
-at most ``WINDOWS_PER_TEXT`` of their windows).  Prediction cuts every text into
-consecutive windows, all of them, and averages their probabilities by length.
+It is trained in numpy by Adam on a bounded sample: ``PER_LANGUAGE`` labelled
+texts of each language, chosen by a hash of the id, and ``WINDOWS_PER_TEXT``
+windows of each at most, drawn by hash over the whole text in the tasks that read
+it.  So the driver gets 600 kB a language, however long texts are.  Prediction
+cuts every text into consecutive windows, all of them, and averages their
+probabilities by length.
 
 Defined results: NULL, empty and letterless texts are ``und`` with score 0; with
-no labelled row every text is; repeated rows get equal predictions; an empty
-table gives an empty table.  The columns added replace input columns of the same
-name.
+no labelled row every text is; of equally likely languages the first by name
+counts; repeated rows get equal predictions; texts of any length are cut the same
+way; an empty table gives an empty table.  The columns added replace input columns
+of the same name.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .tables import arrow_map, filter_rows, held_out, read
-from .words import Piece, pieces
+from .words import Piece, mix, pieces
 
 FOLDS, FOLD = 5, 0
 PER_LANGUAGE = 400
@@ -44,6 +47,7 @@ _PAD = 256
 _BATCH = 64
 _RATE = 0.01
 _AT_ONCE = 128
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -148,23 +152,32 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     rows = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
     nth = F.row_number().over(Window.partitionBy(lang).orderBy(spread, key))
     chosen = rows.select(key, lang).withColumn("nth", nth).where(F.col("nth") <= per_language).select(key).distinct()
-    sample = rows.join(F.broadcast(chosen), key).where(F.length(text) > 0).select(key, lang, text)
-    found = sample.dropDuplicates([key, lang]).orderBy(spread, key, lang).toArrow()
-    languages = sorted(set(found.column(1).to_pylist()))
+    # As many rows as there are languages times ``per_language``.
+    sample = rows.join(F.broadcast(chosen), key).where(F.length(text) > 0).dropDuplicates([key, lang])
+    found = _drawn(sample.select(spread.alias("spread"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))).toPandas()
+    found = found.sort_values(["spread", "lang", "nth"], ignore_index=True)
+    languages = sorted(set(found["lang"]))
     if not languages:
         return None
-    index = np.array([languages.index(x) for x in found.column(1).to_pylist()])
-    rng = np.random.default_rng(11)
-    taken, labels = [], []
-    for piece in pieces(found.column(2).combine_chunks(), lower=True):
-        starts, lengths, owner = windows_of(piece)
-        draw = rng.random(len(starts))
-        order = np.lexsort((draw, owner))
-        nth_window = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
-        use = np.sort(order[nth_window < WINDOWS_PER_TEXT])
-        taken.append(_take(piece.buf, starts[use], lengths[use]))
-        labels.append(index[piece.rows.start + owner[use]])
-    return train(np.concatenate(taken), np.concatenate(labels), languages)
+    lengths = found["window"].map(len).to_numpy()
+    flat = np.frombuffer(b"".join(found["window"]), np.uint8)
+    windows = _take(flat, np.cumsum(lengths) - lengths, lengths)
+    return train(windows, np.searchsorted(languages, found["lang"].to_numpy(str)), languages)
+
+
+def _drawn(texts: DataFrame) -> DataFrame:
+    """``spread, lang, nth, window``: some windows of each text, by a hash of ``spread`` and their number."""
+    def work(batch: pa.RecordBatch) -> Iterator[dict]:
+        for piece in pieces(batch.column(2), lower=True):
+            starts, lengths, owner = windows_of(piece)
+            nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+            spread = batch.column(0).to_numpy()[piece.rows][owner]
+            order = np.lexsort((mix(spread.view(np.uint64) + _STEP * nth.astype(np.uint64)), owner))
+            use = np.sort(order[np.arange(len(order)) - np.searchsorted(owner[order], owner[order]) < WINDOWS_PER_TEXT])
+            yield {"spread": spread[use], "lang": batch.column(1).slice(piece.rows.start, len(piece)).take(pa.array(owner[use])),
+                   "nth": nth[use], "window": [piece.buf[a:a + n].tobytes() for a, n in zip(starts[use], lengths[use])]}
+
+    return arrow_map(texts, "spread long, lang string, nth long, window binary", work)
 
 
 def _score(piece: Piece, model: Model) -> tuple[np.ndarray, np.ndarray]:

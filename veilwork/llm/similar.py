@@ -7,7 +7,8 @@ and two texts meet in it if they share its first minima.  How many these are is
 the longest prefix by which even pairs at the threshold are met with the target
 recall, so no pair depends on what else the corpus holds.
 
-Pairs that meet and whose minima agree often enough form a graph; its components
+Pairs that meet and of whose minima ``AGREEING`` agree (a chance of 1e-6 for a pair
+at the threshold not to) form a graph; its components
 are the only places where similar texts can be.  There every pair is verified
 exactly, in blocks of bounded size, from the texts read again.  A task returns a
 count of links and one edge per text, never pairs; large tries, groups and
@@ -16,8 +17,8 @@ components are split over many tasks.
 Defined results: NULL texts and texts without words are classes of their own
 without links; documents with equal sets (exact copies, repeated rows) are
 linked to each other; ties do not matter, as classes are components; an empty
-table gives an empty table.  The class id is its smallest document id (NULL if
-all are).  Columns added replace input columns of the same name.
+table gives an empty table; texts of any length are worked on in pieces of whole
+texts.  The class id is its smallest document id (NULL if all are).  Columns added replace input columns of the same name.
 """
 
 from __future__ import annotations

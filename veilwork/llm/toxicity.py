@@ -11,9 +11,12 @@ their largest and their sum give the score of a document by a logistic curve
 fitted to the labels of the sample.
 
 The sample has at most ``TOXIC_TEXTS`` toxic documents and ``CLEAN_TIMES`` as
-many clean ones, whole texts, chosen by a hash of the id; everything else covers
-all documents.  Whole texts are
-scored, in pieces of whole texts, so memory follows the longest text.
+many clean ones, whole texts, chosen by a hash of the id, whose tokens the driver
+holds at about 100 bytes each.  The field learns from all sentences with a marked
+token and at most eight times as many others (``LEAST_OTHERS`` at least), cut
+after ``MAX_TRAINING_SEQUENCE`` tokens.  Everything else covers all documents.
+Whole texts are scored, in pieces of whole texts, so memory follows the longest
+text; time follows the longest sentence, as its tokens come one after the other.
 
 Defined results: NULL and empty texts score as documents without toxic words; a
 label that is NULL teaches nothing, of several for one id the largest counts;
@@ -51,6 +54,7 @@ TABLE_BITS = 22
 PREFIXES = (3, 4, 5, 6)
 SUFFIX = 4
 MAX_TRAINING_SEQUENCE = 64
+OTHERS_TIMES, LEAST_OTHERS = 8, 4000
 EPOCHS = 8
 LEAST_STEPS = 150
 RATE = 0.05
@@ -195,7 +199,7 @@ def train(slots: np.ndarray, opens: np.ndarray, tags: np.ndarray, seed: int = 3)
     end = np.concatenate([begin[1:], [len(opens)]])
     marked = np.add.reduceat(tags, begin) > 0 if len(begin) else np.zeros(0, bool)
     others = np.flatnonzero(~marked)
-    others = rng.permutation(others)[:max(8 * int(marked.sum()), 4000)]
+    others = rng.permutation(others)[:max(OTHERS_TIMES * int(marked.sum()), LEAST_OTHERS)]
     use = np.concatenate([np.flatnonzero(marked), others])
     squares, mean = np.zeros_like(table), np.zeros_like(table)
     step_mean, step_squares, rounds = np.zeros((2, 2)), np.zeros((2, 2)), 0
