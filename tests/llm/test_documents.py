@@ -1,5 +1,6 @@
 """Operators on documents against plain versions, and on odd rows."""
 
+import math
 import random
 import zlib
 
@@ -128,6 +129,47 @@ def test_language_network_learns():
     assert (model.probabilities(windows).argmax(axis=1) == labels).mean() == 1
 
 
+def _plain_probabilities(model, window):
+    """The network on one window, one product after the other."""
+    padded = [*window, *[256] * (language.WINDOW - len(window))]
+    embedded = [[float(x) for x in model.embedding[b]] for b in padded]
+    hidden = []
+    for f in range(model.filters.shape[1]):
+        width = language.WIDTHS[f // language.FILTERS]
+        taps = model.filters[:, f].reshape(-1, language.EMBEDDING)
+        sums = [sum(float(taps[k][e]) * embedded[at + k][e] for k in range(width) for e in range(language.EMBEDDING))
+                for at in range(language.WINDOW - max(language.WIDTHS) + 1)]
+        hidden.append(max(0.0, max(sums) + float(model.bias[f])))
+    logits = [sum(h * float(w) for h, w in zip(hidden, model.weights[:, k])) + float(model.offset[k])
+              for k in range(len(model.languages))]
+    total = sum(math.exp(x - max(logits)) for x in logits)
+    return [math.exp(x - max(logits)) / total for x in logits]
+
+
+def test_language_equals_a_plain_network(spark):
+    """Predictions are the plain network's, averaged over the windows of a text by their length."""
+    model = language.fit(read(spark, SF, "documents"), per_language=20)
+    some = ["short", "Wörter und mehr", "The quick brown fox " * 30, "x" * 256 + "é"]
+    frame = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in language.identify(frame, model).collect()}
+    for i, text in enumerate(some):
+        data = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        windows = [data[a:a + language.WINDOW] for a in range(0, len(data), language.WINDOW)]
+        found = [_plain_probabilities(model, w) for w in windows]
+        mean = [sum(p[k] * len(w) for p, w in zip(found, windows)) / len(data) for k in range(len(model.languages))]
+        assert abs(rows[i].score - max(mean)) < 1e-3 and rows[i].lang_pred == model.languages[mean.index(max(mean))]
+
+
+def test_language_learns_from_bounded_windows(spark):
+    """A very long text gives no more windows than any other, drawn over its whole length, wherever it is read."""
+    texts = spark.createDataFrame([(1, "en", "a" * 100 + "b" * 60_000 + "c" * 60_000), (2, "de", "kurz")],
+                                  "spread long, lang string, text string")
+    found = sorted((r.spread, r.nth, bytes(r.window)) for r in language._drawn(texts).collect())
+    assert [r[0] for r in found] == [1] * language.WINDOWS_PER_TEXT + [2]
+    assert found == sorted((r.spread, r.nth, bytes(r.window)) for r in language._drawn(texts.repartition(2)).collect())
+    assert max(r[1] for r in found) > 100
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     found = QUERIES["op3_toxicity"](spark, sf)

@@ -54,7 +54,7 @@ def shingles(piece: Piece, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
     words, counts = piece.hashes(), piece.n_words
     n = len(words)
     rolled = words.copy()
-    for step in range(1, size):
+    for step in range(1, min(size, n)):
         rolled[:n - step] = combine(rolled[:n - step], words[step:])
     stop = np.repeat(piece.first[1:], counts)
     full = np.arange(n) + size <= stop
