@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -85,6 +86,33 @@ def test_repetition_random():
         assert {k: got[k][i] for k in want} == want
 
 
+@pytest.mark.parametrize("stride", [1, 4, 1 << 10])
+def test_repetition_periods(monkeypatch, stride):
+    """Texts of a period repeat almost whole, however the places are strided."""
+    monkeypatch.setattr(repetition, "STRIDE", stride)
+    rng = random.Random(stride)
+    column = []
+    for _ in range(60):
+        period = [rng.choice("abc") for _ in range(rng.randint(1, 30))]
+        column.append(" ".join((period * 40)[:rng.randint(0, 90)] + ["z"] * rng.randint(0, 9) + period))
+    got = [repetition.measure(piece) for piece in pieces(pa.array(column))]
+    for i, text in enumerate(column):
+        want = plain.repetition(text)
+        assert {k: int(np.concatenate([g[k] for g in got])[i]) for k in want} == want
+
+
+@pytest.mark.parametrize("period", [1, 999])
+def test_repetition_memory_of_a_long_text(period):
+    """A text that repeats itself throughout takes a bounded number of bytes a word."""
+    n = 400_000
+    words = np.resize(np.arange(period), n)
+    tracemalloc.start()
+    twice, longest = repetition.repeats(words, np.array([0, n]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert twice.all() and longest.max() == n - period and peak < 150 * n
+
+
 def test_repetition_odd(odd, empty):
     rows = repetition.repetition(odd).collect()
     assert len(rows) == odd.count()
