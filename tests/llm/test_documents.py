@@ -1,5 +1,6 @@
 """Operators on documents against plain versions, and on odd rows."""
 
+import itertools
 import math
 import random
 import tracemalloc
@@ -242,6 +243,45 @@ def test_toxicity_marginals_by_enumeration():
         assert np.allclose(got[begin:end], weight[:, 1] / weight.sum(axis=1))
 
 
+def test_toxicity_excerpts(spark):
+    """Texts up to the bound stay whole; longer ones give their beginning, end and what lies evenly between."""
+    bound, part = toxicity.EXCERPTS * toxicity.EXCERPT_CHARS, toxicity.EXCERPT_CHARS
+    long = "".join(chr(0x4E00 + i // 100) for i in range(10 * bound))
+    texts = ["short", "é" * bound, "x" * (bound + 1), long]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i")
+    got = [r.t for r in frame.select(toxicity.excerpts(F.col("text")).alias("t")).collect()]
+    assert got[:2] == texts[:2]
+    assert [len(t) for t in got[2:]] == [bound + toxicity.EXCERPTS - 1] * 2
+    parts = got[3].split("\n")
+    places = [int((len(long) - part) / (toxicity.EXCERPTS - 1) * k) for k in range(toxicity.EXCERPTS)]
+    assert parts == [long[p:p + part] for p in places] and places[-1] + part == len(long)
+
+
+def test_toxicity_scores_as_a_plain_field(spark):
+    """Scores of documents from the chances of all taggings of their sentences."""
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.TABLE_BITS, scale=0.4), rng.normal(size=(2, 2)),
+                           rng.normal(size=3))
+    texts = ["bad words here. and some more of them\nlast line", "one", "a b c d e f g h", ""]
+    got = [r.score for r in toxicity.score(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    for text, found in zip(texts, got):
+        chances = [0.0]
+        for piece in pieces(pa.array([text]), lower=True):
+            features, opens = toxicity._features(piece)
+            own = model.table[toxicity._slots(features, opens)].sum(axis=1)
+            begins = [*np.flatnonzero(opens), len(own)]
+            for a, b in zip(begins, begins[1:]):
+                weigh = {}
+                for tags in itertools.product((0, 1), repeat=int(b - a)):
+                    steps = sum(model.steps[x, y] for x, y in zip(tags, tags[1:]))
+                    weigh[tags] = math.exp(sum(o for o, t in zip(own[a:b], tags) if t) + steps)
+                chances += [sum(w for tags, w in weigh.items() if tags[k]) / sum(weigh.values()) for k in range(b - a)]
+        top = min(max(*chances, 1e-6, 1e-6), 1 - 1e-6)
+        seen = [1, math.log(top / (1 - top)), math.log1p(sum(c for c in chances if c > 0.01))]
+        assert math.isclose(found, 1 / (1 + math.exp(-float(np.dot(seen, model.curve)))), rel_tol=1e-6)
+
+
 def test_toxicity_odd(odd, empty):
     labels = odd.select("doc_id", F.lit(0).alias("toxic"))
     assert toxicity.fit(odd, labels) is None and toxicity.fit(empty, labels) is None and toxicity.fit(odd, labels.where("false")) is None

@@ -11,8 +11,10 @@ their largest and their sum give the score of a document by a logistic curve
 fitted to the labels of the sample.
 
 The sample has at most ``TOXIC_TEXTS`` toxic documents and ``CLEAN_TIMES`` as
-many clean ones, whole texts, chosen by a hash of the id, whose tokens the driver
-holds at about 100 bytes each.  The field learns from all sentences with a marked
+many clean ones, chosen by a hash of the id.  Of a text of more characters than
+``EXCERPTS`` times ``EXCERPT_CHARS`` it has that many excerpts of that length,
+spread evenly and cut out by the tasks, so what the driver gets is bounded
+however long the texts are; it holds about 100 bytes a token.  The field learns from all sentences with a marked
 token and at most eight times as many others (``LEAST_OTHERS`` at least), cut
 after ``MAX_TRAINING_SEQUENCE`` tokens.  Everything else covers all documents.
 Whole texts are scored, in pieces of whole texts, so memory follows the longest
@@ -33,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -44,6 +46,8 @@ FOLDS, FOLD = 5, 0
 #: Documents of the sample: of the toxic class, and how many times as many clean ones.
 TOXIC_TEXTS = 800
 CLEAN_TIMES = 2
+#: Excerpts that stand for a longer text while learning, and the characters of each.
+EXCERPTS, EXCERPT_CHARS = 4, 4096
 COVER = 10
 #: A feature marks tokens if its share among toxic texts is this many times that among clean ones, more than chance
 #: allows for as many features, and if it occurs between this many different pairs of words there (what one passage
@@ -247,11 +251,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def excerpts(text: Column) -> Column:
+    """The text, or lines that are excerpts of a longer one: its beginning, its end, and what lies evenly between."""
+    size = F.length(text)
+    apart = (size - EXCERPT_CHARS) / (EXCERPTS - 1)
+    parts = [F.substring(text, F.floor(apart * k).cast("int") + 1, F.lit(EXCERPT_CHARS)) for k in range(EXCERPTS)]
+    return F.when(size <= EXCERPTS * EXCERPT_CHARS, text).otherwise(F.concat_ws("\n", *parts))
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic",
         toxic_texts: int = TOXIC_TEXTS) -> Model | None:
     """Train on at most ``toxic_texts`` toxic documents and ``CLEAN_TIMES`` as many others; None unless both occur.
 
-    The sample is drawn among ids, and its bounded list of them fetches the texts.
+    The sample is drawn among ids, and its bounded list of them fetches the texts, or excerpts of long ones.
     """
     known = labels.where(F.col(toxic).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(
         F.max(toxic).cast("int").alias("toxic"))
@@ -260,7 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
              for c, n in ((0, CLEAN_TIMES * toxic_texts), (1, toxic_texts))]
     chosen = F.broadcast(parts[0].unionByName(parts[1]))  # as many rows as the two limits allow
     found = docs.select(key, F.col(text).alias("text")).join(chosen, key).where(F.length("text") > 0).select(
-        "text", "toxic").dropDuplicates(["text"]).orderBy(F.xxhash64("text"), "text").toArrow()
+        excerpts(F.col("text")).alias("text"), "toxic").dropDuplicates(["text"]).orderBy(F.xxhash64("text"), "text").toArrow()
     labels = found.column("toxic").to_numpy().astype(bool)
     if labels.all() or not labels.any():
         return None
