@@ -158,6 +158,7 @@ FIRST = serial.first_name(SEED)
     ("{{/* nothing */}}x", "x"),
     ("{{ `raw` }}{{ 12 }}{{ true }}", "raw12true"),
     ('{{ "q\\"t" }}', 'q"t'),
+    ('{{ printf "%.2s|%5.1v|%.s|" .OriginalValue .OriginalValue "x" }}', "ab|    a||"),
     ("{{ printf \"%s|%s\" (faker \"first_name\") hash }}", f"{FIRST}|{GOLDEN_SEED}"),
 ])
 def test_templates(row, text, expected):
@@ -167,7 +168,8 @@ def test_templates(row, text, expected):
 @pytest.mark.parametrize("text", [
     "{{ .Salt }}", "{{ .Seed }}", "{{ .counter }}", "{{ nosuch }}", "{{ if .TableName }}x", "{{ end }}", "{{ if }}x{{ end }}",
     "{{ range .X }}{{ end }}", "{{ $x := 1 }}", '{{ "a" | printf "%s" }}', "{{ faker }}", "{{ faker .TableName }}",
-    '{{ eq .PrimaryKeyValue "1" }}', "{{ len .PrimaryKeyValue }}", '{{ printf "%d" .OriginalValue }}', "{{ (hash }}",
+    '{{ eq .PrimaryKeyValue "1" }}', "{{ len .PrimaryKeyValue }}", '{{ printf "%d" .OriginalValue }}',
+    '{{ printf "%.2d" .PrimaryKeyValue }}', "{{ (hash }}",
     "{{ hash", '{{ printf "%s" }}', "{{ and .Locale 1 }}", '{{ define "x" }}{{ end }}', "{{ if .TableName }}a{{ else }}b{{ else }}c{{ end }}",
 ])
 def test_rejected_templates(row, text):

@@ -99,6 +99,36 @@ def test_bad_sources(users, source):
         masked(users, users_spec(source=source))
 
 
+def test_query_parameters_are_values(spark, users):
+    users.createOrReplaceTempView("users")
+    source = {"type": "query", "sql": "SELECT id FROM users WHERE name = :who ORDER BY id"}
+
+    def chosen(who):
+        spec = users_spec(source={**source, "params": {"who": who}})
+        return [r.id for r in masked(users, spec).selected.collect()]
+
+    assert chosen("n3") == [3] and chosen("n3' OR '1' = '1") == []
+    unbound = preflight(spark, users_spec(source=source), {"users": users}.__getitem__)
+    assert [r.code for r in unbound.where("severity = 'error'").collect()] == ["bad_source"]
+    with pytest.raises(SpecError):
+        users_spec(source={**source, "params": "who"})
+
+
+def test_declared_references_are_checked(spark, users):
+    groups = spark.createDataFrame([(0,), (1,)], "part long")
+    find = {"users": users, "groups": groups}.__getitem__
+
+    def issues(**references):
+        spec = users_spec(foreign_keys=references)
+        assert [r[1] for r in spec.references()] == sorted(references)
+        return {(r.column_name, r.code, r.message) for r in preflight(spark, spec, find).collect() if "reference" in r.code}
+
+    assert issues(part="groups.part") == {("part", "reference_orphans", "3 rows refer to no row of groups")}
+    assert issues(id="users.id") == issues(part="elsewhere.part") == set()
+    assert {i[:2] for i in issues(part="groups.gone", gone="groups.part", name="groups.part")} == {
+        (c, "bad_reference") for c in ("part", "gone", "name")}
+
+
 def test_key_named_twice_stops_the_job(users):
     view = users.select("id").unionByName(users.select("id"))
     with pytest.raises(PySparkException, match="more than once"):
@@ -145,6 +175,16 @@ def test_backends(spark, users, tmp_path):
         "numPartitions": "8"}
 
 
+def test_files_take_options_and_stated_columns(spark, users, tmp_path):
+    users.write.option("sep", ";").csv(f"{tmp_path}/users.csv")
+    users.write.json(f"{tmp_path}/users.json")
+    stated = "schema.users=id+long,+name+string,+part+int&schema.other=x+int"
+    csv = open_tables(spark, f"csv:{tmp_path}?header=false&sep=;&{stated}")("users")
+    json = open_tables(spark, f"json:{tmp_path}/?{stated}")("users")
+    for found in (csv, json):
+        assert found.schema == users.schema and sorted(found.collect()) == sorted(users.collect())
+
+
 def test_catalog_tables_and_estimates(spark, users):
     spark.sql("CREATE DATABASE IF NOT EXISTS listed")
     users.write.mode("overwrite").saveAsTable("listed.people")

@@ -31,7 +31,7 @@ class TemplateError(ValueError):
 NO_VALUE = "<no value>"
 _ACTION = re.compile(r"\{\{(-\s)?\s*(.*?)\s*(\s-)?\}\}", re.S)
 _TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*")|`([^`]*)`|(-?\d+)|(\.?[A-Za-z_]\w*)|([()]))')
-_VERB = re.compile(r"%([-+# 0]*\d*)([a-zA-Z%])")
+_VERB = re.compile(r"%([-+# 0]*\d*)(?:\.(\d*))?([a-zA-Z%])")
 _ESCAPE = {"n": "\n", "t": "\t", '"': '"', "\\": "\\"}
 _COMPARE = {"lt": Column.__lt__, "le": Column.__le__, "gt": Column.__gt__, "ge": Column.__ge__}
 _PRINTF_KINDS = {"s": ("str",), "d": ("int",), "x": ("int",), "X": ("int",), "t": ("bool",),
@@ -231,15 +231,18 @@ class _Expression:
         cols: list[Column] = []
 
         def verb(m: re.Match[str]) -> str:
-            flags, letter = m.groups()
+            flags, precision, letter = m.groups()
             if letter == "%":
                 return "%%"
             value = next(rest, None)
             if value is None or value.kind not in _PRINTF_KINDS.get(letter, ()):
                 raise TemplateError(f"printf: %{flags}{letter} does not fit its argument")
             text = value.kind == "str"
-            cols.append(F.coalesce(value.col, F.lit("<nil>")) if text else value.col)
-            return f"%{flags}" + {"str": "s", "int": "d", "bool": "b"}[value.kind] if letter in "vt" else m.group(0)
+            if precision is not None and not text:
+                raise TemplateError(f"printf: {m.group(0)} gives a precision, which only text takes")
+            col = F.coalesce(value.col, F.lit("<nil>")) if text else value.col
+            cols.append(F.substring(col, 1, int(precision or 0)) if precision is not None else col)
+            return f"%{flags}" + ({"str": "s", "int": "d", "bool": "b"}[value.kind] if letter in "vt" else letter)
 
         pattern = _VERB.sub(verb, args[0].text)
         if next(rest, None) is not None:

@@ -20,6 +20,8 @@ from ..functions.generators import GenContext, UnknownGenerator, domain_size, fi
 from ..functions.providers import UnknownProvider, find_provider
 from ..functions.seed import SeedScope, is_seedable
 from ..functions.template import TemplateError, compile_template
+from ..operators.discover import verify_references
+from ..operators.keys import family
 from ..sources.backends import SourceError, TableLookup, has_source, source_rows
 from .spec import SEED_BY, ColumnSpec, MaskSpec, TableSpec
 
@@ -169,6 +171,7 @@ def _schema_issues(t: TableSpec, spec: MaskSpec, base: DataFrame, lookup: TableL
     for c in t.columns:
         found += [(s, t.name, c.name, code, text) for s, code, text in _rule_issues(t, c, spec, types)]
     found += _filter_issues(t, base)
+    found += _reference_issues(t, types, lookup)
     if t.source.watermark:
         found += _watermark_issues(t, types)
     try:
@@ -182,6 +185,33 @@ def _schema_issues(t: TableSpec, spec: MaskSpec, base: DataFrame, lookup: TableL
     return found
 
 
+def _parents(t: TableSpec, lookup: TableLookup) -> Iterator[tuple[str, str, str, DataFrame]]:
+    """Column, parent table, its column and its rows of each declared reference to a table within reach."""
+    for column, parent in t.foreign_keys:
+        table, _, key = parent.rpartition(".")
+        try:
+            rows = lookup(table)
+            rows.schema
+        except (AnalysisException, KeyError):
+            continue  # a table that lives elsewhere may be declared, but not checked
+        yield column, table, key, rows
+
+
+def _reference_issues(t: TableSpec, types: dict[str, T.DataType], lookup: TableLookup) -> list[Issue]:
+    """Declared references between columns that do not exist or cannot be compared."""
+    found: list[Issue] = []
+    for column, table, key, rows in _parents(t, lookup):
+        there = {f.name: f.dataType for f in rows.schema.fields}
+        if column not in types or key not in there:
+            text = f"{t.name}.{column} refers to {table}.{key}, and one of them does not exist"
+        elif family(types[column]) != family(there[key]):
+            text = f"{t.name}.{column} and {table}.{key} are of different types"
+        else:
+            continue
+        found.append(("error", t.name, column, "bad_reference", text))
+    return found
+
+
 def is_deterministic(df: DataFrame) -> bool:
     """Whether every expression of the resolved plan, functions of the user included, gives the same each time."""
     return df._jdf.queryExecution().analyzed().deterministic()
@@ -259,6 +289,11 @@ def _data_issues(t: TableSpec, spec: MaskSpec, base: DataFrame, lookup: TableLoo
             shared.append((count("n_rows") > size, "warning", c.name, "domain_small",
                            counted("n_rows", f" rows share {size} possible values")))
     out = [_when_counted(key_counts(base, t.pk), t.name, checks)]
+    for column, table, key, rows in _parents(t, lookup):
+        held = verify_references({t.name: base, table: rows}, [(t.name, column, table, key)])
+        out.append(_when_counted(held, t.name, [
+            (~count("holds"), "warning", column, "reference_orphans",
+             counted("n_orphans", f" rows refer to no row of {table}"))]))
     source = source_rows(base.sparkSession, t, lookup)
     if shared:
         chosen = base.where(t.source.filter) if t.source.filter else base
@@ -297,7 +332,8 @@ def preflight(spark: SparkSession, spec: MaskSpec, lookup: TableLookup, target:
             continue
         issues = _schema_issues(t, spec, base, lookup)
         found += issues
-        usable = not {"pk_missing", "bad_source", "bad_filter", "filter_type", "unknown_generator", "unknown_provider"} & {i[3] for i in issues}
+        usable = not {"pk_missing", "bad_source", "bad_filter", "filter_type", "unknown_generator", "unknown_provider",
+                      "bad_reference"} & {i[3] for i in issues}
         if data and usable:
             checks += _data_issues(t, spec, base, lookup)
     out = reduce(DataFrame.unionByName, checks, spark.createDataFrame(found, ISSUES))

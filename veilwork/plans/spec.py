@@ -97,7 +97,8 @@ class ColumnSpec:
 class SourceSpec:
     """Which rows of a table are masked.
 
-    ``watermark`` names an ordering column: a run then takes the rows that came
+    ``params`` are the values of ``:name`` markers in the ``sql`` of a query; they
+    never become part of its text.  ``watermark`` names an ordering column: a run then takes the rows that came
     since the last run, which it knows from the largest value seen then.
     """
 
@@ -106,11 +107,15 @@ class SourceSpec:
     sql: str = ""
     filter: str = ""
     watermark: str = ""
+    params: tuple[tuple[str, str], ...] = ()
 
     @classmethod
     def from_dict(cls, raw: Any, where: str) -> SourceSpec:
         raw = _checked(where, raw, ("type", "name", "sql", "filter", "watermark", "params"))
-        raw.pop("params", None)
+        params = raw.get("params") or {}
+        if not isinstance(params, Mapping):
+            raise SpecError(f"{where}: 'params' gives a value to each name")
+        raw["params"] = tuple(sorted(params.items()))
         if not raw.get("type"):
             raw["type"] = "table"
         return cls(**raw)
@@ -192,5 +197,9 @@ class MaskSpec:
                 return t
         raise KeyError(name)
 
+    def references(self) -> list[tuple[str, str, str, str]]:
+        """Declared references as child table and column, parent table and column."""
+        return [(t.name, column, *parent.rpartition(".")[::2]) for t in self.tables for column, parent in t.foreign_keys]
+
     def is_allowed(self, target: str) -> bool:
         return target in self.allowed

@@ -13,7 +13,7 @@ from ..operators import keys as k
 from ..plans.preflight import key_counts, preflight
 from ..plans.spec import MaskSpec
 from ..storage import Workspace, scratch_path
-from ._common import SALT, TABLES, faker, lookup, rule, tables
+from ._common import SALT, TABLES, faker, lookup, rule, spec_of, tables
 
 # Columns that can be keys (no floating point, no arrays), in schema order.
 _KEY_COLUMNS = {
@@ -66,9 +66,9 @@ def _fk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _declared_fk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A declared reference that no name suggests, beside those that names do."""
     find = lookup(spark, sf_dir)
+    spec = spec_of("events", "event_id", [rule("props", "hash")], foreign_keys={"user_id": "customer.c_custkey"})
     found = {"customer": find("customer"), "events": find("events")}
-    return disc.discover_fk(found, {"customer": "c_custkey", "events": "event_id"},
-                            [("events", "user_id", "customer", "c_custkey")])
+    return disc.discover_fk(found, {"customer": "c_custkey", "events": "event_id"}, spec.references())
 
 
 def _cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +166,20 @@ def _preflight_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preflight(spark, spec, lookup(spark, sf_dir), strict=True)
 
 
+def _preflight_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared references: one that holds, some whose rows may refer to nothing, one out of reach, and two that lead nowhere."""
+    def table(name: str, pk: str, column: str, **references: str) -> dict:
+        return {"name": name, "pk": pk, "columns": [rule(column, "hash")], "foreign_keys": references}
+
+    spec = MaskSpec.from_dict({"salt": SALT, "tables": [
+        table("orders", "o_orderkey", "o_orderpriority", o_custkey="customer.c_custkey"),
+        table("part", "p_partkey", "p_name", p_partkey="supplier.s_suppkey"),
+        table("nation", "n_nationkey", "n_name", n_regionkey="area.a_key"),
+        table("region", "r_regionkey", "r_name", r_code="nation.n_nationkey"),
+        table("supplier", "s_suppkey", "s_name", s_nationkey="nation.n_name")]})
+    return preflight(spark, spec, lookup(spark, sf_dir))
+
+
 register_generator("example_padded", lambda ctx: F.lpad(F.lit("0"), int(ctx.gen.value), "0"),
                    check=lambda gen, dtype: None if gen.value.isdigit() else "the width is no number")
 
@@ -191,6 +205,7 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "preflight_filters": _preflight_filters,
     "preflight_strict": _preflight_strict,
+    "preflight_references": _preflight_references,
     "list_tables": _listed,
     "discover_keys": lambda spark, sf: disc.discover_keys(tables(spark, sf)),
     "discover_fk": _fk,
@@ -345,6 +360,15 @@ ORACLES = {
     "preflight_strict": """SELECT 'error' AS severity, 'supplier' AS table_name, 's_name' AS column_name, 'domain_small' AS code,
         n || ' rows share 6 possible values' AS message FROM (SELECT count(*) AS n FROM supplier) WHERE n > 6
       UNION ALL SELECT 'error', 'region', 'r_name', 'generator_check', 'the width is no number'""",
+    "preflight_references": """SELECT 'warning' AS severity, 'part' AS table_name, 'p_partkey' AS column_name,
+        'reference_orphans' AS code, n || ' rows refer to no row of supplier' AS message FROM (
+        SELECT count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)) WHERE n > 0
+      UNION ALL SELECT 'warning', 'orders', 'o_custkey', 'reference_orphans', n || ' rows refer to no row of customer' FROM (
+        SELECT count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) WHERE n > 0
+      UNION ALL SELECT 'error', 'region', 'r_code', 'bad_reference',
+        'region.r_code refers to nation.n_nationkey, and one of them does not exist' FROM (SELECT 1 FROM region LIMIT 1)
+      UNION ALL SELECT 'error', 'supplier', 's_nationkey', 'bad_reference',
+        'supplier.s_nationkey and nation.n_name are of different types' FROM (SELECT 1 FROM supplier LIMIT 1)""",
     "list_tables": f"""SELECT t.table_name, k.column_name AS key_column, count(s.column_name) AS n_suggestions
       FROM (VALUES ('customer'), ('orders')) t(table_name) JOIN (SELECT * FROM ({_keys}) WHERE is_key) k USING (table_name)
       LEFT JOIN ({_analyze_sql}) s ON s.table_name = t.table_name GROUP BY t.table_name, k.column_name""",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +12,10 @@ from ..operators import diff as d
 from ..operators.mask import MaskedTable, mask_table, update_join
 from ..operators.verify import duplicates
 from ..plans.preflight import static_issues
-from ..plans.publish import apply_spec, latest_state, published, run_log
+from ..plans.publish import STARTED, DirtyState, acknowledge, apply_spec, latest_state, log_state, published, run_log
 from ..plans.spec import MaskSpec
-from ..sources.backends import register_source
-from ..storage import scratch_path
+from ..sources.backends import open_tables, register_source
+from ..storage import Workspace, scratch_path
 from ..streaming.stream import mask_stream, write_stream
 from . import _sql as sql
 from ._common import SALT, faker, lookup, masked, rule, spec_of, tables
@@ -53,6 +56,37 @@ def _query_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
                   source={"type": "query", "sql": BUILDERS}).output()
 
 
+def _query_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query whose values come as parameters, one of which would end a literal if it became text."""
+    _views(spark, sf_dir, "orders", "customer")
+    text = ("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = :segment "
+            "AND o_orderdate >= CAST(:since AS TIMESTAMP) AND c_name <> :nobody ORDER BY o_orderkey")
+    params = {"segment": "MACHINERY", "since": SINCE, "nobody": "x' OR '1' = '1"}
+    return masked(spark, sf_dir, "orders", "o_orderkey", [faker("o_orderpriority", "email")],
+                  source={"type": "query", "sql": text, "params": params}).output()
+
+
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table masked from every kind of file and from the catalog: the masks agree."""
+    customer, place = lookup(spark, sf_dir)("customer").select("c_custkey", "c_name"), scratch_path(spark, "formats")
+    name = f"formats_{uuid.uuid4().hex}"
+    spec = spec_of("customer", "c_custkey", [faker("c_name", "full_name")])
+    columns = "schema.customer=c_custkey+bigint,+c_name+string"
+    addresses = {"orc": f"orc:{place}", "json": f"json:{place}?{columns}", "csv": f"csv:{place}?{columns}",
+                 "parquet": f"parquet:{place}"}
+    for fmt in addresses:
+        customer.write.format(fmt).option("header", fmt == "csv").save(f"{place}/customer.{fmt}")
+    spark.catalog.createTable(name, path=f"{place}/customer.orc", source="orc")
+    try:
+        parts = [mask_table(open_tables(spark, address)("customer"), spec.tables[0], spec).select(
+            F.lit(fmt).alias("format"), "*") for fmt, address in addresses.items()]
+        listed = open_tables(spark, "catalog:")(name)
+        parts.append(mask_table(listed, spec.tables[0], spec).select(F.lit("catalog").alias("format"), "*"))
+        return Workspace(spark, "formats").save(reduce(DataFrame.unionByName, parts), "masked")
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def _filter_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked(spark, sf_dir, "orders", "o_orderkey", [faker("o_orderpriority", "short_text")],
                   source={"filter": RECENT}).output()
@@ -186,6 +220,24 @@ def _run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(latest.select(F.concat("a", "status").alias("item"), F.lit(1).cast("long").alias("n")))
 
 
+def _acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that never ended keeps the next one out until somebody acknowledges it."""
+    out, find = scratch_path(spark, "published"), lookup(spark, sf_dir)
+    spec = spec_of("customer", "c_custkey", [faker("c_name", "full_name")])
+    log_state(spark, out, "lost", 0, STARTED)
+    try:
+        apply_spec(spark, spec, find, out, target="testdata")
+        refused = 0
+    except DirtyState:
+        refused = 1
+    acknowledge(spark, out, "looked at")
+    apply_spec(spark, spec, find, out, target="testdata")
+    states = run_log(spark, out).groupBy(F.col("status").alias("item")).agg(F.count(F.lit(1)).alias("n"))
+    rows = published(spark, out, "customer").agg(F.count(F.lit(1)).alias("n"))
+    return states.unionByName(rows.select(F.lit("customer").alias("item"), "n")).unionByName(
+        spark.createDataFrame([("refused", refused)], "item string, n long"))
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = lookup(spark, sf_dir)("events").schema
     spec = spec_of("events", "event_id", [faker("event_type", "username"),
@@ -205,6 +257,8 @@ QUERIES = {
     "src_view_mask": _view_mask,
     "src_view_selected": _view_selected,
     "src_query_mask": _query_mask,
+    "src_query_params": _query_params,
+    "src_formats": _formats,
     "src_filter_mask": _filter_mask,
     "src_unmatched": _unmatched,
     "src_query_duplicates": _duplicates,
@@ -219,6 +273,7 @@ QUERIES = {
     "row_estimates": lambda spark, sf: d.row_counts(tables(spark, sf)),
     "plan_summary": _plan_summary,
     "run_state": _run_state,
+    "run_acknowledge": _acknowledged,
     "stream_mask_events": _stream,
 }
 
@@ -274,6 +329,14 @@ ORACLES = {
     "src_query_mask": sql.masked(
         "orders", "o_orderkey", {"o_orderpriority": sql.provider("email")},
         where="o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
+    "src_query_params": sql.masked(
+        "orders", "o_orderkey", {"o_orderpriority": sql.provider("email")},
+        where=f"{_recent} AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')"),
+    "src_formats": "SELECT f.format, m.* FROM (VALUES ('parquet'), ('orc'), ('json'), ('csv'), ('catalog')) f(format), ("
+                   + sql.masked("customer", "c_custkey", {"c_name": sql.provider("full_name")},
+                                base="(SELECT c_custkey, c_name FROM customer)") + ") m",
+    "run_acknowledge": "SELECT item, n::BIGINT AS n FROM (VALUES ('STARTED', 2), ('ACKNOWLEDGED', 1), ('COMPLETED', 1), "
+                       "('refused', 1)) t(item, n) UNION ALL SELECT 'customer', count(*) FROM customer",
     "src_filter_mask": sql.masked("orders", "o_orderkey", {"o_orderpriority": sql.provider("short_text")},
                                   where=_recent),
     "src_unmatched": "SELECT DISTINCT l_partkey AS s_suppkey FROM lineitem "

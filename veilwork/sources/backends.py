@@ -28,7 +28,11 @@ def register_backend(scheme: str, connect: Callable[[SparkSession, str], TableLo
 
 
 def open_tables(spark: SparkSession, address: str) -> TableLookup:
-    """``parquet:/data``, ``orc:``, ``json:``, ``csv:``, ``catalog:db`` or a database URL."""
+    """``parquet:/data``, ``orc:``, ``json:``, ``csv:``, ``catalog:db`` or a database URL.
+
+    Files take reader options after a question mark; ``schema.<table>`` states the
+    columns of a table, so that JSON is not read once more to find them out.
+    """
     scheme = address.split(":", 1)[0]
     if scheme not in _backends:
         raise SourceError(f"no backend for scheme {scheme!r}")
@@ -37,8 +41,15 @@ def open_tables(spark: SparkSession, address: str) -> TableLookup:
 
 def _files(fmt: str, **options: str) -> Callable[[SparkSession, str], TableLookup]:
     def connect(spark: SparkSession, address: str) -> TableLookup:
-        folder = address.split(":", 1)[1].rstrip("/")
-        return lambda name: spark.read.format(fmt).options(**options).load(f"{folder}/{name}.{fmt}")
+        folder, _, rest = address.split(":", 1)[1].partition("?")
+        chosen = options | {name: values[-1] for name, values in parse_qs(rest).items()}
+        schemas = {name: chosen.pop(name) for name in [*chosen] if name.startswith("schema.")}
+
+        def table(name: str) -> DataFrame:
+            reader = spark.read.format(fmt).options(**chosen)
+            schema = schemas.get(f"schema.{name}")
+            return (reader.schema(schema) if schema else reader).load(f"{folder.rstrip('/')}/{name}.{fmt}")
+        return table
     return connect
 
 
@@ -124,7 +135,7 @@ def _query(spark: SparkSession, table: TableSpec, lookup: TableLookup) -> DataFr
         raise SourceError("only a SELECT can name the rows")
     if "ORDER BY" not in sql.upper():
         raise SourceError("the query has to state its ORDER BY")
-    return spark.sql(sql)
+    return spark.sql(sql, args=dict(table.source.params))
 
 
 register_source("view", _view)
