@@ -53,6 +53,41 @@ def test_small_products_are_not_read(spark, monkeypatch):
     assert not any({"c", "d"} < set(s) for s in asked)
 
 
+def _counted(monkeypatch):
+    """Rows of which digests are counted, call by call."""
+    counted, real = [], keys._repeated
+    monkeypatch.setattr(keys, "_repeated", lambda values, sets: counted.append(values.count()) or real(values, sets))
+    return counted
+
+
+def test_whole_tables_are_counted_by_one_hash_a_value(spark, monkeypatch):
+    """Digests are counted only of rows whose hash comes twice, here the two with a repeated value."""
+    counted = _counted(monkeypatch)
+    df = spark.range(2000).select((F.col("id") % 50).alias("a"), F.floor(F.col("id") / 50).alias("b"), F.when(
+        F.col("id") == 1999, 0).otherwise(F.floor(F.col("id") / 50)).alias("c"))
+    sets = {("a", "b"): ("a", "b"), ("a", "c"): ("a", "c")}
+    assert keys.unique_sets(df, 2000, sets) == {("a", "b")} and counted == [2]
+    assert keys.unique_sets(df.select("a", "b"), 2000, {("a", "b"): ("a",)}) == {("a", "b")} and counted == [2]
+
+
+def test_sets_share_the_rows_drawn(spark, monkeypatch):
+    """Rows are drawn by the values of a column that sets have in common; larger samples see only the sets left."""
+    monkeypatch.setattr(keys, "SAMPLE_ROWS", 40)
+    counted = _counted(monkeypatch)
+    df = spark.range(4000).select((F.col("id") % 1000).alias("a"), (F.col("id") % 8).alias("b"), (F.col("id") % 2).alias("c"),
+                                  F.floor(F.col("id") / 1000).alias("d"))
+    sets = {("a", "b"): ("a",), ("a", "c"): ("a",), ("a", "d"): ("a",)}
+    assert keys.unique_sets(df, 4000, sets) == {("a", "d")}
+    assert len(counted) == 2 and counted[0] % 12 == 0 and 0 < counted[0] < 400 and counted[1] % 4 == 0 and counted[1] < 1500
+
+
+def test_columns_that_rows_are_drawn_by():
+    distinct = {"a": 3, "b": 5000, "c": 900}
+    assert keys._drawn_by(("a", "b", "c"), distinct, 1 << 20) == ("b",)
+    assert keys._drawn_by(("a", "b", "c"), distinct, 1 << 30) == ("b", "c")
+    assert keys._drawn_by(("a", "c"), distinct, 1 << 40) == ("c", "a")
+
+
 def test_conversations_have_a_key_of_two_columns(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     found = keys.discover_composite_keys({"conversations": df}, discover.discover_keys({"conversations": df}))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -11,12 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.seed import is_seedable
+from ..storage import Workspace
 
 Reference = tuple[str, str, str, str]  # child table, child column, parent table, parent column
 
 #: Rows of a table from which repeats are looked for before the whole table is read, and sets counted by one job.
 SAMPLE_ROWS = 1 << 20
 SETS_AT_ONCE = 8
+#: Of sets looked at in a sample, one job takes so many times more.
+MORE_DRAWN = 4
+#: How many times larger the next sample is, and the rate below which it is the whole table.
+GROWTH, LEAST_RATE = 16, 4
+#: Columns to draw by have one value for as many rows at least, or several are taken.
+VALUES_TO_DRAW = 1024
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -28,38 +35,82 @@ def _digest(columns: Sequence[str]) -> tuple[Column, Column]:
     return F.xxhash64(*columns), F.xxhash64(F.lit("second"), *reversed(columns))
 
 
-def _repeating(df: DataFrame, sets: Sequence[tuple[str, ...]], rate: int) -> set[int]:
-    """Which sets have equal values in two rows, among one of ``rate`` values.
+def _drawn_by(columns: Sequence[str], distinct: Mapping[str, int], n_rows: int) -> tuple[str, ...]:
+    """The fewest of a set's columns by whose values its rows can be drawn evenly, those with most values first."""
+    by = sorted(columns, key=lambda c: -distinct[c])
+    values = 1
+    for i, c in enumerate(by, 1):
+        values *= distinct[c]
+        if values >= n_rows // VALUES_TO_DRAW:
+            return tuple(by[:i])
+    return tuple(by)
+
+
+def _repeated(values: DataFrame, sets: Sequence[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """The sets (named by position) with a digest that comes twice; equal ones are combined per task before the shuffle."""
+    found = values.groupBy("set", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("set").distinct()
+    return {sets[r["set"]] for r in found.collect()}
+
+
+def _repeating_drawn(df: DataFrame, sets: Mapping[tuple[str, ...], tuple[str, ...]], rate: int) -> set[tuple[str, ...]]:
+    """Which sets have equal values in two rows, among one of ``rate`` values of the columns each is drawn by.
 
     Rows are drawn by their values, so a repeated value is drawn with all its
-    rows: what repeats here is proven, whatever the rate.  Equal values are
-    combined per task before the shuffle.
+    rows: what repeats here is proven, whatever the rate.  Sets drawn by the same
+    columns share the draw, so a row that none draws costs a hash or two and is
+    not looked at further.
     """
+    hits = {by: F.pmod(F.xxhash64(F.lit("draw"), *by), F.lit(rate)) == 0 for by in sets.values()}
     offered = []
+    for i, (columns, by) in enumerate(sets.items()):
+        first, second = _digest(columns)
+        offered.append(F.when(hits[by], F.struct(F.lit(i).alias("set"), first.alias("a"), second.alias("b"))))
+    drawn = df.where(reduce(Column.__or__, hits.values()))
+    return _repeated(drawn.select(F.explode(F.array_compact(F.array(*offered))).alias("o")).select("o.*"), list(sets))
+
+
+def _repeating(df: DataFrame, sets: Sequence[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Which sets have equal values in two rows of the whole table.
+
+    Hardly any of the values counted here repeats, so all of them are shuffled,
+    each as one 64-bit hash read by a scan of its own columns.  Only rows with a
+    hash that comes twice are counted by their digests.
+    """
+    parts = []
     for i, columns in enumerate(sets):
         first, second = _digest(columns)
-        one = F.struct(F.lit(i).alias("set"), first.alias("a"), second.alias("b"))
-        offered.append(one if rate == 1 else F.when(F.pmod(first, F.lit(rate)) == 0, one))
-    drawn = df.select(F.explode(F.array_compact(F.array(*offered))).alias("o")).select("o.*")
-    found = drawn.groupBy("set", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("set").distinct()
-    return {r["set"] for r in found.collect()}
+        parts.append(df.select(F.lit(i).alias("set"), first.alias("a"), second.alias("b"),
+                               F.xxhash64(F.lit(i), *columns).alias("h")))
+    values = _union(parts)
+    work = Workspace(df.sparkSession, "keys")
+    twice = work.save(values.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
+    found = set() if twice.isEmpty() else _repeated(values.join(twice, "h", "left_semi"), sets)
+    work.drop()
+    return found
 
 
-def unique_sets(df: DataFrame, n_rows: int, sets: Sequence[tuple[str, ...]]) -> set[tuple[str, ...]]:
+def unique_sets(df: DataFrame, n_rows: int, sets: Mapping[tuple[str, ...], tuple[str, ...]]) -> set[tuple[str, ...]]:
     """The sets (of columns without NULLs) that no two rows share the values of.
 
-    Most sets repeat values so often that a sample proves it; only the others
-    are counted over all rows.
+    ``sets`` names for each the columns of it that its rows are drawn by.  Most
+    sets repeat values so often that a sample proves it, others in a larger one;
+    only what is left is counted over all rows.
     """
-    left = list(sets)
-    for rate in sorted({max(1, n_rows // SAMPLE_ROWS), 1}, reverse=True):
-        kept: list[tuple[str, ...]] = []
-        for a in range(0, len(left), SETS_AT_ONCE):
-            some = left[a:a + SETS_AT_ONCE]
-            repeating = _repeating(df, some, rate)
-            kept += [s for i, s in enumerate(some) if i not in repeating]
-        left = kept
-    return set(left)
+    left, rate = list(sets), n_rows // SAMPLE_ROWS
+    while rate >= LEAST_RATE:
+        left = _without(left, SETS_AT_ONCE * MORE_DRAWN,
+                        lambda some, rate=rate: _repeating_drawn(df, {s: sets[s] for s in some}, rate))
+        rate //= GROWTH
+    return set(_without(left, SETS_AT_ONCE, lambda some: _repeating(df, some)))
+
+
+def _without(sets: list[tuple[str, ...]], at_once: int,
+             repeating: Callable[[list[tuple[str, ...]]], set[tuple[str, ...]]]) -> list[tuple[str, ...]]:
+    """The sets that do not repeat, asked by so many at once."""
+    found: set[tuple[str, ...]] = set()
+    for a in range(0, len(sets), at_once):
+        found |= repeating(sets[a:a + at_once])
+    return [s for s in sets if s not in found]
 
 
 def minimal_keys(df: DataFrame, counts: Mapping[str, tuple[int, int, int]], largest: int) -> list[tuple[str, ...]]:
@@ -87,7 +138,8 @@ def minimal_keys(df: DataFrame, counts: Mapping[str, tuple[int, int, int]], larg
             if all(p in most for p in parts):
                 bounds[columns] = min(most[p] * most[(c,)] for p, c in zip(parts, columns))
         open_ = [s for s, bound in bounds.items() if bound >= n_rows]
-        keys = unique_sets(df, n_rows, open_)
+        distinct = {c: counts[c][2] for c in order}
+        keys = unique_sets(df, n_rows, {s: _drawn_by(s, distinct, n_rows) for s in open_})
         found += [s for s in open_ if s in keys]
         most |= {s: min(bound, n_rows - 1) for s, bound in bounds.items() if s not in keys}
         level = [s for s in bounds if s not in keys]
