@@ -319,6 +319,26 @@ def test_later_rounds_ask_fewer_rows(spark, monkeypatch):
     assert len(asked) > 4 and asked[0] > 800 and asked[-1] * 5 < asked[0] and list(asked) == sorted(asked, reverse=True)
 
 
+def test_tries_written_grow_with_the_values_not_the_rows(spark, monkeypatch):
+    """Few values and many rows: tries that a smaller key holds after the first round are lost, and not written."""
+    saved, real = {}, unique.Workspace.save
+
+    def save(ws, df, name):
+        out = real(ws, df, name)
+        if name.startswith("tries"):
+            saved[name] = out.count()
+        return out
+
+    monkeypatch.setattr(unique.Workspace, "save", save)
+    df = spark.range(3000).select("id", F.lit("x").alias("v"))
+    masked = run(df, rule_spec("t", {"name": "v", "generator": pick_provider(20), "force_unique": True}, salt="few"))
+    value = picked(20, "few", "t")
+    want = serial.greedy(range(3000), value, 10)
+    assert {r.id: r.v for r in masked.output().collect()} == {k: value(k, 9 if a is None else a) for k, a in want.items()}
+    assert masked.attempts["v"].exhausted == sum(a is None for a in want.values()) > 2900
+    assert 0 < saved["tries-0"] < 600 and max(saved.values()) < 1000
+
+
 def test_keys_are_checked_once_a_table(spark, monkeypatch):
     from veilwork.operators import joint
 

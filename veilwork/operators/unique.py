@@ -10,8 +10,10 @@ a round writes, and a round without a change is the last.
 The first round is one aggregation with map-side combining over all rows.  Rows
 that lose there take part in the rounds, and so do holders of a value that a
 smaller row taking part has in any of its tries, until there are no more of them;
-everybody else keeps the first try.  The tries of those taking part are written
-once.  A later round asks only rows that have a try whose value changed holder
+everybody else keeps the first try.  Of the tries of those taking part only the
+ones that no smaller key holds after the first round are written, once: where few
+values meet many rows they are about as many as the values, not the rows, and a
+row without any is done.  A later round asks only rows that have a try whose value changed holder
 in the round before: nobody else's first open try can have become another one.
 It writes the values whose holder it changed, and a round without any is the
 last.  Written tables hold keys, tries and masks, never original values, and go
@@ -106,7 +108,7 @@ def resolve_attempts(
 
     def tries_of(some: DataFrame) -> DataFrame:
         every = some.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-        return with_value(every).select(*pk, "attempt", "value")
+        return _open(with_value(every).select(*pk, "attempt", "value"), holders, key).select(*pk, "attempt", "value")
 
     names = ["tries-0"]
     asked = added = ws.save(tries_of(lost), names[0])
